@@ -36,11 +36,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
     """Texts can be very long: bound an Arrow batch by rows and by bytes, unless the session already asks for fewer."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(key, "0")
+        now = str(spark.conf.get(key) or "").rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over at least as many partitions as there are cores: an input of one small file would keep one core busy. Larger inputs are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of the key written as text, modulo n; a null key counts as bucket -1, which no learner leaves out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(-1)).cast("int")

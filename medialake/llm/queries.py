@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits
+from .language_id import language_id
+from .packing import pack, pieces_of
+from .quality import quality
 from .reshard import reshard
 from .url_filter import host_rule, judge_urls, pattern_rule
 
-#: Fixed values of the production run: named rules, then general patterns.
+#: Fixed values of the production run: named rules, then words that a host of junk pages has between its dots and dashes.
+JUNK = ("ads", "adserver", "adult", "bets", "casino", "pills", "porn", "spam")
 URL_RULES = [
     host_rule("net", "/", "block"),
     host_rule("example.net", "/en/", "allow"),
     host_rule("example.com", "/de/", "block"),
     host_rule("org", "/fr/", "allow"),
-    pattern_rule(r"(?:^|[^a-z0-9])adserver(?:[^a-z0-9]|$)", ("adserver",)),
-    pattern_rule(r"(?:^|[^a-z0-9])doubleclick\.", ("doubleclick",)),
-    pattern_rule(r"(?:^|[^a-z0-9])casino(?:[^a-z0-9]|$)", ("casino",)),
-    pattern_rule(r"(?:^|[^a-z0-9])porn(?:[^a-z0-9]|$)", ("porn",)),
+    *[pattern_rule(rf"^(?:[^/]*[.-])?{word}[.-]", (word,)) for word in JUNK],
 ]
 
+#: The vocabulary of the packed ids: a tokenizers file, the same as ranks, and its word pattern.
+BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(pieces_of(table(spark, sf_dir, "documents"), BPE))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -36,13 +49,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old shards hold whole sources, so one of them holds a third of all rows; the new ones are even."""
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24))
     return reshard(table(spark, sf_dir, "documents"), old, 24)
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_fingerprints, op7_exact_dedup, op10_reshard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op5_packing, op6_fingerprints, op7_exact_dedup, op9_quality, op10_reshard)}
 
 ORACLE_SQL = {
     "op3_url_filter": r"""
@@ -52,7 +69,7 @@ p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(rhost, rpath, said)),
 m AS (SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(said, length(rhost || rpath)) AS said FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path)
 SELECT p.page_id, p.host, p.path, m.rule,
-  coalesce(m.said, CASE WHEN regexp_matches(p.host || p.path, '(^|[^a-z0-9])(adserver([^a-z0-9]|$)|doubleclick\.|casino([^a-z0-9]|$)|porn([^a-z0-9]|$))') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(m.said, CASE WHEN regexp_matches(p.host || p.path, '^([^/]*[.-])?(ads|adserver|adult|bets|casino|pills|porn|spam)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.host = m.host AND p.path = m.path""",
     "op7_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
