@@ -13,6 +13,7 @@ from .language_id import language_id
 from .packing import pack, pieces_of
 from .quality import quality
 from .reshard import reshard
+from .toxicity import toxicity
 from .url_filter import host_rule, judge_urls, pattern_rule
 
 #: Fixed values of the production run: named rules, then words that a host of junk pages has between its dots and dashes.
@@ -37,6 +38,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces_of(table(spark, sf_dir, "documents"), BPE))
 
@@ -59,7 +65,7 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard(table(spark, sf_dir, "documents"), old, 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op5_packing, op6_fingerprints, op7_exact_dedup, op9_quality, op10_reshard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op4_toxicity, op5_packing, op6_fingerprints, op7_exact_dedup, op9_quality, op10_reshard)}
 
 ORACLE_SQL = {
     "op3_url_filter": r"""
