@@ -10,7 +10,9 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits
 from .language_id import language_id
+from .ngram_join import ngram_join
 from .packing import pack, pieces_of
+from .piece_codec import code_round
 from .quality import quality
 from .reshard import reshard
 from .toxicity import toxicity
@@ -29,11 +31,18 @@ URL_RULES = [
 #: The vocabulary of the packed ids: a tokenizers file, the same as ranks, and its word pattern.
 BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(PIECES, "rb") as model:
+        return code_round(table(spark, sf_dir, "documents"), model.read())
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,6 +64,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,7 +78,7 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard(table(spark, sf_dir, "documents"), old, 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op4_toxicity, op5_packing, op6_fingerprints, op7_exact_dedup, op9_quality, op10_reshard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_url_filter, op4_toxicity, op5_packing, op6_fingerprints, op7_exact_dedup, op8_ngram_join, op9_quality, op10_reshard)}
 
 ORACLE_SQL = {
     "op3_url_filter": r"""

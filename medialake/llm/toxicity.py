@@ -20,7 +20,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from .common import crc_bucket, hash_sample, small_batches, spread
 from .words import WORD, words
 
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
+#: Evidence beyond which a document is no surer to be toxic.
+MOST = 12.0
 #: Characters handled at once.
 STRETCH = 4_000_000
 
@@ -90,13 +92,23 @@ def marginals(emission: np.ndarray, starts: np.ndarray, move: np.ndarray, begin:
 
 @dataclass
 class Field:
-    """What a toxic token weighs more than a clean one: bias, a weight for each term, log weights of transitions and of the start."""
+    """What a toxic token weighs more than a clean one: bias, a weight for each term, log weights of transitions and of the start.
+
+    calibration: the log odds that a document is toxic, for each unit of evidence and for none.
+    """
 
     terms: dict[str, int]
     weights: np.ndarray
     bias: float
     move: np.ndarray
     begin: np.ndarray
+    calibration: tuple[float, float] | None = None
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        if self.calibration is None:
+            return 1 - np.exp(-evidence)
+        slope, base = self.calibration
+        return 1 / (1 + np.exp(-slope * np.minimum(evidence, MOST) - base))
 
     def emission(self, word: str) -> float:
         return self.bias + sum(float(self.weights[k]) for t in terms_of(word) if (k := self.terms.get(t)) is not None)
@@ -162,11 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
     if not 0 < share < 1:
-        return Field({}, np.zeros(0), -30.0 if share == 0 else 0.0, np.zeros((2, 2)), np.zeros(2))
+        return Field({}, np.zeros(0), -30.0 if share == 0 else 30.0, np.zeros((2, 2)), np.zeros(2))
     counts = counts.where("bad + good >= 3").persist()
     every = counts.count()
     part = lambda x, of: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (F.col("bad") + F.col("good")) / of)).otherwise(0.0)
-    odd = counts.where("bad >= 3 AND bad >= 9 * good").withColumn("gain", part("bad", share) + part("good", 1 - share))
+    odd = counts.where("bad >= 3 AND 3 * bad >= 2 * good").withColumn("gain", part("bad", share) + part("good", 1 - share))
     found = odd.where(F.col("gain") >= math.log(max(1, every)) + 3).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     counts.unpersist()
     terms = {r["term"]: i for i, r in enumerate(found)}
@@ -193,11 +205,45 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     starts = np.zeros(len(seen), bool)
     starts[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
     marked = (seen >= 0).any(axis=1) & np.repeat(got.toxic.to_numpy() == 1, sizes)
-    return fit(seen, marked.astype(np.float64), starts, terms)
+    model = fit(seen, marked.astype(np.float64), starts, terms)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
+        for batch in batches:
+            found = [score_texts(model, part, cache, False)[0] for part in stretches(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found))], names=["doc_id", "toxic", "evidence"])
+
+    told = rows.mapInArrow(weigh, StructType([*rows.schema.fields[:2]]).add("evidence", DoubleType())).toPandas().sort_values("doc_id")
+    model.calibration = logistic(np.minimum(told.evidence.to_numpy(), MOST), told.toxic.to_numpy() == 1)
+    return model
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
+    """Slope and base of the log odds of y, by Newton steps."""
+    z = np.stack([x, np.ones(len(x))], axis=1)
+    w = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + l2 * np.eye(2), z.T @ (y - p) - l2 * w)
+        w += np.clip(step, -2, 2)
+    return max(0.0, float(w[0])), float(w[1])
+
+
+def stretches(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of about STRETCH characters."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > STRETCH:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
 
 
 def score_texts(model: Field, texts: list[str], cache: dict[str, float], spans: bool, sure: float = 0.5, maybe: float = 0.05) -> tuple[np.ndarray, list[list[dict]]]:
-    """For each text the probability that some span is toxic, and the spans whose most toxic word has a probability of `sure` or more."""
+    """For each text the evidence, -log of the probability that no span is toxic, and the spans whose most toxic word has a probability of `sure` or more."""
     found = [words(t.lower()) for t in texts]
     for w in {w for ws in found for w in ws}.difference(cache):
         cache[w] = model.emission(w)
@@ -216,7 +262,7 @@ def score_texts(model: Field, texts: list[str], cache: dict[str, float], spans:
     top = np.zeros(int(new.sum()))
     np.maximum.at(top, span, p[inside])
     owner = doc[new]
-    score = 1 - np.exp(np.bincount(owner, np.log1p(-np.minimum(top, 1 - 1e-12)), len(texts)))
+    evidence = -np.bincount(owner, np.log1p(-np.minimum(top, 1 - 1e-9)), len(texts))
     at: list[list[dict]] = [[] for _ in texts]
     if spans:
         bounds = np.flatnonzero(np.append(new, True))
@@ -225,13 +271,13 @@ def score_texts(model: Field, texts: list[str], cache: dict[str, float], spans:
             base = ends[d] - sizes[d]
             for s in np.flatnonzero((owner == d) & (top >= sure)):
                 at[d].append({"start": places[inside[bounds[s]] - base][0], "stop": places[inside[bounds[s + 1] - 1] - base][1], "prob": float(top[s])})
-    return score, at
+    return evidence, at
 
 
 def tag(docs: DataFrame, model: Field, text_col: str = "text", score_col: str = "score", spans_col: str | None = "spans", keep: int = 300_000) -> DataFrame:
     """docs(...) with score_col added, and spans_col where it is named: start, stop and prob of each toxic span, in characters of the lower-cased text.
 
-    Null texts and texts without words score 0 and have no spans.
+    Null texts and texts without words get the score of no evidence, and have no spans.
     """
     small_batches(docs.sparkSession)
     names = docs.columns
@@ -241,18 +287,14 @@ def tag(docs: DataFrame, model: Field, text_col: str = "text", score_col: str =
         cache: dict[str, float] = {}
         for batch in batches:
             texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
-            scores, spans, part, size = [], [], [], 0
-            for i, text in enumerate(texts):
-                part.append(text)
-                size += len(text)
-                if size >= STRETCH or i == len(texts) - 1:
-                    if len(cache) > keep:
-                        cache.clear()
-                    s, at = score_texts(model, part, cache, spans_col is not None)
-                    scores.append(s)
-                    spans += at
-                    part, size = [], 0
-            new = [pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())]
+            scores, spans = [np.zeros(0)], []
+            for part in stretches(texts):
+                if len(cache) > keep:
+                    cache.clear()
+                evidence, at = score_texts(model, part, cache, spans_col is not None)
+                scores.append(model.score(evidence))
+                spans += at
+            new = [pa.array(np.concatenate(scores), pa.float64())]
             if spans_col:
                 new.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("prob", pa.float64())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, score_col, *([spans_col] if spans_col else [])])
@@ -262,7 +304,7 @@ def tag(docs: DataFrame, model: Field, text_col: str = "text", score_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", predict_at: float = 0.7) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted, spans. A null id is never held out; repeated rows are each scored; other columns are ignored. Without labels of both kinds every score is 0, or that of the one kind."""
+    """One row per input row: doc_id, held_out, score, predicted, spans. A null id is never held out; repeated rows are each scored; other columns are ignored. Without labels of both kinds nothing is toxic, or everything."""
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (crc_bucket(F.col(id_col), 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
     return tag(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= predict_at).cast("int").alias("predicted"), "spans")
