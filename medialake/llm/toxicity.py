@@ -262,7 +262,7 @@ def score_texts(model: Field, texts: list[str], cache: dict[str, float], spans:
     top = np.zeros(int(new.sum()))
     np.maximum.at(top, span, p[inside])
     owner = doc[new]
-    evidence = -np.bincount(owner, np.log1p(-np.minimum(top, 1 - 1e-9)), len(texts))
+    evidence = -np.bincount(owner, np.log1p(-np.minimum(top, 1 - 1e-9)), len(texts)).astype(np.float64)
     at: list[list[dict]] = [[] for _ in texts]
     if spans:
         bounds = np.flatnonzero(np.append(new, True))
