@@ -43,7 +43,7 @@ def update_index(index: Index, changed: DataFrame, columns: list[str], removed:
     """The index with the rows of changed items replaced, and those of removed(item_id) gone."""
     gone = changed.select("item_id") if removed is None else changed.select("item_id").union(removed.select("item_id"))
     new = build_index(changed, columns)
-    keep = lambda df: df.join(gone.distinct(), "item_id", "left_anti")
+    keep = lambda df: df.join(gone.distinct(), "item_id", "left_anti").select(*df.columns)
     return Index(keep(index.postings).unionByName(new.postings), keep(index.docs).unionByName(new.docs))
 
 
