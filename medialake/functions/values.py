@@ -131,3 +131,8 @@ def clock_text(milliseconds: Column) -> Column:
 
 def whole_or_decimal(n: Column) -> Column:
     return F.when(n == F.round(n), n.cast("long").cast("string")).otherwise(n.cast("string"))
+
+
+def lossless(codec: Column) -> Column:
+    """Null where the codec isn't known."""
+    return F.when(codec.isNotNull(), F.lower(codec).isin("flac", "alac", "pcm"))

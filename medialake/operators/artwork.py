@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import dirname
+
 ROLES = ["thumbnail", "embedded", "folder"]
 #: Which roles a retention policy keeps.
 POLICIES = {"everything": ["embedded", "thumbnail", "folder"], "thumbnailsOnly": ["thumbnail"], "none": [], "deferred": ["embedded", "folder"]}
@@ -63,3 +65,17 @@ def by_content(artworks: DataFrame) -> DataFrame:
 def misnamed(cache: DataFrame) -> DataFrame:
     """Rows of cache(name, data) whose name isn't the hash of their content."""
     return cache.where(F.col("name") != F.sha2("data", 256))
+
+
+def attach_folder_art(files: DataFrame, pictures: DataFrame, artworks: DataFrame, dirty: DataFrame) -> DataFrame:
+    """artworks after the folder pictures of dirty(dir) went to every file there; a thumbnail is made of one only where the file has none.
+
+    files(file_id, path), pictures(path, mime, data). Bytes are joined by folder, and only in dirty folders.
+    """
+    there = files.withColumn("dir", dirname(F.col("path"))).join(dirty, "dir", "left_semi")
+    art = pictures.withColumn("dir", dirname(F.col("path"))).groupBy("dir").agg(F.min_by(F.struct("mime", "data"), F.col("path")).alias("art"))
+    found = there.join(art, "dir").select("file_id", F.lit(0).cast("long").alias("seq"), F.lit("folder").alias("role"), "art.mime", "art.data")
+    cleared = artworks.join(there.select("file_id", F.lit("folder").alias("role")), ["file_id", "role"], "left_anti")
+    bare = found.join(artworks.where("role = 'thumbnail'").select("file_id"), "file_id", "left_anti").withColumn("role", F.lit("thumbnail"))
+    columns = ["file_id", "seq", "role", "mime", "data"]
+    return cleared.select(*columns).unionByName(found).unionByName(bare)

@@ -76,3 +76,21 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 def not_dense(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Keys whose positions aren't 0, 1, 2, ..."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("low"), F.max(position).alias("high"), F.countDistinct(position).alias("distinct")).where("low <> 0 OR high <> n - 1 OR distinct <> n").select(key)
+
+
+def rename(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows with the name of names(key, new_name) where it has one."""
+    return rows.join(names, key, "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+
+
+def with_identity(libraries: DataFrame, known: DataFrame, salt: str) -> DataFrame:
+    """libraries(library_id, ...) with a uuid: the one of known(library_id, uuid), else one made once from the id and a salt, so that writing it again gives the same."""
+    digest = F.sha2(F.concat_ws("/", F.lit(salt), F.col("library_id").cast("string")), 256)
+    part = lambda start, n: F.substring(digest, start, n)
+    made = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(F.lit("8"), part(18, 3)), part(21, 12))
+    return libraries.join(known, "library_id", "left").withColumn("uuid", F.coalesce("uuid", made))
+
+
+def in_shape(rows: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Rows of an older catalog in today's shape: columns added since are null, those dropped are gone."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in schema.items()])

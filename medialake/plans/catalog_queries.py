@@ -275,3 +275,66 @@ def containing(spark, sf):
     docs = v.table(spark, sf, "documents")
     roots = docs.select(F.concat(F.lit("/lib/"), "source").alias("root")).union(docs.select(F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang"))).distinct()
     return under(v.inv_base(spark, sf).select("path"), roots).groupBy("path").agg(F.count("*").alias("roots"))
+
+
+@query("ft04_phrase", "SELECT doc_id AS item_id FROM documents WHERE doc_id % 3 = 0", "inv_base")
+def phrase(spark, sf):
+    """A punctuated token is a phrase: `sign-on` meets words in line, not the same words apart."""
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 3 == 0, "Please sign on, here").otherwise("on the sign").alias("title"), F.col("source").alias("tags"))
+    return search.search(search.build_index(docs, ["title", "tags"]), "sign-o").select("item_id")
+
+
+@query("ft08_rebuild", "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS differing FROM part")
+def rebuilt(spark, sf):
+    """An index kept up to date holds the same as one built anew."""
+    parts = v.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+    stale = search.build_index(parts.withColumn("title", F.when(F.col("item_id") % 3 == 0, "stale").otherwise(F.col("title"))), ["title"])
+    kept = search.update_index(stale, parts.where("item_id % 3 = 0"), ["title"])
+    anew = search.build_index(parts, ["title"])
+    differing = maintenance.differences(kept.postings, anew.postings).agg(F.count("*").alias("differing"))
+    return anew.docs.agg(F.count("*").alias("documents")).join(differing, F.lit(True))
+
+
+@query("ar08_folder_art", f", {PICTURES}, f AS (SELECT DISTINCT file_id FROM pictures WHERE file_id < 20) SELECT role, count(*) AS pictures FROM (SELECT role FROM pictures WHERE NOT (role = 'folder' AND file_id < 20) UNION ALL SELECT 'folder' FROM f UNION ALL SELECT 'thumbnail' FROM f WHERE file_id NOT IN (SELECT file_id FROM pictures WHERE role = 'thumbnail')) GROUP BY role", "inv_base")
+def folder_art(spark, sf):
+    art = pictures(spark, sf)
+    files = art.select("file_id").distinct().select("file_id", F.concat(F.lit("/d"), (F.col("file_id") < 20).cast("string"), F.lit("/"), F.col("file_id").cast("string"), F.lit(".mp3")).alias("path"))
+    covers = files.limit(1).select(F.lit("/dtrue/cover.jpg").alias("path"), F.lit("image/jpeg").alias("mime"), F.lit(b"x").alias("data"))
+    dirty = covers.select(F.lit("/dtrue").alias("dir"))
+    return artwork.attach_folder_art(files, covers, art, dirty).groupBy("role").agg(F.count("*").alias("pictures"))
+
+
+@query("dml03_rename", "SELECT c_custkey AS library_id, CASE WHEN c_custkey % 4 = 0 THEN 'new ' || c_name ELSE c_name END AS name FROM customer")
+def renamed(spark, sf):
+    rows = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("library_id"), F.col("c_name").alias("name"))
+    return maintenance.rename(rows, rows.where("library_id % 4 = 0").select("library_id", F.concat(F.lit("new "), "name").alias("new_name")), "library_id")
+
+
+@query("dml05_identity", "SELECT c_custkey AS library_id, CASE WHEN c_custkey % 3 = 0 THEN 'known-' || c_custkey ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS uuid FROM (SELECT c_custkey, sha256('salt/' || c_custkey) AS h FROM customer)")
+def identities(spark, sf):
+    rows = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("library_id"))
+    known = rows.where("library_id % 3 = 0").select("library_id", F.concat(F.lit("known-"), F.col("library_id").cast("string")).alias("uuid"))
+    return maintenance.with_identity(rows, known, "salt")
+
+
+@query("mg03_shape", "SELECT c_custkey AS library_id, CAST(NULL AS VARCHAR) AS notes, c_name AS name FROM customer")
+def reshaped(spark, sf):
+    old = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("library_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("dropped"))
+    return maintenance.in_shape(old, {"library_id": "long", "notes": "string", "name": "string"})
+
+
+@query("tm02_silent_tiers", "SELECT doc_id AS file_id, CASE WHEN doc_id % 2 = 0 THEN source END AS title FROM documents")
+def silent(spark, sf):
+    from ..operators.merge import merge_tiers
+
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.lit(1).alias("tier"), F.col("source").alias("title"))
+    return merge_tiers(docs.select("file_id"), docs.where("file_id % 2 = 0"))
+
+
+@query("jn02_tags_joined", "SELECT doc_id AS file_id, kind, coalesce(n, 0) AS tags FROM inv_base LEFT JOIN (SELECT item_id, count(*) AS n FROM item_tags GROUP BY 1) t ON doc_id = t.item_id", "inv_base", "item_tags")
+def items_with_tags(spark, sf):
+    from ..operators.tags import tags_of
+
+    files = v.inv_base(spark, sf).select(F.col("doc_id").alias("item_id"), "kind")
+    tagged = tags_of(v.item_tags(spark, sf), files)
+    return files.join(tagged, "item_id").select(F.col("item_id").alias("file_id"), "kind", F.size("tags").cast("long").alias("tags"))

@@ -206,3 +206,18 @@ def codecs(spark, sf):
     mkv = normalise.codec_name("matroska", F.get(F.array(F.lit(""), F.lit(""), F.lit("A_AAC/MPEG4"), F.lit("A_OPUS")), at))
     wave = normalise.codec_name("wave", F.col("p_size"))
     return v.table(spark, sf, "part").select("p_partkey", F.when(at < 2, iso).otherwise(mkv).alias("iso_or_matroska"), wave.alias("wave"))
+
+
+@query("sd02_folder_art", "SELECT doc_id, doc_id % 4 IN (0, 1) AS art FROM documents")
+def folder_art_names(spark, sf):
+    from ..functions.classify import is_folder_art
+
+    names = F.get(F.array(F.lit("/a/Cover.JPG"), F.lit("/a/fanart.webp"), F.lit("/a/cover.gif"), F.lit("/a/covers.png")), (F.col("doc_id") % 4).cast("int"))
+    return v.table(spark, sf, "documents").select("doc_id", is_folder_art(names).alias("art"))
+
+
+@query("sd04_fan_out", "SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*) AS served FROM inv_new WHERE kind IN ('audio', 'video') GROUP BY 1", "inv_new")
+def fan_out(spark, sf):
+    media, sides = media_and_sides(spark, sf)
+    art = sidecars.associate(media, sides.where("path LIKE '%/cover.jpg'"))
+    return art.groupBy(F.regexp_replace("media_path", "/[^/]*$", "").alias("dir")).agg(F.count("*").alias("served"))

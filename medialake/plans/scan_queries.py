@@ -227,3 +227,31 @@ def field_changes(spark, sf):
 @query("st09_cost_waves")
 def cost_waves(spark, sf):
     return scan.waves(v.inv_new(spark, sf).select("path", "size_bytes"), "discover", 1 << 20)
+
+
+@query("sc12_returned", "SELECT k.file_id FROM known k JOIN diffed d ON k.path = d.path WHERE d.status = 'unchanged' AND k.missing_s IS NOT NULL", "known", "diffed")
+def returned(spark, sf):
+    known = v.known(spark, sf)
+    marked = scan.mark_missing(known, diffed(spark, sf), F.lit(1800000000)).where("missing_s IS NULL").select("file_id")
+    return known.where("missing_s IS NOT NULL").join(marked, "file_id", "left_semi").select("file_id")
+
+
+@query("sc18_skipped", "SELECT count(*) AS skipped FROM inv_new WHERE kind IS NULL AND path NOT LIKE '%.srt'", "inv_new")
+def skipped(spark, sf):
+    others = v.inv_new(spark, sf).where("kind IS NULL").select("path")
+    return others.join(others.where(classify.sidecar_kind(F.col("path")).isNotNull()), "path", "left_anti").agg(F.count("*").alias("skipped"))
+
+
+@query("sc20_all_libraries", "SELECT CAST(split_part(path, '/', 3) AS VARCHAR) AS library, status, count(*) AS files FROM diffed GROUP BY 1, 2", "diffed")
+def all_libraries(spark, sf):
+    """Every library's diff in one job: the library is a key, not a loop."""
+    return diffed(spark, sf).groupBy(F.split_part("path", F.lit("/"), F.lit(3)).alias("library"), "status").agg(F.count("*").alias("files"))
+
+
+@query("tg18_lossless", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS lossless, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS lead FROM part")
+def lossless_codecs(spark, sf):
+    from ..functions import values as val
+
+    codec = F.when(F.col("p_partkey") % 3 == 0, "FLAC").when(F.col("p_partkey") % 3 == 1, "mp3")
+    lead = F.coalesce(val.clean_value(F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(" ")), F.col("p_type"))
+    return v.table(spark, sf, "part").select("p_partkey", val.lossless(codec).alias("lossless"), lead.alias("lead"))

@@ -288,3 +288,112 @@ def chapters(spark, sf):
     log = v.progress_log(spark, sf)
     starts = log.select("item_id").distinct().select("item_id", F.explode(F.array(*[F.lit(k * 5000).cast("long") for k in (0, 1, 2, 4, 8)])).alias("start_ms"))
     return plays.locate_chapter(log, starts).select("event_id", "chapter_ms", "next_ms", "previous_ms")
+
+
+@query("pf02_audio_items", "SELECT doc_id, path FROM inv_base WHERE kind = 'audio'", "inv_base")
+def audio_items(spark, sf):
+    return v.inv_base(spark, sf).where("kind = 'audio'").select("doc_id", "path")
+
+
+@query("pf06_first_genre", f"SELECT {ITEM}, genre AS first_genre FROM tracks", "tracks")
+def first_genre(spark, sf):
+    return v.tracks(spark, sf).select(*v.SHELF, F.get(F.array("genre", "title"), 0).alias("first_genre"))
+
+
+@query("pf07_format_tags", "SELECT doc_id AS item_id, CASE doc_id % 8 WHEN 3 THEN 'jpg' ELSE lower(regexp_extract(path, '[^.]*$')) END AS format FROM inv_base WHERE kind IS NOT NULL", "inv_base")
+def format_tags(spark, sf):
+    return tags.first_format(tags.automatic(v.inv_base(spark, sf).where("kind IS NOT NULL").withColumnRenamed("doc_id", "item_id")))
+
+
+@query("pf10_series_filter", f"SELECT {ITEM} FROM ranked_tracks WHERE CASE WHEN l_partkey % 4 = 0 THEN coalesce(album_artist, title) WHEN l_partkey % 4 = 1 THEN coalesce(album, title) WHEN l_partkey % 4 = 2 THEN coalesce(album_artist, 'Unknown') ELSE 'Unknown' END = 'Unknown'", "ranked_tracks")
+def of_series(spark, sf):
+    return series_items(spark, sf).where(shelves.series_key() == "Unknown").select(*v.SHELF)
+
+
+@query("pf19_titles", "SELECT doc_id, CASE WHEN kind = 'image' THEN '' WHEN doc_id % 2 = 0 THEN source ELSE path END AS title FROM inv_base", "inv_base")
+def titles_by_kind(spark, sf):
+    named = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    return v.inv_base(spark, sf).select("doc_id", F.when(F.col("kind") == "image", "").otherwise(F.coalesce(named, "path")).alias("title"))
+
+
+SONG_KEYS = {"track": "track_number", "title": "lower(title)", "artist": "lower(artist)", "album": "lower(album)", "genre": "lower(genre)", "time": "duration_ms"}
+
+
+def first_songs(column: str, ascending: bool):
+    def run(spark, sf):
+        rows = v.tracks(spark, sf).withColumns({"format": F.lit("mp3"), "bitrate_kbps": F.lit(320)})
+        return shelves.sort_shelf(rows, shelves.sorts("songs"), v.SHELF, column, ascending).select(*v.SHELF).limit(50)
+
+    return run
+
+
+for _column, _key in SONG_KEYS.items():
+    for _up in (True, False):
+        query(f"so02_songs_{_column}_{'asc' if _up else 'desc'}", f"SELECT {ITEM} FROM tracks ORDER BY {_key} {'ASC' if _up else 'DESC'} NULLS LAST, {ITEM} LIMIT 50", "tracks")(first_songs(_column, _up))
+
+
+@query("so08_gallery_by_dimensions", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size % 4 <> 0 THEN p_size * p_size * 2 END DESC NULLS LAST, p_partkey LIMIT 40")
+def gallery(spark, sf):
+    rows = v.table(spark, sf, "part").selectExpr("p_partkey", "p_name AS title", "p_brand AS path", "p_size AS width", "CASE WHEN p_size % 4 <> 0 THEN p_size * 2 END AS height", "p_type AS camera", "p_size AS taken_at")
+    return shelves.sort_shelf(rows, shelves.sorts("gallery"), ("p_partkey",), "dimensions", False).select("p_partkey").limit(40)
+
+
+@query("so09_books_by_length", "SELECT p_partkey FROM part ORDER BY CASE p_partkey % 3 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size END ASC NULLS LAST, p_partkey LIMIT 40")
+def books_by_length(spark, sf):
+    rows = v.table(spark, sf, "part").selectExpr("p_partkey", "p_name AS title", "p_brand AS author", "p_type AS kind", "CASE p_partkey % 3 WHEN 0 THEN p_size * 1000 END AS duration_ms", "CASE p_partkey % 3 WHEN 1 THEN p_size END AS pages")
+    return shelves.sort_shelf(rows, shelves.sorts("books"), ("p_partkey",), "length").select("p_partkey").limit(40)
+
+
+@query("so10_comics_by_issue", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size % 2 = 0 THEN p_size / 2.0 END DESC NULLS LAST, p_partkey LIMIT 40")
+def comics_by_issue(spark, sf):
+    rows = v.table(spark, sf, "part").selectExpr("p_partkey", "p_name AS title", "p_brand AS series", "p_type AS author", "CASE WHEN p_size % 2 = 0 THEN p_size / 2 END AS issue_number", "p_size AS pages")
+    return shelves.sort_shelf(rows, shelves.sorts("comics"), ("p_partkey",), "issue", False).select("p_partkey").limit(40)
+
+
+@query("so01_unknown_column", f"SELECT {ITEM} FROM tracks ORDER BY {ITEM} LIMIT 30", "tracks")
+def unsorted(spark, sf):
+    return shelves.sort_shelf(v.tracks(spark, sf), {}, v.SHELF, "nonsense").select(*v.SHELF).limit(30)
+
+
+@query("sh05_album_header", "SELECT arg_min(coalesce(album_artist, artist, 'Unknown'), shelf) AS artist, count(*) AS tracks, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS playtime_ms FROM ranked_tracks WHERE coalesce(album, 'Unknown') = 'Unknown'", "ranked_tracks")
+def album_header(spark, sf):
+    return shelves.albums(shelves.of_album(v.tracks(spark, sf), "Unknown"), v.SHELF).select("artist", "tracks", "playtime_ms")
+
+
+@query("sh08_comic_series", "SELECT coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_brand END, 'Unknown') AS series_key, count(*) AS issues FROM part GROUP BY 1")
+def comic_series(spark, sf):
+    rows = v.table(spark, sf, "part").selectExpr("p_partkey AS item_id", "'document' AS kind", "CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS series", "p_name AS title", "CAST(NULL AS BIGINT) AS duration_ms", "CAST(NULL AS STRING) AS album")
+    return shelves.series(rows, ("item_id",)).select("series_key", F.col("episodes").alias("issues"))
+
+
+@query("co01_collections", "SELECT conv_id AS collection_id, CASE WHEN conv_id % 2 = 0 THEN 'renamed' ELSE 'collection' END AS name FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 <> 0")
+def listed(spark, sf):
+    from ..operators import maintenance
+
+    rows = v.entries(spark, sf).select("collection_id").distinct().withColumn("name", F.lit("collection"))
+    renamed = maintenance.rename(rows, rows.where("collection_id % 2 = 0").select("collection_id", F.lit("renamed").alias("new_name")), "collection_id")
+    return maintenance.cascade(rows.where("collection_id % 5 = 0"), "collection_id", {"collections": (renamed, "collection_id")})["collections"]
+
+
+@query("co06_audio_run", "SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY position) - 1 AS position, item_id FROM entries WHERE item_id LIKE 'user:%'", "entries")
+def audio_run(spark, sf):
+    return collections.dense(v.entries(spark, sf).where("item_id LIKE 'user:%'"), "position")
+
+
+@query("pl05_progress_lookup", "SELECT c_custkey AS item_id, position_ms FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC, event_id DESC) AS nth FROM progress_log) p ON c_custkey = p.item_id AND nth = 1", "progress_log")
+def looked_up(spark, sf):
+    items = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"))
+    return plays.progress_of(items, plays.latest_progress(v.progress_log(spark, sf))).select("item_id", "position_ms")
+
+
+@query("jn13_resolve", "SELECT doc_id AS item_id, path FROM inv_base WHERE doc_id % 6 <> 0 AND source <> 'src1'", "inv_base")
+def resolved_paths(spark, sf):
+    """Item ids of a library by its uuid to paths of files that are there, on roots that are."""
+    from ..operators.scan import availability
+
+    files = v.inv_base(spark, sf).select(F.col("doc_id").alias("item_id"), F.lit(1).alias("library_id"), "path", F.when(F.col("doc_id") % 6 == 0, 1).alias("missing_s"))
+    libraries = files.select("library_id").distinct().withColumn("uuid", F.lit("u-1"))
+    roots = v.table(spark, sf, "documents").select(F.concat(F.lit("/lib/"), "source").alias("root"), (F.col("source") != "src1").alias("available")).distinct()
+    wanted = files.select("item_id", F.lit("u-1").alias("uuid"))
+    there = wanted.join(libraries, "uuid").join(files, ["library_id", "item_id"]).where("missing_s IS NULL")
+    return there.join(availability(there, roots).where("available"), "path").select("item_id", "path")

@@ -87,3 +87,46 @@ def encoded(spark, sf):
     raw = F.to_json(F.struct(F.col("source").alias("title"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("artist"), F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("genres")))
     rows = docs.select("doc_id", metadata.decode(raw, "audio").alias("m")).select("doc_id", metadata.encode(F.col("m"), "audio").alias("json"))
     return rows.select("doc_id", F.get_json_object("json", "$.artist").alias("artist"), F.col("json").contains('"genres"').alias("has_genres"))
+
+
+@query("src03_table_scan", "SELECT count(*) AS rows, max(doc_id) AS last FROM inv_old", "inv_old")
+def table_scan(spark, sf):
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    catalog.commit({"files": v.inv_old(spark, sf).select("doc_id", "path")})
+    return catalog.read("files").agg(F.count("*").alias("rows"), F.max("doc_id").alias("last"))
+
+
+@query("src04_add_items", "SELECT 'files' AS name, count(*) AS rows FROM inv_base WHERE kind IS NOT NULL UNION ALL SELECT 'item_tags', 2 * count(*) FROM inv_base WHERE kind IS NOT NULL", "inv_base")
+def items_added(spark, sf):
+    from ..sources.catalog import add_items
+
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    rows = v.inv_base(spark, sf).where("kind IS NOT NULL").select(F.col("doc_id").alias("item_id"), F.lit(1).alias("library_id"), F.col("doc_id").alias("file_id"), "path", "kind", "size_bytes", "modified_s", F.sha2("text", 256).alias("value"), F.lit("{}").alias("metadata"))
+    add_items(catalog, rows.where("item_id % 2 = 0"), {})
+    add_items(catalog, rows.where("item_id % 2 = 1"), {n: catalog.read(n) for n in ("files", "file_hashes", "items", "item_tags")})
+    out = [catalog.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("files", "item_tags")]
+    return out[0].unionByName(out[1])
+
+
+@query("snk02_change_feed", "SELECT status AS type, count(*) AS events FROM diffed WHERE status <> 'unchanged' GROUP BY 1", "diffed")
+def change_feed(spark, sf):
+    """Two commits' events, appended and read again as a stream."""
+    feed = scratch(spark, "feed")
+    rows = diffed(spark, sf).where("status <> 'unchanged'").select(F.col("status").alias("type"), "path")
+    for half in (0, 1):
+        rows.where(F.pmod(F.xxhash64("path"), F.lit(2)) == half).write.mode("append").parquet(feed)
+    return run(spark.readStream.schema(rows.schema).parquet(feed), "append").groupBy("type").agg(F.count("*").alias("events"))
+
+
+@query("st05_live_shelves", "SELECT source, count(*) AS items FROM inv_base WHERE source IN (SELECT source FROM documents WHERE doc_id % 50 = 0) GROUP BY source", "inv_base")
+def live_shelves(spark, sf):
+    """What changed says which libraries' shelves to make anew."""
+    out = scratch(spark, "shelves")
+    touched = stream_of(spark, sf, "documents").where("doc_id % 50 = 0").select("source")
+
+    def again(batch: DataFrame, number: int) -> None:
+        shelf = v.inv_base(spark, sf).join(batch.distinct(), "source", "left_semi").groupBy("source").agg(F.count("*").alias("items"))
+        shelf.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    touched.writeStream.foreachBatch(again).option("checkpointLocation", scratch(spark, "shelves-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("source string, items long").parquet(f"{out}/*").groupBy("source").agg(F.max("items").alias("items"))
