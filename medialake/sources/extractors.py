@@ -42,3 +42,23 @@ class Extractors:
             rows = mine.select("file_id", "path", "kind").mapInPandas(e.run, f"file_id string, {schema}").withColumn("tier", F.lit(e.tier))
             found = rows if found is None else found.unionByName(rows)
         return found
+
+
+def render_thumbnails(pictures: DataFrame, render: Callable[[bytes, int], bytes | None], longest: int = 256) -> DataFrame:
+    """pictures(file_id, data) -> file_id, seq, role, mime, data of the thumbnails that `render` makes; what it can't decode, or fails on, gives no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            made = []
+            for file, data in zip(df.file_id, df.data):
+                try:
+                    small = render(bytes(data), longest)
+                except Exception:  # one bad picture must not stop the rest
+                    small = None
+                if small is not None:
+                    made.append((file, small))
+            yield pd.DataFrame(made, columns=["file_id", "data"])
+
+    key = pictures.schema["file_id"].dataType.simpleString()
+    rows = pictures.select("file_id", "data").mapInPandas(run, f"file_id {key}, data binary")
+    return rows.select("file_id", F.lit(0).cast("long").alias("seq"), F.lit("thumbnail").alias("role"), F.lit("image/jpeg").alias("mime"), "data")

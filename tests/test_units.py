@@ -173,3 +173,31 @@ def test_extractors(spark):
     files = spark.createDataFrame([("1", "/a.mp3", "audio"), ("2", "/b.mkv", "video"), ("3", "/c.pdf", "document")], "file_id string, path string, kind string")
     got = {r.file_id: r.title for r in merge.merge_tiers(files.select("file_id"), known.tiers(files, "title string")).collect()}
     assert got == {"1": "early", "2": "late", "3": None}
+
+
+def test_renderer_failures_give_no_row(spark):
+    from medialake.sources.extractors import render_thumbnails
+
+    rows = spark.createDataFrame([(1, bytearray(b"good")), (2, bytearray(b"bad")), (3, bytearray(b""))], "file_id long, data binary")
+
+    def render(data, longest):
+        if data == b"bad":
+            raise ValueError
+        return data[:2] or None
+
+    assert [(r.file_id, bytes(r.data), r.role) for r in render_thumbnails(rows, render).collect()] == [(1, b"go", "thumbnail")]
+
+
+def test_streams_agree_with_batches(spark):
+    """Bursts of folder changes: the last one waits for a later event."""
+    from medialake.sources.scratch import scratch
+    from medialake.streaming import jobs
+
+    path = scratch(spark, "bursts")
+    rows = [(1, "/m/a", "2024-01-01 00:00:00"), (1, "/m/b", "2024-01-01 00:00:01"), (1, "/m/c", "2024-01-01 00:00:30"), (2, "/m/z", "2024-01-01 00:05:00")]
+    df = spark.createDataFrame(rows, "library_id long, dir string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(path)
+    out = scratch(spark, "bursts-out")
+    jobs.collected(jobs.debounced_dirs(spark.readStream.schema(df.schema).parquet(path)), out, scratch(spark, "bursts-state"), "append")
+    got = sorted((r.library_id, sorted(r.dirs)) for r in spark.read.parquet(f"{out}/*").collect())
+    assert got == [(1, ["/m/a", "/m/b"]), (1, ["/m/c"])]
