@@ -130,7 +130,7 @@ class PieceModel:
 class Codec:
     """batch(texts): for each text its ids, as little-endian unsigned 32-bit bytes, and whether sentencepiece gives the same."""
 
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, keep: int = 300_000):
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, keep: int = 150_000):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model = PieceModel.parse(data)
@@ -140,13 +140,16 @@ class Codec:
         self.threads = threads
         self.known: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        self.bytes_of = self.model.spelled()
         self.broken = self.core.encode("\n", add_special_tokens=False).ids
         if len(self.broken) != 1:
             self.cut = None
 
-    def learn(self, new: list[str], group: int = 50) -> None:
-        """Encodes chunks in groups, joined by line breaks, which no piece crosses; a group's ids are cut at the break's id."""
+    def learn(self, new: list[str], group: int = 50, at_once: int = 5000) -> None:
+        """Encodes chunks in groups, joined by line breaks, which no piece crosses; a group's ids are cut at the break's id. Encodings are large, so only some groups are held at a time."""
+        for i in range(0, len(new), at_once):
+            self.learn_part(new[i : i + at_once], group)
+
+    def learn_part(self, new: list[str], group: int) -> None:
         joined = ["\n" + "\n".join(new[i : i + group]) for i in range(0, len(new), group)]
         ids = [e.ids for e in self.core.encode_batch(joined, add_special_tokens=False)]
         told = self.reader.encode([t.replace(MARKER, " ") for t in joined], num_threads=self.threads) if self.reader is not None else None
@@ -173,7 +176,15 @@ class Codec:
         self.learn(list({c for cs in chunks for c in cs}.difference(self.known)))
         return [(b"".join(map(self.known.__getitem__, cs)), not self.differ or self.differ.isdisjoint(cs)) for cs in chunks]
 
-    def decode(self, ids: bytes) -> str:
+
+class Decoder:
+    """text(ids) of little-endian unsigned 32-bit bytes: only the pieces' spelling is needed."""
+
+    def __init__(self, data: bytes):
+        self.model = PieceModel.parse(data)
+        self.bytes_of = self.model.spelled()
+
+    def text(self, ids: bytes) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
@@ -203,10 +214,10 @@ def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, verify=False)
+        decoder = Decoder(model)
         for batch in batches:
             ids = batch.column(names.index(ids_col)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if i is None else codec.decode(i) for i in ids], pa.string())], names=[*names, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if i is None else decoder.text(i) for i in ids], pa.string())], names=[*names, text_col])
 
     return spread(docs).mapInArrow(run, StructType([*docs.schema.fields]).add(text_col, StringType()))
 
