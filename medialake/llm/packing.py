@@ -135,7 +135,7 @@ def best_fit(lengths: np.ndarray, open_free: np.ndarray, most: int) -> tuple[np.
     return at, found
 
 
-def pack(pieces: DataFrame, most: int = 2048, grid: int = 16, parts: int = 3, group: int = 4000) -> DataFrame:
+def pack(pieces: DataFrame, most: int = 2048, grid: int = 8, parts: int = 3, group: int = 4000) -> DataFrame:
     """The pieces with sequence_id and offset: sequences of at most `most` tokens, as few as the patterns and best fit find.
 
     Full pieces stand alone. The others are counted by length, in steps of `grid`; patterns of up to `parts` of them that fill a sequence
