@@ -140,7 +140,7 @@ def pack(pieces: DataFrame, most: int = 2048, grid: int = 8, parts: int = 3, gro
 
     Full pieces stand alone. The others are counted by length, in steps of `grid`; patterns of up to `parts` of them that fill a sequence
     get repeat counts, and each piece's rank among its length's says which repeat of which pattern it joins. What is left over is packed
-    by best fit, in groups of about `group`, first into what the patterns left free and then into new sequences.
+    by best fit, in groups of about `group` pieces and at most five times as many open sequences, first into what the patterns left free and then into new sequences.
     Only the histogram and the patterns, both bounded by `most`, pass through the driver. Ranks are counted in salted parts of a length,
     so one length may hold any share of the rows. An empty table gives an empty result.
     """
@@ -181,7 +181,8 @@ def pack(pieces: DataFrame, most: int = 2048, grid: int = 8, parts: int = 3, gro
     placed = dealt.where("pattern IS NOT NULL").withColumn("upto", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.select(*columns, (4 * F.col("pattern") + 1).alias("sequence_id"), (F.col("upto") - F.col("length")).alias("offset"))
 
-    groups = max(1, math.ceil(max(0, total - int(taken.sum())) / group))
+    left = max(0, total - int(taken.sum()))
+    groups = max(1, math.ceil(left / group), math.ceil((left + first) / (5 * group)))  # neither pieces nor open sequences pile up in a group
     rest = dealt.where("pattern IS NULL").select(*columns, F.lit(None).cast("long").alias("open_id"), F.lit(0).cast("long").alias("filled"), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long").alias("part"))
     opened = placed.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") < most)
     opened = opened.select(*[F.lit(None).cast(rest.schema[c].dataType).alias(c) for c in columns], F.col("sequence_id").alias("open_id"), "filled", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("long").alias("part"))
