@@ -55,11 +55,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = hash_sample(labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "doc_id", max_docs)
     counts = labelled.select("lang", F.explode(F.split(F.lower("text"), r"(?U)\W+")).alias("term")).where("term <> ''").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.persist()
-    marked = F.concat(F.lit("<"), "term", F.lit(">"))
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(marked)))).alias("size")
-    grams = counts.select("lang", "n", marked.alias("marked"), lengths)
-    grams = grams.select("lang", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), F.length("marked") - F.col("size") + 1), lambda i: F.substring(F.col("marked"), i, F.col("size")))).alias("term"))
-    grams = grams.groupBy("lang", "term", "size").agg(F.sum("n").alias("n"))
+
+    def grams(size: int) -> DataFrame:
+        """lang, term, n of the n-grams of this size, each word's as often as the word."""
+        marked = counts.select("lang", "n", F.concat(F.lit("<"), "term", F.lit(">")).alias("marked")).where(F.length("marked") >= size)
+        each = F.transform(F.sequence(F.lit(1), F.length("marked") - size + 1), lambda i: F.substring(F.col("marked"), i, F.lit(size)))
+        return marked.select("lang", "n", F.explode(each).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(langs)}
@@ -83,7 +84,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = logs(most_frequent(counts.select("lang", "term", "n"), max_words))
     short: dict[str, int] = {}
     for size in range(1, longest + 1):
-        short |= logs(most_frequent(grams.where(F.col("size") == size).select("lang", "term", "n"), max_grams))
+        short |= logs(most_frequent(grams(size), max_grams))
     counts.unpersist()
     return Backoff(langs, np.concatenate(tables), known, short, longest)
 
