@@ -13,7 +13,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from medialake.llm import fingerprint, language_id, ngram_join, packing, piece_codec, quality, queries, reshard, toxicity
+from medialake.llm import components, fingerprint, language_id, ngram_join, packing, piece_codec, quality, queries, reshard, toxicity
+from medialake.llm.common import saved
 from medialake.llm.tokens import ByteBpe
 
 SMALL = "/root/testdata/sf0.001"
@@ -178,6 +179,18 @@ def test_near_classes_and_links(spark, limits):
     assert all(got[i][1] <= want[i][1] for i in texts)  # a link is never made up
 
 
+def test_components_of_chains(spark, monkeypatch):
+    """Chains numbered against the rule and at random have one component each, in rounds that grow with the logarithm of their length."""
+    n, rng = 300, np.random.default_rng(5)
+    chains = [[0, *range(n - 1, 0, -1)], (n + rng.permutation(n)).tolist()]
+    rounds = []
+    monkeypatch.setattr(components, "saved", lambda df, name: rounds.append(name) or saved(df, name))
+    edges = spark.createDataFrame([pair for c in chains for pair in zip(c, c[1:])], "u long, v long")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert got == {i: i // n * n for i in range(2 * n)}
+    assert rounds.count("component-labels") <= 16
+
+
 def test_near_classes_of_the_small_table(spark, texts):
     got = {r.doc_id: (r.class_id, r.n_links) for r in queries.op8_ngram_join(spark, SMALL).collect()}
     assert got == brute_classes(texts)
