@@ -21,6 +21,8 @@ from medialake.llm.queries import BPE
 LEAST_SURE = 0.5
 #: A document is rejected as toxic from this score.
 TOXIC_FROM = 0.7
+#: Ids may repeat or be null, so the duplicate stages tell rows apart by this column.
+ROW = "pipeline_row"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +38,23 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tagged.where(F.col("pipeline_toxic_score") < TOXIC_FROM).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that every read gives a row the same number."""
+    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of equal normalised texts, the smallest doc_id."""
-    said = exact_dedup(docs)
-    return without(docs, saved(said.where("NOT kept").select("doc_id"), "pipeline-copies"))
+    """Keeps, of equal normalised texts, one row, of the smallest doc_id; a null id only where there is no other."""
+    rows = numbered(docs)
+    said = exact_dedup(rows, row_col=ROW)
+    return without(rows, saved(said.where("NOT kept").select(ROW), "pipeline-copies"), ROW).select(*docs.columns)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near duplicates, the smallest doc_id."""
-    said = ngram_join(docs)
-    return without(docs, saved(said.where("doc_id <> class_id").select("doc_id"), "pipeline-near"))
+    """Keeps, of each group of near duplicates, one row, of the smallest doc_id; a null id only where there is no other."""
+    rows = numbered(docs)
+    said = ngram_join(rows, row_col=ROW)
+    return without(rows, saved(said.where("NOT kept").select(ROW), "pipeline-near"), ROW).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

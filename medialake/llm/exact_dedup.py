@@ -15,25 +15,27 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, head: int = 48) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, head: int = 48, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and row_col where it is given.
 
     Rows are range-partitioned by splitters that Spark samples from (first characters, digest, salt), sorted externally, and rows
     whose whole normalised texts equal their neighbour's form a run. The salt, dealt by id, lets a splitter fall inside a large group
     of copies, so that no task holds all of it; runs of one text are then put together by their digests, one small row a run.
 
     Null texts count as empty, and empty texts equal each other. Of rows that repeat both id and text, one is kept. A null id is kept
-    only where its whole group has none. Other columns are ignored. An empty table gives an empty result.
+    only where its whole group has none. Other columns are ignored. An empty table gives an empty result. row_col: a column that tells rows
+    apart, carried along; of rows with the same id and text the one where it is least is kept.
     """
     norm = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
-    rows = rows.select("doc_id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.substring("norm", 1, head).alias("head"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    own = [row_col] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"), *own)
+    rows = rows.select("doc_id", *own, "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.substring("norm", 1, head).alias("head"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     ranged = rows.repartitionByRange("head", "text_sha256", "salt")
-    run = Window.partitionBy("head", "text_sha256", "salt", "norm").orderBy(F.col("doc_id").asc_nulls_last())
+    run = Window.partitionBy("head", "text_sha256", "salt", "norm").orderBy(F.col("doc_id").asc_nulls_last(), *own)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = saved(ranged.select("doc_id", "text_sha256", F.row_number().over(run).alias("nth"), F.min("doc_id").over(whole).alias("run_min"), F.count(F.lit(1)).over(whole).alias("run_size")), "dedup-runs")
+    runs = saved(ranged.select("doc_id", *own, "text_sha256", F.row_number().over(run).alias("nth"), F.min("doc_id").over(whole).alias("run_min"), F.count(F.lit(1)).over(whole).alias("run_size")), "dedup-runs")
 
     groups = runs.where("nth = 1").groupBy("text_sha256").agg(F.min("run_min").alias("group_min"), F.sum("run_size").alias("size")).where("size > 1")
     out = runs.join(groups, "text_sha256", "left")
     keep = F.when(F.col("size").isNull(), F.col("run_min")).otherwise(F.col("group_min"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 1)).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 1)).alias("kept"), "text_sha256", *own)

@@ -274,18 +274,19 @@ def shared_leaves(reach: DataFrame) -> DataFrame:
     return reach.join(kept, "leaf")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = 256, split_above: int = 20_000, deepest: int = 8) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_copies.
+def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = 256, split_above: int = 20_000, deepest: int = 8, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links, n_copies; where row_col is given, also it and kept.
 
     Texts are linked whose sets of word n-grams (lower-cased runs of letters, digits and underscores) have at least this Jaccard similarity.
     class_id: the smallest id of all that are connected by links or have the same set. n_links: how many other sets are linked to the row's.
     n_copies: how many rows have the same set. A text of fewer than n words has one n-gram, of all of them. Null, empty and other texts
     without words are like nothing: each is its own class. A null id is never the smallest unless its class has no other. Rows that repeat an id are
-    taken as rows of their own. Other columns are ignored.
+    taken as rows of their own. Other columns are ignored. row_col: a column of long numbers that tells rows apart. kept: true for just one row
+    of each class, of those with the smallest id the one where row_col is least.
     """
     spark = docs.sparkSession
     runs = runs_for(recall, similarity)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = saved(sketched(rows, n, runs, similarity), "ngram-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")
     reps = sets.where("size > 0").groupBy("size", "d1", "d2").agg(first, F.count(F.lit(1)).alias("n_copies"))
@@ -343,8 +344,9 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     if parted.limit(1).count():
         over = components(parted).select(F.col("node").alias("rid"), "root")
         linked = linked.join(over, "rid", "left").select("rid", "n_links", F.coalesce("root", "near").alias("near"))
-    found = reps.join(linked, F.col("rep") == F.col("rid"), "left").select("size", "d1", "d2", "rep_doc", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("near", "rep").alias("class"))
-    classes = found.groupBy("class").agg(F.min("rep_doc").alias("class_id"))
-    found = found.join(classes, "class").select(F.col("size").alias("s"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "class_id", "n_links", "n_copies", F.lit(True).alias("known"))
-    every = sets.select("doc_id", "size", "d1", "d2").join(found, (F.col("size") == F.col("s")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-    return every.select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    found = reps.join(linked, F.col("rep") == F.col("rid"), "left").select("size", "d1", "d2", "rep", "rep_doc", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("near", "rep").alias("class"))
+    classes = found.groupBy("class").agg(F.min(F.struct(F.col("rep_doc").isNull().alias("no"), "rep_doc", "rep")).alias("first")).select("class", F.col("first.rep_doc").alias("class_id"), F.col("first.rep").alias("class_row"))
+    found = found.join(classes, "class").select(F.col("size").alias("s"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "class_id", "class_row", "n_links", "n_copies", F.lit(True).alias("known"))
+    every = sets.select("rid", "doc_id", "size", "d1", "d2").join(found, (F.col("size") == F.col("s")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    own = [F.col("rid").alias(row_col), F.coalesce(F.col("rid") == F.col("class_row"), F.lit(True)).alias("kept")] if row_col else []
+    return every.select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), *own)

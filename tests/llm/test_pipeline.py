@@ -51,6 +51,22 @@ def test_what_goes(spark, odd):
     assert 4 not in left and 3 in left and 0 in left and 1 not in left
 
 
+def test_one_row_of_each_group_stays(spark, odd):
+    """Repeated rows, an id with two texts, and null ids."""
+    long = " ".join(f"word{i}" for i in range(40))
+    more = [(20, "Some text of its own"), (21, "one"), (21, "Another clean text"), (None, "No id at all"), (None, "Neither here"), (None, "Neither here"), (30, long), (30, long), (None, long), (31, long + " end"), (31, "A clean text beside it"), (None, long[::-1]), (None, long[::-1])]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    want = {5: 1, 21: 1, 30: 1, 31: 2, 3: 1, 4: 0, 9: 1, 0: 1}
+    for stage, own in ((corpus_pipeline.no_copies, {}), (corpus_pipeline.no_near_copies, {31: 1})):
+        left = [(r.doc_id, r.text) for r in stage(spark, docs, SMALL).collect()]
+        ids = [i for i, _ in left]
+        if own:
+            want = want | own
+        assert {i: ids.count(i) for i in want} == want
+        assert (21, "Another clean text") in left and (31, "A clean text beside it") in left
+        assert [left.count((None, t)) for t in ("No id at all", "Neither here", long, long[::-1])] == [1, 1, 0, 1]
+
+
 def test_toxic_documents_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
