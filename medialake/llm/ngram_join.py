@@ -3,7 +3,8 @@
 1. Each text becomes the set of its hashed word n-grams; texts with the same set are taken as one from here on.
 2. A set's minima under `COORDINATES` hash functions are its tokens. In each run, a node of the tree samples about 1 / similarity of the tokens,
    and a set goes on to a child for each, named by the token's value: sets meet in a leaf where they share all the tokens on its path.
-   The number of runs follows from the target recall. Leaves with too many sets are split further, and what can't be split is compared in blocks.
+   The number of runs follows from the target recall, for leaves at just this depth. Leaves with too many sets are split in a way that parts no pair
+   that step 3 would link, and what can't be split is compared in blocks.
 3. In a leaf, sets whose minima agree often enough are linked; the components of those links are small, and hold all pairs that can be similar.
 4. Within a component every pair is compared exactly, on whole sets: this gives the links, and the classes.
 """
@@ -274,6 +275,34 @@ def shared_leaves(reach: DataFrame) -> DataFrame:
     return reach.join(kept, "leaf")
 
 
+def split_leaves(shared: DataFrame, large: DataFrame, sketches: DataFrame, agree: int, split_above: int) -> tuple[DataFrame, DataFrame]:
+    """All leaves again, the `large` ones split where that pays, and those of the new ones that are still large.
+
+    Two sets that agree in `agree` places share one at least of their COORDINATES - agree + 1 rarest tokens, if rarity is one order for the whole leaf.
+    So a leaf is replaced by one for each token, with the sets that have it among their rarest: no pair that counts is parted. Where this doesn't
+    halve the pairs to compare, as in a leaf of near copies, the leaf stays.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                tokens = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+                named = tokens.astype(np.int32) + (np.arange(COORDINATES, dtype=np.int32) << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(i).to_numpy(), COORDINATES)) for i in (0, 1)] + [pa.array(named.ravel())], names=["parent", "rid", "token"])
+
+    tokens = large.select("leaf", "rid").join(sketches, "rid").select("leaf", "rid", "sketch").mapInArrow(explode, "parent long, rid long, token int")
+    times = tokens.groupBy("parent", "token").agg(F.count(F.lit(1)).alias("times"))
+    ranked = tokens.join(times, ["parent", "token"]).groupBy("parent", "rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "token"))), 1, COORDINATES - agree + 1).alias("rarest"))
+    rarest = ranked.select("parent", "rid", F.explode("rarest").alias("at")).where("at.times > 1")
+    children = saved(rarest.select("parent", F.xxhash64("parent", "at.token").alias("leaf"), "rid"), "ngram-children")
+    cost = children.groupBy("parent", "leaf").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+    parents = large.groupBy(F.col("leaf").alias("parent")).agg(F.count(F.lit(1)).cast("double").alias("n")).join(cost, "parent", "left")
+    paying = saved(parents.where(F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("n") * F.col("n")).select("parent"), "ngram-paying")
+    deeper = saved(shared_leaves(children.join(paying, "parent", "left_semi").select("leaf", "rid").distinct()), "ngram-leaves")
+    kept = shared.join(paying, F.col("leaf") == F.col("parent"), "left_anti")
+    return saved(kept.unionByName(deeper), "ngram-leaves"), deeper.where(F.col("members") > split_above)
+
+
 def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = 256, split_above: int = 20_000, deepest: int = 8, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_copies; where row_col is given, also it and kept.
 
@@ -297,23 +326,14 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     reach = some.select("rid", "leaves").join(distinct, "rid", "left_semi").select(F.explode("leaves").alias("leaf"), "rid").distinct()
     shared = saved(shared_leaves(reach), "ngram-leaves")
     sketches = some.select("rid", "sketch")
+    agree = math.floor(COORDINATES * similarity - 3.5 * math.sqrt(COORDINATES * similarity * (1 - similarity)))
+
+    large = shared.where(F.col("members") > split_above)
     depth = DEPTH
-    while depth < deepest and shared.where(F.col("members") > split_above).limit(1).count():
-        large = shared.where(F.col("members") > split_above).select("leaf", "rid").join(sketches, "rid").select("leaf", "rid", "sketch")
-
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-                    nodes, at = descend(batch.column(0).to_numpy().view(U64), np.arange(len(tokens)), tokens, similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(batch.column(1).to_numpy()[at])], names=["leaf", "rid"])
-
-        deeper = shared_leaves(large.mapInArrow(split, "leaf long, rid long").distinct())
-        shared = saved(shared.where(F.col("members") <= split_above).unionByName(deeper), "ngram-leaves")
+    while depth < deepest and large.limit(1).count():
+        shared, large = split_leaves(shared, large, sketches, agree, split_above)
         depth += 1
 
-    agree = math.floor(COORDINATES * similarity - 3.5 * math.sqrt(COORDINATES * similarity * (1 - similarity)))
-
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             a, b = close_pairs(table, agree)

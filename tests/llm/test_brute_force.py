@@ -179,6 +179,33 @@ def test_near_classes_and_links(spark, limits):
     assert all(got[i][1] <= want[i][1] for i in texts)  # a link is never made up
 
 
+def test_split_leaves_lose_no_pair(spark):
+    """Every pair of one leaf that agrees in enough places shares a leaf after the split too; the leaf is split as it holds many small families."""
+    rng, agree = np.random.default_rng(8), 40
+    tokens = rng.integers(0, 1 << 16, (60, ngram_join.COORDINATES), dtype=np.uint16).repeat(5, axis=0)
+    tokens[:, :30] = tokens[0, :30]  # a passage that all share
+    for row in tokens:
+        row[rng.choice(64, int(rng.integers(0, 14)), replace=False)] = rng.integers(0, 1 << 16)
+    rows = [(i, bytearray(row.tobytes())) for i, row in enumerate(tokens)]
+    sketches = spark.createDataFrame(rows, "rid long, sketch binary")
+    shared = sketches.select(F.lit(7).cast("long").alias("leaf"), "rid", F.lit(len(rows)).cast("long").alias("members"))
+    got, large = ngram_join.split_leaves(shared, shared, sketches, agree, 40)
+    leaves = defaultdict(set)
+    for r in got.collect():
+        leaves[r.leaf].add(r.rid)
+    assert 7 not in leaves and large.count() == 0
+    met = {pair for rids in leaves.values() for pair in combinations(sorted(rids), 2)}
+    close = {(i, j) for i, j in combinations(range(len(tokens)), 2) if (tokens[i] == tokens[j]).sum() >= agree}
+    assert len(close) > 300 and close <= met
+
+
+def test_limits_change_no_result(spark):
+    """Splitting leaves is for speed only."""
+    docs = spark.createDataFrame(list(near_texts().items()), "doc_id long, text string")
+    whole, split = ([tuple(r) for r in ngram_join.ngram_join(docs, split_above=most, deepest=8).orderBy("doc_id").collect()] for most in (20_000, 2))
+    assert whole == split
+
+
 def test_components_of_chains(spark, monkeypatch):
     """Chains numbered against the rule and at random have one component each, in rounds that grow with the logarithm of their length."""
     n, rng = 300, np.random.default_rng(5)
