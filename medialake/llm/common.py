@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a new one under /tmp where none is named (tests)."""
+    """The shared folder that the cluster names. Where none is named a local session gets a new one under /tmp; a cluster, whose executors share no such folder, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -33,8 +35,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables of one call, in a folder of their own within the shared one; leaving the `with` block removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{scratch(spark)}/tables-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove(self.folder)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """The same rows, written and read back."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table that save gave and nothing reads any more."""
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            self.remove(folder)
+
+    def remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
-    """Texts can be very long: bound an Arrow batch by rows and by bytes, unless the session already asks for fewer."""
+    """Texts can be very long: bound an Arrow batch by rows and by bytes, unless the session already asks for fewer.
+
+    The setting stays, as plans are made when their result is asked for.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = str(spark.conf.get(key) or "").rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
@@ -42,7 +75,7 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over at least as many partitions as there are cores: an input of one small file would keep one core busy. Larger inputs are left as they lie."""
+    """The same rows over at least as many partitions as there are cores: an input of one small file would keep one core busy. Larger inputs are left as they lie. For scans only: df is planned to count its partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -60,6 +93,19 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < math.floor(1_000_000 * most / n))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, buckets: int, held: int, id_col: str, text_col: str, most: int) -> DataFrame:
+    """doc_id, label, text of about `most` labelled documents that aren't held out (crc32 of the id, modulo buckets, is held), chosen by a hash of the id.
+
+    One row an id, whatever repeats: the larger label, the smaller text. Null ids, labels other than 0 and 1 and labels without a document are left out, null texts count as
+    empty. `most` bounds the labels that are broadcast and the rows that are joined by a map-side aggregation.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_bucket(F.col(id_col), buckets) != held))
+    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    known = hash_sample(known, "label_id", most)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs less the rows whose key is in `dropped`. The keys are broadcast only when their counted number is small."""
     gone = dropped.select(F.col(key).alias("gone_id"))

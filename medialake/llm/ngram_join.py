@@ -5,14 +5,17 @@
    and a set goes on to a child for each, named by the token's value: sets meet in a leaf where they share all the tokens on its path.
    The number of runs follows from the target recall, for leaves at just this depth. Leaves with too many sets are split in a way that parts no pair
    that step 3 would link, and what can't be split is compared in blocks.
-3. In a leaf, sets whose minima agree often enough are linked; the components of those links are small, and hold all pairs that can be similar.
-4. Within a component every pair is compared exactly, on whole sets: this gives the links, and the classes.
+3. In a leaf, sets whose minima agree often enough are linked; the components of those links hold all pairs that can be similar.
+4. Within a component every pair is compared, on whole sets (of 32-bit hashes, so up to their collisions): this gives the links, and the classes.
+
+Large leaves and components have a pivot, one of their sets. Sets close to it need no comparison with each other: in a leaf they are all connected
+through it, in a component they are so close that any two of them are linked. Only the others are compared with all, in blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, saved, small_batches, spread
+from .common import BROADCAST_ROWS, Tables, saved, small_batches, spread
 from .components import components
 from .words import starts_of, words
 
@@ -168,20 +171,56 @@ def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 2000) -> Iterat
 
 
 def in_units(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """rows(group, members, rid, ...) with unit and part first: a group of up to `block` is one unit; of a larger one every two of its blocks are a unit, so that every pair meets in exactly one.
+    """rows(group, members, fars, far, rid, ...) with unit and part first, less fars and far. Units are such that every two rows of a group, of which one at least is far, meet in exactly one.
 
+    A group of up to `block` rows, all far, is one unit; else far and other rows are dealt into blocks each, and every two blocks of which one at least is far are a unit.
     part: -1 where all pairs of the unit count, else 0 or 1, and only pairs of different parts count.
     """
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    rows = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rid"), blocks).cast("int")})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
-    part = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-    names = [c for c in rows.columns if c not in ("blocks", "own", "other")]
-    out = rows.select(unit.alias("unit"), part.cast("int").alias("part"), *names)
+    near_blocks, far_blocks = F.ceil((F.col("members") - F.col("fars")) / block).cast("int"), F.ceil(F.col("fars") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.when(F.col("far"), far_blocks).otherwise(near_blocks)).cast("int"))
+    own = F.col("own")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda kind, a, b, part: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), part.cast("int").alias("part"))
+    with_far = F.transform(upto(far_blocks), lambda o: place(0, F.least(own, o), F.greatest(own, o), F.when(own == o, -1).otherwise((own > o).cast("int"))))
+    with_near = F.transform(upto(near_blocks), lambda o: place(1, own, o, F.lit(0)))
+    places = F.when(F.col("far"), F.concat(with_far, with_near)).otherwise(F.transform(upto(far_blocks), lambda o: place(1, o, own, F.lit(1))))
+    names = [c for c in rows.columns if c not in ("own", "fars", "far")]
+    rows = rows.withColumn("at", F.explode(places))
+    out = rows.select(F.xxhash64(group, "at.kind", "at.a", "at.b").alias("unit"), F.col("at.part").alias("part"), *names)
     return out.repartition("unit").sortWithinPartitions("unit", "part", "rid")
 
 
+def judged(rows: DataFrame, group: str, sets: DataFrame, column: str, far: Callable[[pa.RecordBatch], np.ndarray], block: int) -> DataFrame:
+    """rows(group, members, rid) of large groups -> group, members, rid, pivot, far: whether the row's `column`, and size, are far from those of the group's pivot, its smallest row.
+
+    far is given batches of size, column, pivot size, pivot column. The pivots are dealt to the blocks of their group, so that no task gets a whole one.
+    """
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    pivots = rows.groupBy(group).agg(F.min("rid").alias("pivot"), F.max("members").alias("members")).select(group, "pivot", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))
+    pivots = pivots.join(sets.select(F.col("rid").alias("pivot"), F.col("size").alias("pivot_size"), F.col(column).alias("pivot_set")), "pivot")
+    both = rows.withColumn("own", F.pmod(F.xxhash64("rid"), blocks).cast("int")).join(sets.select("rid", "size", column), "rid").join(pivots, [group, "own"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(far(part.select([4, 5, 6, 7])))], names=[group, "members", "rid", "pivot", "far"])
+
+    return both.select(group, "members", "rid", "pivot", "size", column, "pivot_size", "pivot_set").mapInArrow(judge, f"{group} long, members long, rid long, pivot long, far boolean")
+
+
+def rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+
+
+def with_fars(small: DataFrame, told: DataFrame | None, group: str) -> DataFrame:
+    """group, members, fars (how many far rows the group has, as its size counts), far, rid: of the small groups, whose rows are all far, and of those that `judged` told."""
+    rows = small.select(group, "members", F.col("members").alias("fars"), F.lit(True).alias("far"), "rid")
+    if told is None:
+        return rows
+    share = F.ceil(F.max("members") * F.avg(F.col("far").cast("double"))).cast("long").alias("fars")
+    return rows.unionByName(told.join(told.groupBy(group).agg(share), group).select(group, "members", "fars", "far", "rid"))
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest row of each row's component under links a-b."""
     label = np.arange(n)
@@ -275,7 +314,7 @@ def shared_leaves(reach: DataFrame) -> DataFrame:
     return reach.join(kept, "leaf")
 
 
-def split_leaves(shared: DataFrame, large: DataFrame, sketches: DataFrame, agree: int, split_above: int) -> tuple[DataFrame, DataFrame]:
+def split_leaves(shared: DataFrame, large: DataFrame, sketches: DataFrame, agree: int, split_above: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """All leaves again, the `large` ones split where that pays, and those of the new ones that are still large.
 
     Two sets that agree in `agree` places share one at least of their COORDINATES - agree + 1 rarest tokens, if rarity is one order for the whole leaf.
@@ -294,16 +333,16 @@ def split_leaves(shared: DataFrame, large: DataFrame, sketches: DataFrame, agree
     times = tokens.groupBy("parent", "token").agg(F.count(F.lit(1)).alias("times"))
     ranked = tokens.join(times, ["parent", "token"]).groupBy("parent", "rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "token"))), 1, COORDINATES - agree + 1).alias("rarest"))
     rarest = ranked.select("parent", "rid", F.explode("rarest").alias("at")).where("at.times > 1")
-    children = saved(rarest.select("parent", F.xxhash64("parent", "at.token").alias("leaf"), "rid"), "ngram-children")
+    children = tables.save(rarest.select("parent", F.xxhash64("parent", "at.token").alias("leaf"), "rid"), "ngram-children")
     cost = children.groupBy("parent", "leaf").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
     parents = large.groupBy(F.col("leaf").alias("parent")).agg(F.count(F.lit(1)).cast("double").alias("n")).join(cost, "parent", "left")
-    paying = saved(parents.where(F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("n") * F.col("n")).select("parent"), "ngram-paying")
-    deeper = saved(shared_leaves(children.join(paying, "parent", "left_semi").select("leaf", "rid").distinct()), "ngram-leaves")
+    paying = tables.save(parents.where(F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("n") * F.col("n")).select("parent"), "ngram-paying")
+    deeper = tables.save(shared_leaves(children.join(paying, "parent", "left_semi").select("leaf", "rid").distinct()), "ngram-leaves")
     kept = shared.join(paying, F.col("leaf") == F.col("parent"), "left_anti")
-    return saved(kept.unionByName(deeper), "ngram-leaves"), deeper.where(F.col("members") > split_above)
+    return tables.save(kept.unionByName(deeper), "ngram-leaves"), deeper.where(F.col("members") > split_above)
 
 
-def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = 256, split_above: int = 20_000, deepest: int = 8, row_col: str | None = None) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, split_above: int = 20_000, deepest: int = 8, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_copies; where row_col is given, also it and kept.
 
     Texts are linked whose sets of word n-grams (lower-cased runs of letters, digits and underscores) have at least this Jaccard similarity.
@@ -311,29 +350,52 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     n_copies: how many rows have the same set. A text of fewer than n words has one n-gram, of all of them. Null, empty and other texts
     without words are like nothing: each is its own class. A null id is never the smallest unless its class has no other. Rows that repeat an id are
     taken as rows of their own. Other columns are ignored. row_col: a column of long numbers that tells rows apart. kept: true for just one row
-    of each class, of those with the smallest id the one where row_col is least.
+    of each class, of those with the smallest id the one where row_col is least. The result is written in the shared folder, what led to it is removed.
+
+    block: how many rows, or thousands of n-grams if that is more, a task compares with as many others. It changes no result, nor do split_above and deepest.
     """
-    spark = docs.sparkSession
-    runs = runs_for(recall, similarity)
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = saved(sketched(rows, n, runs, similarity), "ngram-sets")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")
-    reps = sets.where("size > 0").groupBy("size", "d1", "d2").agg(first, F.count(F.lit(1)).alias("n_copies"))
-    reps = saved(reps.select("size", "d1", "d2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("rep_doc"), "n_copies"), "ngram-reps")
+    with Tables(docs.sparkSession) as tables:
+        out = joined(rows, n, similarity, recall, block, split_above, deepest, tables)
+        return saved(out.withColumnRenamed("rid", row_col) if row_col else out.drop("rid", "kept"), "ngram-join")
+
 
+def joined(rows: DataFrame, n: int, similarity: float, recall: float, block: int, split_above: int, deepest: int, tables: Tables) -> DataFrame:
+    """rows(rid, doc_id, text) -> doc_id, class_id, n_links, n_copies, rid, kept."""
+    sets = tables.save(sketched(rows, n, runs_for(recall, similarity), similarity), "ngram-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")
     some = sets.where("size > 0")
-    distinct = reps.select(F.col("rep").alias("rid"))
-    reach = some.select("rid", "leaves").join(distinct, "rid", "left_semi").select(F.explode("leaves").alias("leaf"), "rid").distinct()
-    shared = saved(shared_leaves(reach), "ngram-leaves")
-    sketches = some.select("rid", "sketch")
+    reps = some.groupBy("size", "d1", "d2").agg(first, F.count(F.lit(1)).alias("n_copies"))
+    reps = tables.save(reps.select("size", "d1", "d2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("rep_doc"), "n_copies"), "ngram-reps")
+
+    reach = some.select("rid", "leaves").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi").select(F.explode("leaves").alias("leaf"), "rid").distinct()
+    shared = tables.save(shared_leaves(reach), "ngram-leaves")
     agree = math.floor(COORDINATES * similarity - 3.5 * math.sqrt(COORDINATES * similarity * (1 - similarity)))
+    groups = components(close_links(shared, some, agree, 4 * block, split_above, deepest, tables), tables)
+    groups = tables.save(groups.select("root", F.col("node").alias("rid")), "ngram-groups")
+    linked = exact_links(groups, some, similarity, block, tables)
 
+    found = reps.join(linked, F.col("rep") == F.col("rid"), "left").select("size", "d1", "d2", "rep", "rep_doc", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("near", "rep").alias("class"))
+    classes = found.groupBy("class").agg(F.min(F.struct(F.col("rep_doc").isNull().alias("no"), "rep_doc", "rep")).alias("first")).select("class", F.col("first.rep_doc").alias("class_id"), F.col("first.rep").alias("class_row"))
+    found = found.join(classes, "class").select(F.col("size").alias("s"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "class_id", "class_row", "n_links", "n_copies", F.lit(True).alias("known"))
+    every = sets.select("rid", "doc_id", "size", "d1", "d2").join(found, (F.col("size") == F.col("s")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    class_id = F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
+    numbers = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")]
+    return every.select("doc_id", class_id, *numbers, "rid", F.coalesce(F.col("rid") == F.col("class_row"), F.lit(True)).alias("kept"))
+
+
+def close_links(shared: DataFrame, sets: DataFrame, agree: int, block: int, split_above: int, deepest: int, tables: Tables) -> DataFrame:
+    """u, v: links of rows that meet in a leaf and whose minima agree in `agree` places, as many as connect all such rows."""
+    sketches = sets.select("rid", "size", "sketch")
     large = shared.where(F.col("members") > split_above)
     depth = DEPTH
     while depth < deepest and large.limit(1).count():
-        shared, large = split_leaves(shared, large, sketches, agree, split_above)
+        shared, large = split_leaves(shared, large, sketches, agree, split_above, tables)
         depth += 1
 
+    def differ(batch: pa.RecordBatch) -> np.ndarray:
+        return (rows_of(batch.column(1)) == rows_of(batch.column(3))).sum(axis=1) < agree
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             a, b = close_pairs(table, agree)
@@ -342,14 +404,28 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
             other = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(rid[other]), pa.array(rid[label[other]])], names=["u", "v"])
 
-    met = in_units(shared.join(sketches, "rid").select("leaf", "members", "rid", "sketch"), "leaf", 4 * block)
-    groups = components(met.mapInArrow(near, "u long, v long").distinct())
-    groups = saved(groups.select("root", F.col("node").alias("rid")), "ngram-groups")
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
-    wanted = sized.select(F.col("rid").alias("wanted"), "root", "members")
-    if groups.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    compared = some.select("rid", "size", "grams").join(wanted, F.col("rid") == F.col("wanted")).select("root", "members", "rid", "size", "grams")
+    over = shared.where(F.col("members") > block).select("leaf", "members", "rid")
+    told = tables.save(judged(over, "leaf", sketches, "sketch", differ, block), "ngram-leaf-pivots") if over.limit(1).count() else None
+    met = with_fars(shared.where(F.col("members") <= block), told, "leaf").join(sketches.select("rid", "sketch"), "rid")
+    links = in_units(met, "leaf", block).mapInArrow(near, "u long, v long")
+    if told is not None:
+        links = links.union(told.where("NOT far AND rid <> pivot").select("rid", "pivot"))
+    return links.distinct()
+
+
+def exact_links(groups: DataFrame, sets: DataFrame, similarity: float, block: int, tables: Tables) -> DataFrame:
+    """groups(root, rid) -> rid, n_links, near (a row's class within its group)."""
+    share = similarity / (1 + similarity)
+    counted = groups.join(sets.select("rid", "size"), "rid").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    sized = tables.save(groups.join(counted, "root").select("root", F.greatest("n", F.ceil(F.col("grams") / 1000)).cast("long").alias("members"), "rid"), "ngram-sized")
+
+    def loose(batch: pa.RecordBatch) -> np.ndarray:
+        # two sets are similar if they share `share` of the sum of their sizes; they share at least what both have of the pivot's. So they are, if each misses
+        # so little of the pivot that what it misses, and its part of that sum, are half of the pivot
+        size, core_size = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        grams = ((np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()))
+        held = np.fromiter((np.isin(core, mine).sum() for mine, core in grams), np.int64, len(size))
+        return core_size - held + share * size > core_size / 2 - 1e-6
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -358,15 +434,19 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
             label = roots(m, a, b)
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(a, minlength=m) + np.bincount(b, minlength=m)), pa.array(rid[label]), pa.array(table.column("members").to_numpy() > block)], names=["rid", "links", "near", "parted"])
 
-    told = saved(in_units(compared, "root", block).mapInArrow(links, "rid long, links long, near long, parted boolean"), "ngram-links")
-    linked = told.groupBy("rid").agg(F.sum("links").alias("n_links"), F.min("near").alias("near"))
-    parted = told.where("parted").select(F.col("rid").alias("u"), F.col("near").alias("v"))
-    if parted.limit(1).count():
-        over = components(parted).select(F.col("node").alias("rid"), "root")
-        linked = linked.join(over, "rid", "left").select("rid", "n_links", F.coalesce("root", "near").alias("near"))
-    found = reps.join(linked, F.col("rep") == F.col("rid"), "left").select("size", "d1", "d2", "rep", "rep_doc", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("near", "rep").alias("class"))
-    classes = found.groupBy("class").agg(F.min(F.struct(F.col("rep_doc").isNull().alias("no"), "rep_doc", "rep")).alias("first")).select("class", F.col("first.rep_doc").alias("class_id"), F.col("first.rep").alias("class_row"))
-    found = found.join(classes, "class").select(F.col("size").alias("s"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "class_id", "class_row", "n_links", "n_copies", F.lit(True).alias("known"))
-    every = sets.select("rid", "doc_id", "size", "d1", "d2").join(found, (F.col("size") == F.col("s")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-    own = [F.col("rid").alias(row_col), F.coalesce(F.col("rid") == F.col("class_row"), F.lit(True)).alias("kept")] if row_col else []
-    return every.select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), *own)
+    over = sized.where(F.col("members") > block)
+    some_over = bool(over.limit(1).count())
+    told = tables.save(judged(over, "root", sets, "grams", loose, block), "ngram-group-pivots") if some_over else None
+    wanted = with_fars(sized.where(F.col("members") <= block), told, "root")
+    if groups.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    compared = wanted.join(sets.select("rid", "size", "grams"), "rid")
+    met = tables.save(in_units(compared, "root", block).mapInArrow(links, "rid long, links long, near long, parted boolean"), "ngram-links")
+    if told is None:
+        return met.groupBy("rid").agg(F.sum("links").alias("n_links"), F.min("near").alias("near"))
+    near_rows = told.where("NOT far")
+    close = near_rows.join(near_rows.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("links")), "root")
+    met = met.unionByName(close.select("rid", "links", F.col("pivot").alias("near"), F.lit(True).alias("parted")))
+    linked = met.groupBy("rid").agg(F.sum("links").alias("n_links"), F.min("near").alias("near"))
+    parts = components(met.where("parted").select(F.col("rid").alias("u"), F.col("near").alias("v")), tables).select(F.col("node").alias("rid"), "root")
+    return linked.join(parts, "rid", "left").select("rid", "n_links", F.coalesce("root", "near").alias("near"))
