@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import crc_bucket, hash_sample, small_batches, spread
-from .words import sums_of, words
+from .common import Tables, crc_bucket, small_batches, spread
+from .words import stretches, sums_of
 
 UND = "und"
+#: A run of letters, digits or underscores; marks such as accents and vowel signs belong to it.
+WORD = regex.compile(r"\w+")
+
+
+def spoken(text: str) -> list[str]:
+    """The words of a text, lower-cased: one rule for learning and predicting."""
+    return WORD.findall(text.lower())
 
 
 @dataclass
@@ -46,79 +56,113 @@ class Backoff:
         return sums_of(self.table[flat], sizes) / np.maximum(sizes, 1)[:, None].astype(np.float32)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, max_words: int = 30_000, max_grams: int = 15_000, longest: int = 4, least: int = 3) -> Backoff:
-    """Learns from about max_docs rows that have a language and aren't held out (crc32 of the id, modulo 4, is 2), chosen by a hash of the id.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1000, longest: int = 4, least: int = 3) -> Backoff:
+    """Learns from about max_docs rows of each language that aren't held out (crc32 of the id, modulo 4, is 2), chosen by a hash of the id; one row an id and language.
 
-    Words and n-grams are counted by Spark; the most frequent max_words words, and max_grams n-grams of each length, make up the model.
+    Words, cut by the same rule as in `identify`, and their n-grams are counted by Spark; all that occur `least` times in those rows make up the model, which only
+    max_docs bounds.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_bucket(F.col(id_col), 4) != 2))
-    labelled = hash_sample(labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "doc_id", max_docs)
-    counts = labelled.select("lang", F.explode(F.split(F.lower("text"), r"(?U)\W+")).alias("term")).where("term <> ''").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.persist()
-
-    def grams(size: int) -> DataFrame:
-        """lang, term, n of the n-grams of this size, each word's as often as the word."""
-        marked = counts.select("lang", "n", F.concat(F.lit("<"), "term", F.lit(">")).alias("marked")).where(F.length("marked") >= size)
-        each = F.transform(F.sequence(F.lit(1), F.length("marked") - size + 1), lambda i: F.substring(F.col("marked"), i, F.lit(size)))
-        return marked.select("lang", "n", F.explode(each).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
-
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    place = {x: i for i, x in enumerate(langs)}
-
-    def most_frequent(df: DataFrame, most: int) -> list:
-        by_term = df.groupBy("term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("total") >= least)
-        return by_term.orderBy(F.desc("total"), "term").limit(most).select("term", "by").collect()
-
-    tables: list[np.ndarray] = [np.zeros((0, len(langs)), np.float32)]
-
-    def logs(rows: list) -> dict[str, int]:
-        counted = np.full((len(rows), len(langs)), 0.5, np.float64)
-        for i, r in enumerate(rows):
-            for lang, n in r["by"].items():
-                counted[i, place[lang]] += n
-        counted = np.log(counted / np.maximum(counted.sum(axis=0), 1))
-        first = sum(map(len, tables))
-        tables.append((counted - counted.max(axis=1, keepdims=True) if len(langs) else counted).astype(np.float32))
-        return {r["term"]: first + i for i, r in enumerate(rows)}
-
-    known = logs(most_frequent(counts.select("lang", "term", "n"), max_words))
-    short: dict[str, int] = {}
-    for size in range(1, longest + 1):
-        short |= logs(most_frequent(grams(size), max_grams))
-    counts.unpersist()
-    return Backoff(langs, np.concatenate(tables), known, short, longest)
-
-
-def identify(docs: DataFrame, model: Backoff, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", keep: int = 200_000) -> DataFrame:
-    """docs(...) with pred_col and score_col added after its own columns; the score is the language's share of the likelihood, 0 to 1.
-
-    `und`, score 0, where the text is null or has no letters. With no language learned, every other text gets `und` too.
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_bucket(F.col(id_col), 4) != 2))
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    each = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    langs = sorted(each)
+    if not langs:
+        return Backoff([], np.zeros((0, 0), np.float32), {}, {}, longest)
+    share = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, math.ceil(1_000_000 * max_docs / each[lang]))]), F.col("lang"))
+    rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < share).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def packed(times: Counter[tuple[str, int, str]]) -> pa.RecordBatch:
+        keys = list(zip(*times)) or [(), (), ()]
+        done = pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(list(times.values()), pa.int64())], names=["lang", "size", "term", "n"])
+        times.clear()
+        return done
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: Counter[tuple[str, int, str]] = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                times.update((lang, 0, w) for w in spoken(text))
+                if len(times) > 300_000:
+                    yield packed(times)
+        yield packed(times)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words and, with each word's ends marked, their n-grams."""
+        times: Counter[tuple[str, int, str]] = Counter()
+        for batch in batches:
+            for lang, term, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                times[lang, 0, term] += n
+                marked = f"<{term}>"
+                for size in range(1, min(longest, len(marked)) + 1):
+                    for i in range(len(marked) - size + 1):
+                        times[lang, size, marked[i : i + size]] += n
+            if len(times) > 300_000:
+                yield packed(times)
+        yield packed(times)
+
+    counted_terms = "lang string, size int, term string, n long"
+    with Tables(spark) as tables:
+        counts = rows.select("lang", "text").mapInArrow(count, counted_terms).groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
+        terms = spread(tables.save(counts, "language-words")).mapInArrow(cut, counted_terms).groupBy("size", "term", "lang").agg(F.sum("n").alias("n"))
+        by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+        found = terms.groupBy("size", "term").agg(F.sum("n").alias("total"), *by_lang).where(F.col("total") >= least).drop("total").toArrow().sort_by([("size", "ascending"), ("term", "ascending")])
+
+    counted = np.stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1) + 0.5
+    sizes, names = found.column("size").to_numpy(), found.column("term").to_pylist()
+    for size in range(longest + 1):
+        counted[sizes == size] /= np.maximum(counted[sizes == size].sum(axis=0), 1)
+    logs = np.log(counted)
+    table = (logs - logs.max(axis=1, keepdims=True)).astype(np.float32)
+    whole = int((sizes == 0).sum())  # words come first
+    return Backoff(langs, table, dict(zip(names[:whole], range(whole))), dict(zip(names[whole:], range(whole, len(names)))), longest)
+
+
+def identify(docs: DataFrame, model: Backoff, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", cells: int = 4_000_000) -> DataFrame:
+    """docs less columns named pred_col and score_col, with those two added last; the score is the language's share of the likelihood, 0 to 1.
+
+    `und`, score 0, where the text is null or has no letters. With no language learned, every other text gets `und` too. A task holds about `cells` numbers at a
+    time, a language's log frequency of a word each.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop(pred_col, score_col)
     n = len(model.langs)
+    words_kept, step = cells // max(1, n), max(1, cells // max(1, n))
+
+    def tag_stretch(texts: list[str], rows: dict[str, int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = list(map(spoken, texts))
+        new = list(set(chain.from_iterable(found)).difference(rows))
+        table = np.concatenate([table, model.scores(new)])
+        rows.update(zip(new, range(len(rows), len(table))))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(map(rows.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(found)), sizes)
+        total = np.zeros((len(found), n))
+        for at in range(0, len(flat), step):
+            mine = owner[at : at + step]
+            first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            total[mine[first]] += np.add.reduceat(table[flat[at : at + step]], first, axis=0)
+        share = np.exp(total - total.max(axis=1, keepdims=True))
+        return table, share.argmax(axis=1), share.max(axis=1) / share.sum(axis=1)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, int] = {}
         table = np.zeros((0, n), np.float32)
         for batch in batches:
-            if len(rows) > keep:
-                rows, table = {}, table[:0]
-            texts = batch.column(names.index(text_col)).to_pylist()
-            found = [words(t.lower()) if t else [] for t in texts]
-            letters = [any(map(str.isalpha, ws[0] if ws else "")) or any(map(str.isalpha, t or "")) for ws, t in zip(found, texts)]
-            new = list(set(chain.from_iterable(found)).difference(rows))
-            table = np.concatenate([table, model.scores(new)])
-            rows.update(zip(new, range(len(rows), len(table))))
-            sizes = list(map(len, found))
-            ids = [np.fromiter(map(rows.__getitem__, ws), np.int64, len(ws)) for ws in found]
-            sizes = np.array(sizes, np.int64)
-            total = sums_of(table[np.concatenate(ids)] if ids else table[:0], sizes).astype(np.float64)
-            share = np.exp(total - total.max(axis=1, keepdims=True)) if n else np.zeros((len(sizes), 1))
-            best = share.argmax(axis=1) if n else np.zeros(len(sizes), np.int64)
-            score = share.max(axis=1) / share.sum(axis=1) if n else np.zeros(len(sizes))
-            clear = np.array(letters, bool) & bool(n)
-            pred = [model.langs[b] if ok else UND for b, ok in zip(best, clear)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(clear, score, 0.0), pa.float64())], names=[*names, pred_col, score_col])
+            texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
+            clear = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts)) & bool(n)
+            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for part in stretches(texts, max(1, 4 * cells // max(1, n))) if n else ():
+                if len(rows) > words_kept:
+                    rows, table = {}, table[:0]
+                table, b, s = tag_stretch(part, rows, table)
+                best.append(b)
+                score.append(s)
+            places = np.concatenate(best) if n else np.zeros(len(texts), np.int64)
+            pred = [model.langs[b] if ok else UND for b, ok in zip(places, clear)]
+            sure = np.where(clear, np.concatenate(score), 0.0) if n else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*names, pred_col, score_col])
 
     names = docs.columns
     schema = StructType([*docs.schema.fields]).add(pred_col, StringType()).add(score_col, DoubleType())

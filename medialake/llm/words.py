@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -23,3 +24,16 @@ def sums_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if some.any():
         out[some] = np.add.reduceat(values, starts_of(sizes)[some], axis=0)
     return out
+
+
+def stretches(texts: list[str], size: int = 4_000_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of about `size` characters; a longer text is a list of its own."""
+    part, held = [], 0
+    for text in texts:
+        if part and held + len(text) > size:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
