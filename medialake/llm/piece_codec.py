@@ -1,7 +1,7 @@
 """SentencePiece models run by the tokenizers library: the model file is parsed, and its normaliser, marker, scores and byte fallback rebuilt.
 
 Pieces never hold the marker after another character, nor a line break, so a normalised text is cut there and each distinct chunk is encoded once,
-in multithreaded batches, and held against sentencepiece itself.
+in multithreaded batches. All ids are held against sentencepiece itself.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StringType, StructType
-from tokenizers import Regex, Tokenizer, models, normalizers
+from tokenizers import Encoding, Tokenizer, models, normalizers
 
 from .common import small_batches, spread
 
@@ -63,6 +64,7 @@ class PieceModel:
     dummy_prefix: bool
     squeeze: bool
     escape: bool
+    unknown_text: str = " \u2047 "
 
     @classmethod
     def parse(cls, data: bytes) -> PieceModel:
@@ -75,25 +77,30 @@ class PieceModel:
                 trainer = dict(wire(value))
             elif field == 3:
                 normal = dict(wire(value))
-        return cls(pieces, trainer.get(3, UNIGRAM), bool(trainer.get(35, 0)), normal.get(2, b""), bool(normal.get(3, 1)), bool(normal.get(4, 1)), bool(normal.get(5, 1)))
+        return cls(pieces, trainer.get(3, UNIGRAM), bool(trainer.get(35, 0)), normal.get(2, b""), bool(normal.get(3, 1)), bool(normal.get(4, 1)), bool(normal.get(5, 1)), trainer.get(44, b" \xe2\x81\x87 ").decode())
+
+    @cached_property
+    def unknown(self) -> int:
+        return next(i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN)
 
     def normalise(self, text: str, precompiled: normalizers.Normalizer | None) -> str:
         if precompiled is not None:
             text = precompiled.normalize_str(text)
         if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
+            text = re.sub(" +", " ", text).lstrip(" ")
         if not text:
             return text
         if self.dummy_prefix:
             text = f" {text}"
-        return text.replace(" ", MARKER) if self.escape else text
+        text = text.replace(" ", MARKER) if self.escape else text
+        return text.rstrip(f" {MARKER}" if self.escape else " ") if self.squeeze else text
 
     def core(self) -> Tokenizer:
-        """The model over normalised text."""
+        """The model over normalised text that holds no user-defined piece. In a unigram model only normal pieces may be found: the others get names that no such text holds."""
         ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-        unknown = next(i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN)
         if self.kind == UNIGRAM:
-            return Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], unknown, self.byte_fallback))
+            hidden = " " if self.escape else "\uffff"
+            return Tokenizer(models.Unigram([(p, s) if k == NORMAL else (f"{hidden}{i}", 0.0) for i, (p, s, k) in enumerate(self.pieces)], self.unknown, False))
         if self.kind != BPE:
             raise ValueError("only unigram and BPE models are known")
         merges = []
@@ -101,18 +108,12 @@ class PieceModel:
             if kind in (NORMAL, USER_DEFINED):
                 halves = [(piece[:k], piece[k:]) for k in range(1, len(piece)) if piece[:k] in ids and piece[k:] in ids]
                 merges += [(-score, i, ids[a], ids[b], (a, b)) for a, b in halves]
-        return Tokenizer(models.BPE(ids, [m[-1] for m in sorted(merges)], unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback))
+        return Tokenizer(models.BPE(ids, [m[-1] for m in sorted(merges)], unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback))
 
-    def tokenizer(self) -> Tokenizer:
-        """The whole model as a tokenizers.Tokenizer, normaliser included."""
-        steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
-        if self.squeeze:
-            steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Strip()]
-        steps += [normalizers.Prepend(" ")] if self.dummy_prefix else []
-        steps += [normalizers.Replace(" ", MARKER)] if self.escape else []
-        out = self.core()
-        out.normalizer = normalizers.Sequence(steps)
-        return out
+    def user_defined(self) -> re.Pattern | None:
+        """Finds the user-defined pieces, which always stand alone."""
+        own = sorted((p for p, _, k in self.pieces if k == USER_DEFINED), key=len, reverse=True)
+        return re.compile("|".join(map(re.escape, own))) if own else None
 
     def chunks(self) -> re.Pattern | None:
         """Where normalised text may be cut; None if some piece forbids it."""
@@ -124,36 +125,71 @@ class PieceModel:
     def spelled(self) -> list[bytes]:
         """The bytes that each id stands for."""
         as_byte = lambda p: bytes([int(p[3:5], 16)])
-        return [as_byte(p) if k == BYTE else b"" if k == CONTROL else p.replace(MARKER, " ").encode() for p, _, k in self.pieces]
+        return [as_byte(p) if k == BYTE else b"" if k == CONTROL else self.unknown_text.encode() if k == UNKNOWN else p.replace(MARKER, " ").encode() for p, _, k in self.pieces]
 
 
 class Codec:
-    """batch(texts): for each text its ids, as little-endian unsigned 32-bit bytes, and whether sentencepiece gives the same."""
+    """batch(texts): for each text its ids, as little-endian unsigned 32-bit bytes, and whether sentencepiece gives the same.
+
+    sentencepiece is given the distinct chunks of a BPE model whose normaliser only marks blanks; else the texts as they are. In a unigram model
+    segmentations of just the same score, as of three blanks in pieces of one and two, may be told apart otherwise than by sentencepiece: parity is False there.
+    """
 
     def __init__(self, data: bytes, threads: int = 2, verify: bool = True, keep: int = 150_000):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model = PieceModel.parse(data)
         self.core, self.cut, self.keep = self.model.core(), self.model.chunks(), keep
+        self.user, self.unknown = self.model.user_defined(), self.model.unknown
+        self.ids = {p: i for i, (p, _, _) in enumerate(self.model.pieces)}
         self.precompiled = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.reader = sentencepiece.SentencePieceProcessor(model_proto=data) if verify else None
         self.threads = threads
         self.known: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        self.broken = self.core.encode("\n", add_special_tokens=False).ids
-        if len(self.broken) != 1:
-            self.cut = None
+        self.broken = self.encode(["\n"])[0]
+        #: The id of a line break marks where one chunk ends, if only a line break has it.
+        self.marks = len(self.broken) == 1 and self.broken[0] != self.unknown and self.user is None
+        self.by_chunk = self.marks and self.model.kind == BPE and not self.model.charsmap and not self.model.squeeze
+
+    def encode(self, normal: list[str]) -> list[list[int]]:
+        """Ids of normalised texts."""
+        if self.user is None:
+            return [self.bytes_for(t, e) for t, e in zip(normal, self.core.encode_batch(normal, add_special_tokens=False))]
+        parts = [[t[a:b] for a, b in self.bounds(t)] for t in normal]
+        flat = [p for ps in parts for p in ps]
+        plain = iter(self.core.encode_batch([p for p in flat if not self.user.fullmatch(p)], add_special_tokens=False))
+        return [self.merged([i for p in ps for i in ([self.ids[p]] if self.user.fullmatch(p) else self.bytes_for(p, next(plain)))]) for ps in parts]
+
+    def bounds(self, text: str) -> list[tuple[int, int]]:
+        """Where the user-defined pieces, and what lies between them, start and stop."""
+        at = sorted({0, len(text), *(x for m in self.user.finditer(text) for x in m.span())})
+        return list(zip(at, at[1:]))
+
+    def bytes_for(self, text: str, encoding: Encoding) -> list[int]:
+        """The ids, unknown stretches spelled in bytes where the model has them."""
+        ids = encoding.ids
+        if not self.model.byte_fallback or self.model.kind == BPE or self.unknown not in ids:
+            return ids
+        return [j for i, (a, b) in zip(ids, encoding.offsets) for j in ([self.ids[f"<0x{x:02X}>"] for x in text[a:b].encode()] if i == self.unknown else [i])]
+
+    def merged(self, ids: list[int]) -> list[int]:
+        """Unknown stretches that touch are one."""
+        return ids if self.unknown not in ids else [i for i, before in zip(ids, [-1, *ids]) if i != self.unknown or before != i]
 
     def learn(self, new: list[str], group: int = 50, at_once: int = 5000) -> None:
-        """Encodes chunks in groups, joined by line breaks, which no piece crosses; a group's ids are cut at the break's id. Encodings are large, so only some groups are held at a time."""
+        """Encodes chunks, in groups joined by line breaks where those mark the seams. Encodings are large, so only some groups are held at a time."""
         for i in range(0, len(new), at_once):
-            self.learn_part(new[i : i + at_once], group)
+            part = new[i : i + at_once]
+            if self.marks:
+                self.learn_groups(part, group)
+            else:
+                self.known.update((c, np.asarray(ids, "<u4").tobytes()) for c, ids in zip(part, self.encode(part)))
 
-    def learn_part(self, new: list[str], group: int) -> None:
+    def learn_groups(self, new: list[str], group: int) -> None:
         joined = ["\n" + "\n".join(new[i : i + group]) for i in range(0, len(new), group)]
-        ids = [e.ids for e in self.core.encode_batch(joined, add_special_tokens=False)]
-        told = self.reader.encode([t.replace(MARKER, " ") for t in joined], num_threads=self.threads) if self.reader is not None else None
-        for i, mine in enumerate(ids):
+        told = self.reader.encode([t.replace(MARKER, " ") for t in joined], num_threads=self.threads) if self.reader is not None and self.by_chunk else None
+        for i, mine in enumerate(self.encode(joined)):
             part = new[i * group : (i + 1) * group]
             flat = np.asarray(mine, "<u4")
             stops = [*np.flatnonzero(flat == mine[0]).tolist(), len(flat)]
@@ -166,15 +202,20 @@ class Codec:
         if len(self.known) > self.keep:
             self.known.clear()
             self.differ.clear()
-        self.known["\n"] = np.asarray(self.broken, "<u4").tobytes()
         normal = [self.model.normalise(t, self.precompiled) for t in texts]
-        if self.cut is None:
-            ids = [e.ids for e in self.core.encode_batch(normal, add_special_tokens=False)]
-            told = self.reader.encode(texts, num_threads=self.threads) if self.reader is not None else ids
-            return [(np.asarray(a, "<u4").tobytes(), a == b) for a, b in zip(ids, told)]
-        chunks = [self.cut.findall(t) for t in normal]
-        self.learn(list({c for cs in chunks for c in cs}.difference(self.known)))
-        return [(b"".join(map(self.known.__getitem__, cs)), not self.differ or self.differ.isdisjoint(cs)) for cs in chunks]
+        if self.cut is None or self.user is not None:
+            out = [np.asarray(ids, "<u4").tobytes() for ids in self.encode(normal)]
+        else:
+            self.known["\n"] = np.asarray(self.broken, "<u4").tobytes()
+            chunks = [self.cut.findall(t) for t in normal]
+            self.learn(list({c for cs in chunks for c in cs}.difference(self.known)))
+            out = [b"".join(map(self.known.__getitem__, cs)) for cs in chunks]
+            if not self.model.byte_fallback:
+                out = [np.asarray(self.merged(np.frombuffer(ids, "<u4").tolist()), "<u4").tobytes() for ids in out]
+            if self.by_chunk:
+                return [(ids, not self.differ or self.differ.isdisjoint(cs)) for ids, cs in zip(out, chunks)]
+        told = self.reader.encode(texts, num_threads=self.threads) if self.reader is not None else None
+        return [(ids, told is None or np.asarray(told[i], "<u4").tobytes() == ids) for i, ids in enumerate(out)]
 
 
 class Decoder:
@@ -185,8 +226,14 @@ class Decoder:
         self.bytes_of = self.model.spelled()
 
     def text(self, ids: bytes) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        found = np.frombuffer(ids, "<u4").tolist()
+        each = list(map(self.bytes_of.__getitem__, found))
+        if self.model.dummy_prefix or self.model.squeeze:
+            for i, spelling in enumerate(each):  # the first piece loses a blank; a squeezing model goes on until something is left
+                each[i] = spelling if found[i] == self.model.unknown else spelling.removeprefix(b" ")
+                if each[i] or not self.model.squeeze:
+                    break
+        return b"".join(each).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", parity_col: str | None = "parity", threads: int = 2) -> DataFrame:
