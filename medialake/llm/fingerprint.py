@@ -8,10 +8,13 @@ from the fingerprints alone. Three lanes share a long: 16 bits each, 20 apart, s
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS
+
 SEEDS = 8
 #: Each hash gives five longs of three lanes.
 SHIFTS = (0, 4, 8, 12, 16)
@@ -75,45 +78,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), near)))
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 500, most_buckets: int = 8192) -> DataFrame:
-    """docs(key, text, ...) with next_<column>: the values of the row with the next key; after the last, the first's. One shuffle of the rows.
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, bytes_per_bucket: int = 32 << 20, level: int = 64) -> DataFrame:
+    """docs(key, text, ...) with the derived columns, and next_<column>: the values of the row with the next key; after the last, the first's. One shuffle of the rows.
 
-    Keys are cut into ranges at sampled quantiles and evenly within those; each range also gets a copy of the next range's first row.
+    Keys are cut into ranges at quantiles, and ranges evenly into buckets of about bytes_per_bucket of text; each bucket also gets a copy of the next one's first row.
+    A key that several quantiles name is a range of its own, cut by a hash of the text. Rows that repeat a key follow each other in the order of that hash, whose
+    last part, for such a key, is dealt so that even equal rows are spread.
     """
-    spark = docs.sparkSession
-    parts = 64
-    few = docs.agg(F.count(F.lit(1)), F.min("key"), F.max("key"), F.percentile_approx("key", [i / parts for i in range(1, parts)], 2000)).first()
-    n, low, high = few[0], few[1] or 0, few[2] or 0
-    cuts = sorted({low, *(few[3] or [])})
-    tops = [*cuts[1:], high + 1]
-    fine = max(1, min(most_buckets // parts, math.ceil(n / rows_per_bucket / len(cuts))))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(longs(cuts), lambda c: c <= F.col("key")))
-    at = docs.withColumn("coarse", coarse)
-    start, stop = F.element_at(longs(cuts), F.col("coarse")), F.element_at(longs(tops), F.col("coarse"))
-    inner = F.floor((F.col("key").cast("double") - start) / (stop.cast("double") - start) * fine)
-    at = at.withColumn("bucket", F.col("coarse") * fine + F.least(inner, F.lit(fine - 1))).drop("coarse")
-
-    firsts = at.groupBy("bucket").agg(F.min("key").alias("first_key"))  # most_buckets rows at most
-    order = Window.orderBy("bucket")
-    last = firsts.agg(F.max("bucket").alias("last_bucket")).first()[0]
-    firsts = firsts.select("first_key", F.coalesce(F.lag("bucket").over(order), F.lit(last)).alias("to"), F.lag("bucket").over(order).isNull().alias("wraps"))
-    copies = at.join(F.broadcast(firsts), F.col("key") == F.col("first_key")).withColumn("bucket", F.col("to"))
-    both = at.withColumns({"wraps": F.lit(False), "copy": F.lit(False)}).unionByName(copies.withColumn("copy", F.lit(True)).drop("first_key", "to"))
-    w = Window.partitionBy("bucket").orderBy("wraps", "key", "text")
-    return both.repartition("bucket").withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("not copy").drop("bucket", "wraps", "copy")
+    few = docs.agg(F.min("key"), F.max("key"), F.sum(F.octet_length("text"))).first()
+    low, high, size = few[0] or 0, few[1] or 0, few[2] or 0
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_bucket))
+    parts = level if buckets <= level else level**2
+    named = Counter(docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [])
+    hot = {k for k, times in named.items() if times > 1}
+    cuts = sorted({low, *named, *(k + 1 for k in hot if k < high)})
+    stops = [*cuts[1:], high]
+    share = parts / buckets  # quantiles a bucket
+    fine = [max(1, math.ceil((named[k] if k in hot else 1) / share)) for k in cuts]
+    listed = lambda xs, kind: f"array({', '.join(f'CAST({x} AS {kind})' for x in xs)})"
+    array = lambda xs, kind: F.expr(listed(xs, kind))
+    # two looks into at most `level` numbers find a key's range among level * level
+    group = F.size(F.filter(array(cuts[::level], "long"), lambda c: c <= F.col("key")))
+    within = F.element_at(F.expr(f"array({', '.join(listed(cuts[i : i + level], 'long') for i in range(0, len(cuts), level))})"), F.col("group"))
+    of_range = lambda xs, kind: F.element_at(array(xs, kind), F.col("range"))
+    at = docs.withColumn("group", group).withColumn("range", (F.col("group") - 1) * level + F.size(F.filter(within, lambda c: c <= F.col("key"))))
+    is_hot = of_range([k in hot for k in cuts], "boolean")
+    dealt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(-1)
+    at = at.withColumn("hash", F.xxhash64("text", dealt))
+    start, stop = (of_range(xs, "double") for xs in (cuts, stops))
+    along = F.when(is_hot, F.col("hash") / 2.0**64 + 0.5).when(stop > start, (F.col("key").cast("double") - start) / (stop - start)).otherwise(0.0)
+    inner = F.floor(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)) * of_range(fine, "int"))
+    at = at.withColumn("bucket", F.col("range").cast("long") * max(fine) + F.least(inner, of_range(fine, "int") - 1)).drop("group", "range")
+
+    # a row a bucket, so a small part of the rows
+    firsts = at.groupBy("bucket").agg(F.min(F.struct("key", "hash")).alias("first"))
+    before, last = F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy())
+    firsts = firsts.select(F.col("first.key").alias("first_key"), F.col("first.hash").alias("first_hash"), F.coalesce(before, last).alias("to"), before.isNull().alias("wraps"))
+    if buckets <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
+    copies = at.join(firsts, (F.col("key") == F.col("first_key")) & (F.col("hash") == F.col("first_hash"))).dropDuplicates(["to"]).withColumn("bucket", F.col("to"))
+    both = at.withColumns({"wraps": F.lit(False), "copy": F.lit(False)}).unionByName(copies.withColumn("copy", F.lit(True)).drop("first_key", "first_hash", "to"))
+    w = Window.partitionBy("bucket").orderBy("wraps", "key", "hash", "copy")
+    return both.repartition("bucket").withColumns(derived or {}).withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("not copy").drop("bucket", "hash", "wraps", "copy")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last half replaced by the start of the next document's (ascending id; after the last, the
-    first). Null texts count as empty; null ids stand before all others; rows that repeat an id follow each other in order of text.
+    first). Null texts count as empty; null ids stand before all others; rows that repeat an id follow each other in the order of a hash.
     A table of one row is its own next. Other columns are ignored.
     """
-    key = F.coalesce(F.col(id_col), F.lit(-(2**63)))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("own", fingerprint(F.col("text"))), ["text", "own"])
+    rows = with_next(rows, ["text", "own"], {"own": fingerprint(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
