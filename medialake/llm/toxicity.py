@@ -1,30 +1,36 @@
 """Toxic spans by a linear-chain conditional random field over words; its marginals give a score for the document and the offending offsets.
 
 Only documents are labelled. A word counts as a labelled toxic token where it stands in a toxic document and it, or one of its prefixes,
-occurs in toxic documents far more often than chance allows.
+occurs in toxic documents far more often than chance allows. A chain is a sentence or line. A token's features are these terms, and whether the words
+before and after it have any.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain as laid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from .common import crc_bucket, hash_sample, small_batches, spread
-from .words import WORD, words
+from .common import Tables, crc_bucket, labelled, small_batches, spread
+from .words import starts_of, stretches
 
 PREFIXES = (4, 5, 6, 7)
 #: Evidence beyond which a document is no surer to be toxic.
 MOST = 12.0
-#: Characters handled at once.
-STRETCH = 4_000_000
+#: Words, and the marks that end a chain.
+TOKEN = re.compile(r"\w+|[.!?\n]")
+BREAKS = frozenset(".!?\n")
+#: A longer chain is cut here for learning.
+LONGEST = 400
 
 
 def terms_of(word: str) -> list[str]:
@@ -92,7 +98,7 @@ def marginals(emission: np.ndarray, starts: np.ndarray, move: np.ndarray, begin:
 
 @dataclass
 class Field:
-    """What a toxic token weighs more than a clean one: bias, a weight for each term, log weights of transitions and of the start.
+    """What a toxic token weighs more than a clean one: bias, a weight for each term, weights of a neighbour with terms, log weights of transitions and of the start.
 
     calibration: the log odds that a document is toxic, for each unit of evidence and for none.
     """
@@ -102,6 +108,7 @@ class Field:
     bias: float
     move: np.ndarray
     begin: np.ndarray
+    beside: tuple[float, float] = (0.0, 0.0)
     calibration: tuple[float, float] | None = None
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -110,49 +117,55 @@ class Field:
         slope, base = self.calibration
         return 1 / (1 + np.exp(-slope * np.minimum(evidence, MOST) - base))
 
-    def emission(self, word: str) -> float:
-        return self.bias + sum(float(self.weights[k]) for t in terms_of(word) if (k := self.terms.get(t)) is not None)
+    def own(self, word: str) -> tuple[float, bool]:
+        """A token's weight but for its neighbours, and whether it has terms."""
+        found = [k for t in terms_of(word.lower()) if (k := self.terms.get(t)) is not None]
+        return self.bias + sum(float(self.weights[k]) for k in found), bool(found)
 
 
-def fit(seen: np.ndarray, labels: np.ndarray, starts: np.ndarray, terms: dict[str, int], rounds: int = 80, rate: float = 0.3, l2: float = 1e-3) -> Field:
-    """Conditional likelihood of labelled token chains, by Adam. seen: a row for each token, the numbers of its terms, or -1."""
+def beside(hits: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the token before, and the one after, within the chain, has terms."""
+    before, after = np.zeros(len(hits), bool), np.zeros(len(hits), bool)
+    before[1:] = hits[:-1] & ~starts[1:]
+    after[:-1] = hits[1:] & ~starts[1:]
+    return before, after
+
+
+def fit(seen: np.ndarray, labels: np.ndarray, starts: np.ndarray, times: np.ndarray, terms: dict[str, int], rounds: int = 120, rate: float = 0.3, l2: float = 1e-4) -> Field:
+    """Conditional likelihood of labelled token chains, by Adam. seen: a row for each token, the numbers of its terms, or -1; times: how often its chain occurs."""
     k = len(terms)
-    w = np.concatenate([np.zeros(k), [-3.0, 0.0, -1.0, 0.0, 0.0, -3.0]])  # terms, bias, moves 00 01 10 11, begin 1
+    w = np.concatenate([np.zeros(k), [-3.0, 0.0, -1.0, 0.0, 0.0, -3.0, 0.0, 0.0]])  # terms, bias, moves 00 01 10 11, begin 1, hit before, hit after
     have = seen >= 0
     at_rows, flat = np.nonzero(have)[0], seen[have]
+    before, after = beside(have.any(axis=1), starts)
     follows = ~starts
     follows[:1] = False
-    before, after = labels[:-1][follows[1:]], labels[1:][follows[1:]]
-    data = np.concatenate([np.bincount(flat, labels[at_rows], k), [labels.sum(), ((1 - before) * (1 - after)).sum(), ((1 - before) * after).sum(), (before * (1 - after)).sum(), (before * after).sum(), labels[starts].sum()]])
-    n, mean, var = max(1, len(labels)), np.zeros_like(w), np.zeros_like(w)
+    pairs = follows[1:]
+    here, there, often = labels[:-1][pairs], labels[1:][pairs], times[1:][pairs]
+
+    def expected(p: np.ndarray, joint: list[float]) -> np.ndarray:
+        p = p * times
+        return np.concatenate([np.bincount(flat, p[at_rows], k), [p.sum(), *joint, p[starts].sum(), p[before].sum(), p[after].sum()]])
+
+    data = expected(labels, [(often * x * y).sum() for x in (1 - here, here) for y in (1 - there, there)])
+    marks, mean, var = max(1.0, float((labels * times).sum())), np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         move = w[k + 1 : k + 5].reshape(2, 2)
         begin = np.array([0.0, w[k + 5]])
-        e = w[k] + np.bincount(at_rows, w[:k][flat], len(labels))
+        e = w[k] + np.bincount(at_rows, w[:k][flat], len(labels)) + w[k + 6] * before + w[k + 7] * after
         alpha, beta = chain(e, starts, move, begin)
         p = alpha * beta
         p = p[:, 1] / p.sum(axis=1)
         joint = np.stack([alpha[:-1, i] * np.exp(move[i][j]) * (np.exp(np.clip(e[1:], -30, 30)) if j else 1.0) * beta[1:, j] for i in (0, 1) for j in (0, 1)])
-        joint = (joint / joint.sum(axis=0))[:, follows[1:]].sum(axis=1)
-        model = np.concatenate([np.bincount(flat, p[at_rows], k), [p.sum(), *joint, p[starts].sum()]])
-        gradient = (data - model) / n * 100 - l2 * w
+        joint = ((joint / joint.sum(axis=0))[:, pairs] * often).sum(axis=1)
+        gradient = (data - expected(p, list(joint))) / marks - l2 * w
         mean, var = 0.9 * mean + 0.1 * gradient, 0.99 * var + 0.01 * gradient**2
         w = w + rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-6)
-    return Field(terms, w[:k], float(w[k]), w[k + 1 : k + 5].reshape(2, 2), np.array([0.0, w[k + 5]]))
+    return Field(terms, w[:k], float(w[k]), w[k + 1 : k + 5].reshape(2, 2), np.array([0.0, w[k + 5]]), (float(w[k + 6]), float(w[k + 7])))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000, max_terms: int = 2000, chains: int = 3000, tokens: int = 200) -> Field:
-    """Learns from about max_docs labelled rows that aren't held out (crc32 of the id, modulo 3, is 1), chosen by a hash of the id.
-
-    Spark counts in how many toxic and clean ones each term occurs, over whole texts. The field is fitted on at most `tokens` words around
-    the first marked word of about `chains` of the documents.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_bucket(F.col(id_col), 3) != 1))
-    known = hash_sample(known.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic")), "label_id", max_docs)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    rows = spread(rows.select("doc_id", "toxic", "text"))
+def term_counts(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, label, text) -> term, bad, good: in how many toxic and other documents it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
@@ -165,59 +178,96 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                by[toxic == 1].update({t for w in set(words(text.lower())) for t in terms_of(w)})
+                by[toxic == 1].update({t for w in {w.lower() for w in TOKEN.findall(text)} - BREAKS for t in terms_of(w)})
                 if len(by[0]) + len(by[1]) > 300_000:
                     yield out()
         yield out()
 
-    counts = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = n.get(1, 0) / max(1, sum(n.values()))
-    if not 0 < share < 1:
-        return Field({}, np.zeros(0), -30.0 if share == 0 else 30.0, np.zeros((2, 2)), np.zeros(2))
-    counts = counts.where("bad + good >= 3").persist()
-    every = counts.count()
-    part = lambda x, of: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (F.col("bad") + F.col("good")) / of)).otherwise(0.0)
-    odd = counts.where("bad >= 3 AND 3 * bad >= 2 * good").withColumn("gain", part("bad", share) + part("good", 1 - share))
-    found = odd.where(F.col("gain") >= math.log(max(1, every)) + 3).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
-    counts.unpersist()
-    terms = {r["term"]: i for i, r in enumerate(found)}
-    width = 1 + len(PREFIXES)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                ids = [[terms.get(t, -1) for t in (terms_of(w) + [""] * width)[:width]] for w in words(text.lower())]
-                first = next((i for i, x in enumerate(ids) if max(x) >= 0), 0)
-                start = max(0, first - tokens // 4)
-                out.append([k for x in ids[start : start + tokens] for k in x])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "ids"])
-
-    some = max(1, math.ceil(chains / 2))
-    picked = F.pmod(F.xxhash64(F.lit("chain"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, F.lit(1e6 * some / n[1])).otherwise(F.lit(1e6 * some / max(1, n.get(0, 0))))
-    got = rows.where(picked).mapInArrow(encode, StructType([*rows.schema.fields[:2]]).add("ids", ArrayType(IntegerType()))).toPandas().sort_values("doc_id")
-    got = got[got.ids.map(len) > 0]
-    if not len(got):
-        return Field({}, np.zeros(0), -30.0, np.zeros((2, 2)), np.zeros(2))
-    seen = np.concatenate([np.asarray(x, np.int64).reshape(-1, width) for x in got.ids])
-    sizes = got.ids.map(len).to_numpy() // width
-    starts = np.zeros(len(seen), bool)
-    starts[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
-    marked = (seen >= 0).any(axis=1) & np.repeat(got.toxic.to_numpy() == 1, sizes)
-    model = fit(seen, marked.astype(np.float64), starts, terms)
+    return rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for batch in batches:
-            found = [score_texts(model, part, cache, False)[0] for part in stretches(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found))], names=["doc_id", "toxic", "evidence"])
 
-    told = rows.mapInArrow(weigh, StructType([*rows.schema.fields[:2]]).add("evidence", DoubleType())).toPandas().sort_values("doc_id")
-    model.calibration = logistic(np.minimum(told.evidence.to_numpy(), MOST), told.toxic.to_numpy() == 1)
+def telling(counts: DataFrame, bad: int, good: int, least: int = 3) -> list[str]:
+    """The terms that toxic documents have far more often than chance allows: by the likelihood ratio, held against the number of terms that are tried."""
+    share = bad / (bad + good)
+    counts = counts.where(F.col("bad") + F.col("good") >= least)
+    part = lambda x, of: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (F.col("bad") + F.col("good")) / of)).otherwise(0.0)
+    odd = counts.where((F.col("bad") >= least) & (3 * F.col("bad") >= 2 * F.col("good"))).withColumn("gain", part("bad", share) + part("good", 1 - share))
+    every = counts.count()
+    return sorted(r["term"] for r in odd.where(F.col("gain") >= math.log(max(1, every)) + 3).select("term").collect())
+
+
+def chains_of(text: str, toxic: bool, terms: dict[str, int]) -> Iterator[tuple[bool, bytes]]:
+    """For each chain: whether its tokens with terms are toxic, and its length and, for each such token, place, number of terms and terms, as 32-bit integers."""
+    places: list[int] = []
+    n = 0
+    for token in [*TOKEN.findall(text), "\n"]:
+        if token in BREAKS or n == LONGEST:
+            if n:
+                yield toxic and bool(places), np.asarray([n, *places], "<i4").tobytes()
+            places, n = [], 0
+        if token not in BREAKS:
+            found = [k for t in terms_of(token.lower()) if (k := terms.get(t)) is not None]
+            if found:
+                places += [n, len(found), *found]
+            n += 1
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000) -> Field:
+    """Learns from about max_docs labelled documents that aren't held out (crc32 of the id, modulo 3, is 1), chosen by a hash of the id; nothing else is bounded.
+
+    Spark counts in how many toxic and clean ones each term occurs, and how often each chain occurs, over whole texts: a chain is known by its length and by the terms
+    at its places, so those without terms are few. The different chains come to the driver, where the field is fitted to them; then the evidence of all these documents,
+    to which the score is calibrated.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    with Tables(spark) as tables:
+        rows = tables.save(labelled(docs, labels, label_col, 3, 1, id_col, text_col, max_docs), "toxicity-labelled").repartition(spark.sparkContext.defaultParallelism)
+        n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+        if not n.get(1) or not n.get(0):
+            return Field({}, np.zeros(0), 30.0 if n.get(1) else -30.0, np.zeros((2, 2)), np.zeros(2))
+        terms = {t: i for i, t in enumerate(telling(tables.save(term_counts(rows), "toxicity-terms"), n[1], n[0]))}
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            times: Counter[tuple[bool, bytes]] = Counter()
+            for batch in batches:
+                for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    times.update(chains_of(text, toxic == 1, terms))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in times], pa.bool_()), pa.array([k[1] for k in times], pa.binary()), pa.array(list(times.values()), pa.int64())], names=["marked", "chain", "n"])
+
+        got = rows.mapInArrow(encode, "marked boolean, chain binary, n long").groupBy("marked", "chain").agg(F.sum("n").alias("n")).orderBy("marked", "chain").toArrow()
+        model = fitted(got.column("marked").to_pylist(), got.column("chain").to_pylist(), got.column("n").to_pylist(), terms)
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(model)
+            for batch in batches:
+                found = [scorer.texts(part, False)[0] for part in stretches(batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *found]))], names=["doc_id", "label", "evidence"])
+
+        told = rows.mapInArrow(weigh, StructType([*rows.schema.fields[:2]]).add("evidence", DoubleType())).orderBy("doc_id").toArrow()
+    model.calibration = logistic(np.minimum(told.column("evidence").to_numpy(), MOST), told.column("label").to_numpy() == 1)
     return model
 
 
+def fitted(marked: list[bool], chains: list[bytes], times: list[int], terms: dict[str, int]) -> Field:
+    """The field of these chains, each as `chains_of` gives it."""
+    sizes = [int.from_bytes(c[:4], "little") for c in chains]
+    seen = np.full((sum(sizes), 1 + len(PREFIXES)), -1, np.int64)
+    labels, first = np.zeros(len(seen)), starts_of(np.asarray(sizes, np.int64))
+    for toxic, raw, start in zip(marked, chains, first):
+        coded, at = np.frombuffer(raw, "<i4"), 1
+        while at < len(coded):
+            place, k = start + coded[at], coded[at + 1]
+            seen[place, :k] = coded[at + 2 : at + 2 + k]
+            labels[place] = toxic
+            at += 2 + k
+    starts = np.zeros(len(seen), bool)
+    starts[first] = True
+    if not len(seen):
+        return Field(terms, np.zeros(len(terms)), -30.0, np.zeros((2, 2)), np.zeros(2))
+    return fit(seen, labels, starts, np.repeat(np.asarray(times, np.float64), sizes), terms)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
     """Slope and base of the log odds of y, by Newton steps."""
     z = np.stack([x, np.ones(len(x))], axis=1)
@@ -229,69 +279,77 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -
     return max(0.0, float(w[0])), float(w[1])
 
 
-def stretches(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in lists of about STRETCH characters."""
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > STRETCH:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
-
-
-def score_texts(model: Field, texts: list[str], cache: dict[str, float], spans: bool, sure: float = 0.5, maybe: float = 0.05) -> tuple[np.ndarray, list[list[dict]]]:
-    """For each text the evidence, -log of the probability that no span is toxic, and the spans whose most toxic word has a probability of `sure` or more."""
-    found = [words(t.lower()) for t in texts]
-    for w in {w for ws in found for w in ws}.difference(cache):
-        cache[w] = model.emission(w)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    e = np.fromiter((cache[w] for ws in found for w in ws), np.float64, int(sizes.sum()))
-    ends = np.cumsum(sizes)
-    starts = np.zeros(len(e) + 1, bool)
-    starts[ends - sizes] = True
-    p = marginals(e, starts[:-1], model.move, model.begin)
-    # the words of a span stand side by side in one text and are each toxic with a probability of `maybe` or more
-    inside = np.flatnonzero(p >= maybe)
-    doc = np.searchsorted(ends, inside, side="right")
-    new = np.ones(len(inside), bool)
-    new[1:] = (np.diff(inside) > 1) | (np.diff(doc) > 0)
-    span = np.cumsum(new) - 1
-    top = np.zeros(int(new.sum()))
-    np.maximum.at(top, span, p[inside])
-    owner = doc[new]
-    evidence = -np.bincount(owner, np.log1p(-np.minimum(top, 1 - 1e-9)), len(texts)).astype(np.float64)
-    at: list[list[dict]] = [[] for _ in texts]
-    if spans:
-        bounds = np.flatnonzero(np.append(new, True))
-        for d in np.unique(owner[top >= sure]):
-            places = [m.span() for m in WORD.finditer(texts[d].lower())]
-            base = ends[d] - sizes[d]
-            for s in np.flatnonzero((owner == d) & (top >= sure)):
-                at[d].append({"start": places[inside[bounds[s]] - base][0], "stop": places[inside[bounds[s + 1] - 1] - base][1], "prob": float(top[s])})
-    return evidence, at
-
-
-def tag(docs: DataFrame, model: Field, text_col: str = "text", score_col: str = "score", spans_col: str | None = "spans", keep: int = 300_000) -> DataFrame:
-    """docs(...) with score_col added, and spans_col where it is named: start, stop and prob of each toxic span, in characters of the lower-cased text.
+class Scorer:
+    """Scores texts by a field, each different word's weight kept."""
+
+    def __init__(self, model: Field, keep: int = 300_000):
+        self.model, self.keep = model, keep
+        self.forget()
+
+    def forget(self) -> None:
+        """The marks that end a chain come first."""
+        self.known: dict[str, int] = {b: i for i, b in enumerate(sorted(BREAKS))}
+        self.weights, self.hits = np.zeros(len(BREAKS)), np.zeros(len(BREAKS), bool)
+
+    def texts(self, texts: list[str], spans: bool, sure: float = 0.5, maybe: float = 0.05) -> tuple[np.ndarray, list[list[dict]]]:
+        """For each text the evidence, -log of the probability that no span is toxic, and the spans whose most toxic word has a probability of `sure` or more.
+
+        A span's start and stop are in characters of the text as it is.
+        """
+        if len(self.known) > self.keep:
+            self.forget()
+        found = list(map(TOKEN.findall, texts))
+        new = list(set(laid.from_iterable(found)).difference(self.known))
+        own = [self.model.own(w) for w in new]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.weights = np.append(self.weights, [e for e, _ in own])
+        self.hits = np.append(self.hits, np.array([h for _, h in own], bool))
+        tokens = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(map(self.known.__getitem__, laid.from_iterable(found)), np.int64, int(tokens.sum()))
+        word = ids >= len(BREAKS)
+        opens = np.append(True, ~word[:-1]) if len(word) else word
+        opens[starts_of(tokens)[tokens > 0]] = True
+        owner = np.repeat(np.arange(len(texts)), tokens)[word]
+        ids, starts = ids[word], opens[word]
+        hits = self.hits[ids]
+        before, after = beside(hits, starts)
+        p = marginals(self.weights[ids] + self.model.beside[0] * before + self.model.beside[1] * after, starts, self.model.move, self.model.begin)
+        # the words of a span stand side by side in one chain and are each toxic with a probability of `maybe` or more
+        inside = np.flatnonzero(p >= maybe)
+        opened = np.ones(len(inside), bool)
+        opened[1:] = (np.diff(inside) > 1) | starts[inside[1:]]
+        span = np.cumsum(opened) - 1
+        top = np.zeros(int(opened.sum()))
+        np.maximum.at(top, span, p[inside])
+        doc = owner[inside[opened]]
+        evidence = -np.bincount(doc, np.log1p(-np.minimum(top, 1 - 1e-9)), len(texts)).astype(np.float64)
+        at: list[list[dict]] = [[] for _ in texts]
+        if spans:
+            bounds = np.append(np.flatnonzero(opened), len(inside))
+            first = np.searchsorted(owner, np.arange(len(texts)))
+            for d in np.unique(doc[top >= sure]):
+                places = [m.span() for m in TOKEN.finditer(texts[d]) if m.group() not in BREAKS]
+                for s in np.flatnonzero((doc == d) & (top >= sure)):
+                    at[d].append({"start": places[inside[bounds[s]] - first[d]][0], "stop": places[inside[bounds[s + 1] - 1] - first[d]][1], "prob": float(top[s])})
+        return evidence, at
+
+
+def tag(docs: DataFrame, model: Field, text_col: str = "text", score_col: str = "score", spans_col: str | None = "spans") -> DataFrame:
+    """docs less columns of these names, with score_col added, and spans_col where it is named: start, stop and prob of each toxic span, in characters of the text.
 
     Null texts and texts without words get the score of no evidence, and have no spans.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop(score_col, *([spans_col] if spans_col else []))
     names = docs.columns
     span_type = StructType().add("start", LongType()).add("stop", LongType()).add("prob", DoubleType())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        scorer = Scorer(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
             scores, spans = [np.zeros(0)], []
-            for part in stretches(texts):
-                if len(cache) > keep:
-                    cache.clear()
-                evidence, at = score_texts(model, part, cache, spans_col is not None)
+            for part in stretches([t or "" for t in batch.column(names.index(text_col)).to_pylist()]):
+                evidence, at = scorer.texts(part, spans_col is not None)
                 scores.append(model.score(evidence))
                 spans += at
             new = [pa.array(np.concatenate(scores), pa.float64())]
