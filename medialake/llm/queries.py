@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import table
+from .common import scratch, table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits
 from .language_id import language_id
@@ -14,12 +17,15 @@ from .ngram_join import ngram_join
 from .packing import pack, pieces_of
 from .piece_codec import code_round
 from .quality import quality
-from .reshard import reshard
+from .reshard import assigned, plan_moves, rewrite_moved
 from .toxicity import toxicity
 from .url_filter import host_rule, judge_urls, pattern_rule
 
 #: Fixed values of the production run: named rules, then words that a host of junk pages has between its dots and dashes.
-JUNK = ("ads", "adserver", "adult", "bets", "casino", "pills", "porn", "spam")
+JUNK = (
+    "ads", "adserver", "adservice", "adult", "affiliate", "banners", "bet", "bets", "betting", "blackjack", "casino", "clickbait", "clicks", "coupon", "coupons", "escort", "escorts", "gamble", "gambling", "jackpot",
+    "lottery", "malware", "nsfw", "payday", "pharma", "pharmacy", "phishing", "pills", "poker", "popunder", "popups", "porn", "roulette", "sex", "slots", "spam", "torrent", "torrents", "tracker", "tracking", "viagra", "warez", "xxx",
+)
 URL_RULES = [
     host_rule("net", "/", "block"),
     host_rule("example.net", "/en/", "allow"),
@@ -49,7 +55,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    places = F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string")))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.array_join(places, " ").alias("offsets"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,22 +80,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The old shards hold whole sources, so one of them holds a third of all rows; the new ones are even."""
-    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24))
-    return reshard(table(spark, sf_dir, "documents"), old, 24)
+    """The old shards hold whole sources, so one of them holds a third of all rows; the new ones are even. Rows of shards that change are read from the files written for them."""
+    docs = table(spark, sf_dir, "documents")
+    layout = plan_moves(docs, F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24)), 24, 24)
+    path = f"{scratch(spark)}/reshard-files-{uuid.uuid4().hex}"
+    shard, slot = rewrite_moved(docs, layout, path)
+    text = F.coalesce("text", F.lit(""))
+    digests = [(F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law")]
+    schema = StructType([*docs.schema.fields]).add(slot, LongType()).add(shard, IntegerType())
+    written = spark.read.schema(schema).parquet(path).select("doc_id", *digests, F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    same = assigned(docs, layout).where(~F.col("shard").isin(layout.touched)).select(*written.columns)
+    return written.unionByName(same)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_url_filter, op4_toxicity, op5_packing, op6_fingerprints, op7_exact_dedup, op8_ngram_join, op9_quality, op10_reshard)}
 
 ORACLE_SQL = {
-    "op3_url_filter": r"""
+    "op3_url_filter": rf"""
 WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(rhost, rpath, said)),
 m AS (SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(said, length(rhost || rpath)) AS said FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path)
 SELECT p.page_id, p.host, p.path, m.rule,
-  coalesce(m.said, CASE WHEN regexp_matches(p.host || p.path, '^([^/]*[.-])?(ads|adserver|adult|bets|casino|pills|porn|spam)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(m.said, CASE WHEN regexp_matches(p.host || p.path, '^([^/]*[.-])?({"|".join(JUNK)})[.-]') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.host = m.host AND p.path = m.path""",
     "op7_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

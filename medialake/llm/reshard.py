@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import BROADCAST_ROWS, Tables, saved
 
 
 def cheapest_flow(supply: list[int], room: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -62,55 +64,111 @@ def even(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 1000, most_blocks: int = 65536) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, moved.
-
-    A shard's size is the bytes of its texts plus 8 a row; the law is `bytes`: new shards are as near in size as whole rows allow.
-    Each old shard's rows are cut into hashed blocks; running sizes of blocks, then of rows within a block, give each row its place in
-    the old shard, and the flow says which stretch of that place goes to which new shard. What stays comes first. The flow's network has
-    a node for each shard only.
-
-    Null texts have no bytes; a null old shard counts as shard 0; rows that repeat are placed each for itself.
+@dataclass
+class Layout:
+    """Where each row goes. Small tables: before (bytes of the old shard before a block), cuts (stretches of an old shard and their new shards), bases (slots before a block's part)."""
+
+    old_shard: Column
+    old_shards: int
+    blocks: int
+    id_col: str
+    text_col: str
+    before: DataFrame
+    cuts: DataFrame
+    bases: DataFrame | None
+    #: Shards that gain or lose rows.
+    touched: list[int]
+
+    def keyed(self, docs: DataFrame, *more: Column) -> DataFrame:
+        """doc_id, size, text_crc32, old, fine (the row's block), and more."""
+        text = F.coalesce(F.col(self.text_col), F.lit(""))
+        known = self.old_shard.between(0, self.old_shards - 1)
+        rows = docs.select(
+            F.col(self.id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+            self.old_shard.cast("int").alias("old_shard"), F.when(known, self.old_shard).otherwise(self.old_shards).cast("int").alias("old"), *more,
+        )
+        return rows.withColumn("fine", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(self.blocks)).cast("int"))
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows, dealt by old and fine, with shard, nth (in the block) and, where the bases are known, slot."""
+        inside = Window.partitionBy("old", "fine").orderBy("doc_id", "text_crc32", "size")
+        upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumns({"upto": upto, "nth": F.row_number().over(inside)}).join(F.broadcast(self.before), ["old", "fine"])
+        rows = rows.withColumn("middle", 2 * (F.col("before") + F.col("upto")) - F.col("size")).drop("before", "upto")
+        rows = rows.join(F.broadcast(self.cuts), (F.col("old") == F.col("from_old")) & (F.col("middle") >= F.col("start")) & (F.col("middle") < F.col("stop"))).drop("middle", "from_old", "start", "stop")
+        return rows if self.bases is None else rows.join(F.broadcast(self.bases), ["shard", "old", "fine"]).withColumn("slot", F.col("base") + F.col("nth")).drop("base")
+
+
+def plan_moves(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 1000, most_blocks: int = BROADCAST_ROWS) -> Layout:
+    """The layout under the law `bytes`: new shards are as near in size (bytes of texts, and 8 a row) as whole rows allow, and the fewest bytes move.
+
+    Each old shard's rows are cut into hashed blocks, at most `most_blocks` in all, which are broadcast; running sizes of blocks, then of rows within a block, give
+    each row its place in the old shard, and the flow says which stretch of that place goes to which new shard. What stays comes first. The flow's network has
+    a node for each shard only. Rows whose old shard is null or not one of the old_shards come from nowhere: they all move.
+    """
+    spark = docs.sparkSession
+    blocks = max(1, min(most_blocks // (old_shards + 1), math.ceil(docs.count() / rows_per_block)))
+    layout = Layout(old_shard, old_shards, blocks, id_col, text_col, None, None, None, [])
+    with Tables(spark) as tables:
+        rows = tables.save(layout.keyed(docs), "reshard-rows")
+        stretch = rows.groupBy("old", "fine").agg(F.sum("size").alias("bytes"))
+        along = Window.partitionBy("old").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
+        layout.before = saved(stretch.select("old", "fine", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("before")), "reshard-before")
+        totals = {r["old"]: r["bytes"] for r in rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
+        supply = [totals.get(i, 0) for i in range(old_shards + 1)]
+        flow = cheapest_flow(supply, even(sum(supply), new_shards), [[int(i != j or i == old_shards) for j in range(new_shards)] for i in range(old_shards + 1)])
+        cuts, touched = [], set()
+        for i in range(old_shards + 1):
+            at = 0
+            for j in sorted(range(new_shards), key=lambda j: (j != i, j)):
+                if flow[i][j]:
+                    cuts.append((i, j, 2 * at, 2 * (at + flow[i][j])))
+                    at += flow[i][j]
+                    if i == old_shards or i != j:
+                        touched |= {i, j} - {old_shards} if i == old_shards else {i, j}
+        layout.cuts = spark.createDataFrame(cuts, "from_old int, shard int, start long, stop long")  # old x new shards at most
+        layout.touched = sorted(touched)
+        part = ["shard", "old", "fine"]
+        counts = layout.placed(rows).groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first"))
+        before = Window.partitionBy("shard").orderBy("old", "fine").rowsBetween(Window.unboundedPreceding, -1)
+        layout.bases = saved(counts.select(*part, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base")), "reshard-bases")
+    return layout
+
+
+def assigned(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, moved. Texts are not shuffled. Null texts have no bytes; rows that repeat are placed each for itself; other columns are ignored."""
+    moved = ~F.col("shard").eqNullSafe(F.col("old_shard"))
+    return layout.placed(layout.keyed(docs)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", moved.alias("moved"))
+
+
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """plan_moves and assigned in one."""
+    return assigned(docs, plan_moves(docs, old_shard, old_shards, new_shards, id_col, text_col))
+
+
+def rewrite_moved(docs: DataFrame, layout: Layout, path: str) -> tuple[str, str]:
+    """Writes the shards that gain or lose rows, in folders under path named by shard, in slot order; the others' files stay as they are. Returns the names of the columns of shard and slot.
+
+    The names are `shard` and `slot`, with `_` added for as long as the documents have such a column. The rows are dealt by old shard and block, one shuffle of the
+    texts, so that a task has neighbours of few shards. All is written aside first; then each folder takes its place. Rows that repeat and rows with null ids are
+    written each for itself; a shard left without rows has no folder.
     """
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 8
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    blocks = max(1, min(most_blocks, math.ceil(docs.count() / max(1, old_shards) / rows_per_block)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"))
-    # a shard that holds most rows gets as many rows a block as the others: blocks are dealt by its share
-    rows = rows.withColumn("fine", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks * old_shards)).cast("int"))
-    rows = saved(rows, "reshard-rows")
-
-    stretch = rows.groupBy("old_shard", "fine").agg(F.sum("size").alias("bytes"))
-    along = Window.partitionBy("old_shard").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = stretch.select("old_shard", "fine", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("before"))
-    totals = {r["old_shard"]: r["bytes"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
-    supply = [totals.get(i, 0) for i in range(old_shards)]
-    flow = cheapest_flow(supply, even(sum(supply), new_shards), [[int(i != j) for j in range(new_shards)] for i in range(old_shards)])
-    cuts = []
-    for i in range(old_shards):
-        at = 0
-        for j in sorted(range(new_shards), key=lambda j: (j != i, j)):
-            if flow[i][j]:
-                cuts.append((i, j, 2 * at, 2 * (at + flow[i][j])))
-                at += flow[i][j]
-    plan = docs.sparkSession.createDataFrame(cuts, "from_shard int, shard int, start long, stop long")  # old x new shards at most
-
-    inside = Window.partitionBy("old_shard", "fine").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(stretch, ["old_shard", "fine"]).withColumn("middle", 2 * (F.col("before") + F.sum("size").over(inside)) - F.col("size"))
-    placed = placed.join(F.broadcast(plan), (F.col("old_shard") == F.col("from_shard")) & (F.col("middle") >= F.col("start")) & (F.col("middle") < F.col("stop")))
-    part = ["shard", "old_shard", "fine"]
-    placed = saved(placed.select("doc_id", "size", "text_crc32", *part, F.row_number().over(Window.partitionBy(*part).orderBy("doc_id", "text_crc32", "size")).alias("nth")), "reshard-placed")
-    before = Window.partitionBy("shard").orderBy("old_shard", "fine").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return placed.join(counts, part).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("shard") != F.col("old_shard")).alias("moved"),
-    )
-
-
-def rewrite_moved(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the files of the shards that gained or lost rows, in folders shard=<n> under path, in slot order; the others' files stay as they are."""
-    moved = plan.where("moved")
-    touched = moved.select(F.col("shard").alias("touched")).union(moved.select("old_shard")).distinct()  # a row a shard
-    rows = plan.join(F.broadcast(touched), F.col("shard") == F.col("touched"), "left_semi").select(F.col("doc_id").alias("plan_id"), "shard", "slot")
-    out = docs.join(rows, docs[id_col] == F.col("plan_id")).drop("plan_id")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
+    spark = docs.sparkSession
+    shard, slot = "shard", "slot"
+    while shard in docs.columns:
+        shard += "_"
+    while slot in docs.columns:
+        slot += "_"
+    rows = layout.keyed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc")).repartitionByRange("old", "fine")
+    rows = layout.placed(rows).where(F.col("shard").isin(layout.touched)).sortWithinPartitions("shard", "slot")
+    aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+    rows.select("doc.*", F.col("shard").alias(shard), F.col("slot").cast("long").alias(slot)).write.partitionBy(shard).parquet(aside)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in layout.touched:
+        old, new = fs_path(f"{path}/{shard}={i}"), fs_path(f"{aside}/{shard}={i}")
+        fs.delete(old, True)
+        if fs.exists(new):
+            fs.rename(new, old)
+    fs.delete(fs_path(aside), True)
+    return shard, slot

@@ -50,26 +50,30 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id",
     """One row per input row: id, host, path, rule (a named rule's name, else null), verdict, pattern (the regex that decided).
 
     How often each rule's tokens occur is counted over all URLs; a rule is filed under its rarest. Rules without a token are tried on
-    every URL. The rules are broadcast up to `broadcast_rules` of them, and joined by a shuffle on the token beyond.
-    A URL that no rule fits gets the default verdict. Null and malformed URLs have no host and path, so only token-free rules can fit.
+    every URL. The rules are broadcast up to `broadcast_rules` of them; beyond, they and the URLs' tokens are joined by a shuffle, where adaptive execution splits a
+    token that many URLs have. A URL that no rule fits gets the default verdict. Null and malformed URLs have no host and path, so only token-free rules can fit.
     Repeated rows and ids are judged each for itself; other columns are ignored.
     """
     spark = pages.sparkSession
+    few = len(rules) <= broadcast_rules
     host, path = host_of(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
-    tokens = F.array_distinct(F.split(F.concat_ws(" ", "host", "path"), WORD))
+    tokens = F.filter(F.array_distinct(F.split(F.concat_ws(" ", "host", "path"), WORD)), lambda t: t != "")
     known = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "known string")
-    known = F.broadcast(known) if len(rules) <= broadcast_rules else known
-    counted = urls.select(F.explode(tokens).alias("token")).join(known, F.col("token") == F.col("known")).groupBy("token").count()
+    counted = urls.select(F.explode(tokens).alias("token")).join(F.broadcast(known) if few else known, F.col("token") == F.col("known")).groupBy("token").count()
     often = {r["token"]: r["count"] for r in counted.collect()}  # a row for each token of the rules at most
 
     ranked = sorted(rules, key=lambda r: (r.name is not None, r.size, r.name or "", r.regex))
-    index = [(min(r.tokens, key=lambda t: (often.get(t, 0), t), default=""), r.regex, i) for i, r in enumerate(ranked)]
+    index = [(min(r.tokens, key=lambda t: (often.get(t, 0), t)), r.regex, i) for i, r in enumerate(ranked) if r.tokens]
     index = spark.createDataFrame(index, "filed string, regex string, place int")
     said = spark.createDataFrame([(i, r.name, r.verdict, r.regex) for i, r in enumerate(ranked)], "best int, rule string, said string, pattern string")
-    if len(rules) <= broadcast_rules:
+    if few:
         index, said = F.broadcast(index), F.broadcast(said)
-    looked = urls.select("row", "page_id", "host", "path", F.explode(F.array_distinct(F.array_append(tokens, F.lit("")))).alias("token"))
-    found = looked.join(index, F.col("token") == F.col("filed"), "left").withColumn("place", F.when(F.rlike(F.concat("host", "path"), F.col("regex")), F.col("place")))
-    best = found.groupBy("row", "page_id", "host", "path").agg(F.max("place").alias("best"))
+    whole = F.concat("host", "path")
+    for_all = [F.when(F.rlike(whole, F.lit(r.regex)), F.lit(i)) for i, r in enumerate(ranked) if not r.tokens]
+    looked = urls.withColumn("free", F.array_max(F.array(F.lit(None).cast("int"), *for_all))).withColumn("token", F.explode_outer(tokens))
+    # URLs without tokens stay, spread over keys that no rule has
+    looked = looked.withColumn("token", F.coalesce("token", F.concat(F.lit(" "), F.col("row") % 4096)))
+    found = looked.join(index, F.col("token") == F.col("filed"), "left").withColumn("place", F.when(F.rlike(whole, F.col("regex")), F.col("place")))
+    best = found.groupBy("row", "page_id", "host", "path").agg(F.max(F.greatest("place", "free")).alias("best"))
     return best.join(said, "best", "left").select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"), "pattern")
