@@ -1,7 +1,10 @@
 """Operators against plain Python over the small tables."""
 
 import hashlib
+import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -9,12 +12,14 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from medialake.llm import components, fingerprint, language_id, ngram_join, packing, piece_codec, quality, queries, reshard, toxicity
-from medialake.llm.common import saved
+from medialake.llm import components, exact_dedup, fingerprint, language_id, ngram_join, packing, piece_codec, quality, queries, reshard, toxicity, url_filter
+from medialake.llm.common import Tables, labelled
 from medialake.llm.tokens import ByteBpe
 
 SMALL = "/root/testdata/sf0.001"
@@ -46,11 +51,42 @@ def test_edited_texts(spark, texts):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
-def test_next_over_many_buckets(spark):
-    rows = spark.createDataFrame([(int(k), f"t{k}") for k in [*range(0, 900, 3), 10**12, -(10**9), 5, 5]], "key long, text string")
-    got = sorted((r.key, r.text, r.next_text) for r in fingerprint.with_next(rows, ["text"], rows_per_bucket=3).collect())
-    order = sorted((r.key, r.text) for r in rows.collect())
-    assert [(k, t, n) for (k, t), (_, n) in zip(order, order[1:] + order[:1])] == got
+def plain_lanes(text):
+    """The number of paragraphs and the sums of their lanes, by plain Python."""
+    parts = [p for p in re.split(r"[\r\n]+|(?<=[.!?])[ \t]+", text) if p]
+    lanes = np.zeros(3 * fingerprint.WIDTH, np.int64)
+    for p in parts:
+        hashes = [xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)) for seed in range(fingerprint.SEEDS)]
+        lanes += [(h >> (shift + at)) & 15 for h in hashes for shift in fingerprint.SHIFTS for at in (0, 20, 40)]
+    return len(parts), lanes
+
+
+def test_fingerprints_against_plain_sums(spark, texts):
+    got = {r.doc_id: r for r in queries.op6_fingerprints(spark, SMALL).collect()}
+    ids = sorted(texts)
+    for i, after in list(zip(ids, ids[1:] + ids[:1]))[:60]:
+        (n, lanes), (m, other) = plain_lanes(texts[i]), plain_lanes(texts[after])
+        packed = [lanes[k] % 65536 | lanes[k + 1] % 65536 << 20 | lanes[k + 2] % 65536 << 40 for k in range(0, len(lanes), 3)]
+        assert got[i].fingerprint == f"{n:08X}" + "".join(f"{x:015X}" for x in packed)
+        x, y = 2.0 * lanes - 15 * n, 2.0 * other - 15 * m
+        assert abs(got[i].near_next - (1.0 if (n, lanes.tolist()) == (m, other.tolist()) else min(1.0, max(0.0, 2 * x @ y / (x @ x + y @ y))))) < 1e-9
+
+
+def following(keys):
+    order = sorted(set(keys))
+    return dict(zip(order, order[1:] + order[:1]))
+
+
+@pytest.mark.parametrize("keys", [[*range(0, 900, 3), 10**12, -(10**9), 5, 5], [2**63 - 1, -(2**63), 0, 4], [2**63 - 1], [-(2**63)] * 900 + [*range(100)] + [77] * 900 + [2**63 - 1] * 300, random.Random(3).sample(range(10**15), 3000)], ids=["sparse", "extreme", "one", "hot", "many"])
+def test_next_over_many_buckets(spark, keys):
+    """Also the largest and smallest keys, and keys that a third of all rows have, with equal and with different texts."""
+    rows = spark.createDataFrame([(k, f"t{i % 97 if k == 77 else k}") for i, k in enumerate(keys)], "key long, text string").repartition(4)
+    got = fingerprint.with_next(rows, ["key"], bytes_per_bucket=50).collect()
+    after, times = following(keys), Counter(keys)
+    assert Counter(r.key for r in got) == times
+    leaves = Counter(r.key for r in got if r.next_key != r.key or len(times) == 1)
+    assert all(r.next_key in (r.key, after[r.key]) for r in got)
+    assert len(times) == 1 or leaves == Counter(dict.fromkeys(times, 1))  # of the rows of a key just one is followed by another key
 
 
 def test_paragraphs_come_and_go(spark):
@@ -110,11 +146,42 @@ def test_sentencepiece_parity(spark, texts):
         ids = np.frombuffer(ids, "<u4")
         assert ids.tolist() == reader.encode(text) and same, text[:40]
         assert decoder.text(ids.tobytes()) == text
-    full = codec.model.tokenizer()
-    assert [full.encode(t, add_special_tokens=False).ids for t in odd[1:]] == [reader.encode(t) for t in odd[1:]]
     assert all(r.parity and r.round_trip for r in queries.op2_sentencepiece(spark, SMALL).collect())
 
 
+def piece_model(pieces, kind, byte_fallback, squeeze):
+    """The protobuf of a SentencePiece model."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    part = lambda field, data: number(field << 3 | 2) + number(len(data)) + data
+    plain = lambda field, n: number(field << 3) + number(n)
+    listed = b"".join(part(1, part(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", s) + plain(3, k)) for p, s, k in pieces)
+    return listed + part(2, plain(3, kind) + plain(35, byte_fallback)) + part(3, plain(3, 1) + plain(4, squeeze) + plain(5, 1))
+
+
+@pytest.mark.parametrize("byte_fallback", [0, 1])
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("user", [0, 1])
+def test_unigram_parity(byte_fallback, squeeze, user):
+    """Pieces that are not normal are never matched in a text that spells them; unknown characters become bytes, or one unknown piece a stretch."""
+    rng = random.Random(1)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *([(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if byte_fallback else []), *([("<u>", 0.0, 4), ("ab!", 0.0, 4)] if user else [])]
+    pieces += [(c, -3 - rng.random(), 1) for c in "▁abcd<>/s0x41"] + [(w, -4 - 3 * rng.random(), 1) for w in ("▁a", "ab", "▁ab", "cd", "abc", "bcd", "▁the", "th")]
+    data = piece_model(pieces, 1, byte_fallback, squeeze)
+    reader, codec, decoder = sentencepiece.SentencePieceProcessor(model_proto=data), piece_codec.Codec(data), piece_codec.Decoder(data)
+    parts = ["a", "b", "c", "d", " ", "\n", "日", "é", "<s>", "<0x41>", "</s>", "the", "ab!", "<u>", "<unk>", "z", "▁"]
+    texts = ["", "a", " ", "</s>", "<s> ab", "x<0x41>y", "日本 語", "\n\n日\n", "  ab  cd ", "<u>ab!<u>", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000))]
+    for text, (ids, same) in zip(texts, codec.batch(texts)):
+        want = reader.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == want and same, text
+        assert decoder.text(ids) == reader.decode(want), text
+
+
 def grams(text):
     words = re.findall(r"\w+", text.lower())
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
@@ -169,7 +236,7 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"block": 16, "split_above": 40, "deepest": 6}])
+@pytest.mark.parametrize("limits", [{}, {"block": 16, "split_above": 40, "deepest": 6}, {"block": 8}], ids=["whole", "split", "pivots"])
 def test_near_classes_and_links(spark, limits):
     texts = near_texts()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -177,6 +244,16 @@ def test_near_classes_and_links(spark, limits):
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs, **limits).collect()}
     assert sum(got[i] == want[i] for i in texts) >= 0.98 * len(texts)
     assert all(got[i][1] <= want[i][1] for i in texts)  # a link is never made up
+    assert sum(got[i][1] for i in texts) >= 0.99 * sum(want[i][1] for i in texts)  # recall of links
+
+
+def test_close_sets_need_no_comparison(spark):
+    """Texts that all differ in one place from one text: with a pivot, hardly any row goes through the blocks, and all links are there."""
+    base = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(3, 103)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs, block=8).collect()}
+    assert got == dict.fromkeys(texts, (3, 99))
 
 
 def test_split_leaves_lose_no_pair(spark):
@@ -189,7 +266,7 @@ def test_split_leaves_lose_no_pair(spark):
     rows = [(i, bytearray(row.tobytes())) for i, row in enumerate(tokens)]
     sketches = spark.createDataFrame(rows, "rid long, sketch binary")
     shared = sketches.select(F.lit(7).cast("long").alias("leaf"), "rid", F.lit(len(rows)).cast("long").alias("members"))
-    got, large = ngram_join.split_leaves(shared, shared, sketches, agree, 40)
+    got, large = ngram_join.split_leaves(shared, shared, sketches, agree, 40, Tables(spark))
     leaves = defaultdict(set)
     for r in got.collect():
         leaves[r.leaf].add(r.rid)
@@ -206,14 +283,19 @@ def test_limits_change_no_result(spark):
     assert whole == split
 
 
-def test_components_of_chains(spark, monkeypatch):
+def test_components_of_chains(spark):
     """Chains numbered against the rule and at random have one component each, in rounds that grow with the logarithm of their length."""
-    n, rng = 300, np.random.default_rng(5)
+    n, rng, rounds = 300, np.random.default_rng(5), []
+
+    class Counting(Tables):
+        def save(self, df, name):
+            rounds.append(name)
+            return super().save(df, name)
+
     chains = [[0, *range(n - 1, 0, -1)], (n + rng.permutation(n)).tolist()]
-    rounds = []
-    monkeypatch.setattr(components, "saved", lambda df, name: rounds.append(name) or saved(df, name))
     edges = spark.createDataFrame([pair for c in chains for pair in zip(c, c[1:])], "u long, v long")
-    got = {r.node: r.root for r in components.components(edges).collect()}
+    with Counting(spark) as tables:
+        got = {r.node: r.root for r in components.components(edges, tables).collect()}
     assert got == {i: i // n * n for i in range(2 * n)}
     assert rounds.count("component-labels") <= 16
 
@@ -226,18 +308,21 @@ def test_near_classes_of_the_small_table(spark, texts):
 def test_resharding(spark, small):
     rows = queries.op10_reshard(spark, SMALL).collect()
     sizes = {r.doc_id: (len(r.text.encode()) + 8, zlib.crc32(r.text.encode())) for r in small.collect()}
-    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == sizes
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == sizes and len(rows) == len(sizes)
     by = defaultdict(list)
     for r in rows:
         by[r.shard].append(r)
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
     each = [sum(r.size for r in by[s]) for s in range(24)]
     assert max(each) - min(each) <= 2 * max(s for s, _ in sizes.values())
+    source = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24))
+    plan = reshard.reshard(small, source, 24).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in plan} == {(r.doc_id, r.shard, r.slot) for r in rows}  # the files say what was planned
     total, old = sum(each), Counter()
-    for r in rows:
+    for r in plan:
         old[r.old_shard] += r.size
     fewest = sum(max(0, old[s] - total // 24) for s in range(24))
-    assert abs(sum(r.size for r in rows if r.moved) - fewest) <= 24 * max(s for s, _ in sizes.values())
+    assert abs(sum(r.size for r in plan if r.moved) - fewest) <= 24 * max(s for s, _ in sizes.values())
 
 
 def test_flow_is_cheapest():
@@ -260,12 +345,40 @@ def all_flows(supply, room):
                     yield [[a, b, c], *rest]
 
 
+def shards_of(spark, path):
+    return sorted(((r.doc_id, r.text, r.slot, r.shard, r.shard_, r.slot_) for r in spark.read.parquet(path).collect()), key=repr)
+
+
 def test_only_touched_shards_are_rewritten(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "x" * (100 if i < 60 else 1), "o") for i in range(90)], "doc_id long, text string, slot string").drop("slot")
-    plan = reshard.reshard(docs, F.when(F.col("doc_id") < 50, 0).when(F.col("doc_id") < 60, 1).otherwise(2), 3, 3)
-    reshard.rewrite_moved(docs, plan, str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r.doc_id, r.shard, r.slot) for r in got.collect()} == {(r.doc_id, r.shard, r.slot) for r in plan.collect()}
+    """Over an existing layout, with repeated rows, null ids and texts, and columns named as the folders are: rows in are rows out."""
+    path = str(tmp_path / "out")
+    rows = [(i if i % 9 else None, None if i == 70 else "x" * (100 if i < 60 else 1), "o", str(i)) for i in range(90)] + [(5, "twice", "o", "r")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string, shard string")
+    at = F.length("text") % 3
+    docs.withColumn("shard_", F.coalesce(at, F.lit(0))).withColumn("slot_", F.lit(0).cast("long")).write.partitionBy("shard_").parquet(path)
+    kept = spark.read.parquet(path)
+    still = [f.name for f in (tmp_path / "out" / "shard_=2").iterdir()]
+    layout = reshard.plan_moves(kept, F.col("shard_"), 3, 3)
+    names = reshard.rewrite_moved(docs, reshard.plan_moves(docs, F.coalesce(at, F.lit(0)), 3, 3), path)
+    assert names == ("shard_", "slot_") and layout.touched
+    got = spark.read.parquet(path)
+    assert sorted(map(repr, got.select("doc_id", "text", "slot", "shard").collect())) == sorted(map(repr, docs.collect()))
+    plan = reshard.reshard(docs, F.coalesce(at, F.lit(0)), 3, 3).collect()
+    assert Counter((r.doc_id, r.text_crc32, r.shard) for r in plan) == Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard_) for r in got.collect())
+    if 2 not in layout.touched:
+        assert still == [f.name for f in (tmp_path / "out" / "shard_=2").iterdir()]
+    sizes = [sum(r.size for r in plan if r.shard == s) for s in range(3)]
+    assert max(sizes) - min(sizes) <= 2 * 108
+
+
+def test_rows_outside_the_old_shards(spark, tmp_path):
+    """They come from nowhere, all move, and none is lost."""
+    docs = spark.createDataFrame([(i, "abc", [0, 1, 7, -1, None][i % 5]) for i in range(50)], "doc_id long, text string, old int")
+    rows = reshard.reshard(docs, F.col("old"), 2, 4).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(50)) and {r.shard for r in rows} == set(range(4))
+    assert all(r.moved for r in rows if r.old_shard not in (0, 1))
+    by = Counter(r.shard for r in rows)
+    assert max(by.values()) - min(by.values()) <= 2
 
 
 def test_chain_marginals():
@@ -290,9 +403,75 @@ def test_chain_marginals():
 
 
 def test_offending_offsets():
-    model = toxicity.Field({"=idiot": 0}, np.array([9.0]), -4.0, np.zeros((2, 2)), np.zeros(2))
-    _, spans = toxicity.score_texts(model, ["You IDIOT, idiot there", "", "fine"], {}, True)
-    assert [(s["start"], s["stop"]) for s in spans[0]] == [(4, 16)] and spans[1:] == [[], []]
+    """Offsets are places in the text as it is, also where lower-casing makes it longer."""
+    scorer = toxicity.Scorer(toxicity.Field({"=idiot": 0}, np.array([9.0]), -4.0, np.zeros((2, 2)), np.zeros(2)))
+    texts = ["You IDIOT, idiot there", "", "fine", "İİ İİ. idiot. Idiot"]
+    _, spans = scorer.texts(texts, True)
+    assert [[t[x["start"] : x["stop"]] for x in at] for t, at in zip(texts, spans)] == [["IDIOT, idiot"], [], [], ["idiot", "Idiot"]]
+    assert (spans[3][0]["start"], spans[3][1]["start"]) == (7, 14)
+
+
+def test_evidence_by_enumeration():
+    """Marginals of two chains with neighbour features, and the evidence of their spans, by trying every labelling."""
+    model = toxicity.Field({"=bad": 0, "foul": 1}, np.array([3.0, 2.5]), -2.0, np.array([[0.3, -0.4], [-0.2, 0.6]]), np.array([0.0, -0.7]), (0.5, -0.3))
+    text, evidence = "a Bad foulness thing. so bad! it is", 0.0
+    for part in re.split("[.!]", text):
+        words = part.split()
+        hit = ["bad" == w.lower() or w.lower().startswith("foul") for w in words]
+        e = [-2.0 + 3.0 * (w.lower() == "bad") + 2.5 * w.lower().startswith("foul") + 0.5 * (i > 0 and hit[i - 1]) - 0.3 * (i + 1 < len(words) and hit[i + 1]) for i, w in enumerate(words)]
+        weight, total = np.zeros(len(words)), 0.0
+        for code in range(2 ** len(words)):
+            y = [code >> i & 1 for i in range(len(words))]
+            w = math.exp(model.begin[y[0]] + sum(a * b for a, b in zip(e, y)) + sum(model.move[a][b] for a, b in zip(y, y[1:])))
+            total, weight = total + w, weight + w * np.array(y)
+        top = 0.0
+        for p in [*(weight / total), 0.0]:
+            if p >= 0.05:
+                top = max(top, p)
+            elif top:
+                evidence, top = evidence - math.log(1 - top), 0.0
+    assert abs(toxicity.Scorer(model).texts([text], False)[0][0] - evidence) < 1e-9
+
+
+def test_telling_terms_and_chains(spark):
+    """Terms by plain counting; chains give back every token of the text."""
+    rng = random.Random(4)
+    rows = [(i, int(i % 4 == 0), " ".join(rng.choice(["red", "green", "blue", "yellowish"]) for _ in range(12)) + (" Nastyword. yellow" if i % 4 == 0 and i % 5 else "") + (" nasty" if i == 3 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    bad, good = Counter(), Counter()
+    for _, toxic, text in rows:
+        (bad if toxic else good).update({t for w in set(re.findall(r"\w+", text.lower())) for t in toxicity.terms_of(w)})
+    counts = toxicity.term_counts(df)
+    assert {(r.term, r.bad, r.good) for r in counts.collect()} == {(t, bad[t], good[t]) for t in bad | good}
+    tried = {t for t in bad | good if bad[t] + good[t] >= 3}
+
+    def gain(t):
+        return sum(n * math.log(n / (bad[t] + good[t]) / of) for n, of in ((bad[t], 0.25), (good[t], 0.75)) if n)
+
+    want = sorted(t for t in tried if bad[t] >= 3 and 3 * bad[t] >= 2 * good[t] and gain(t) >= math.log(len(tried)) + 3)
+    got = toxicity.telling(counts, 50, 150)
+    assert got == want and "=nastyword" in got
+    terms = {t: i for i, t in enumerate(got)}
+    text = " ".join(["word"] * 900) + ". Nastyword nasty! x"
+    chains = [(m, np.frombuffer(c, "<i4").tolist()) for m, c in toxicity.chains_of(text, True, terms)]
+    assert [c[0] for _, c in chains] == [400, 400, 100, 2, 1] and [m for m, _ in chains] == [False, False, False, True, False]
+    assert sum(c[0] for _, c in chains) == len(re.findall(r"\w+", text))
+
+
+def test_calibration_is_the_likeliest():
+    rng = np.random.default_rng(6)
+    x = rng.random(400) * 5
+    y = rng.random(400) < 1 / (1 + np.exp(2 - x))
+    slope, base = toxicity.logistic(x, y, l2=0.0)
+    loss = lambda a, b: np.logaddexp(0, np.where(y, -1, 1) * (a * x + b)).sum()
+    assert all(loss(slope, base) <= loss(slope + da, base + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+
+
+def test_one_labelled_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (4, "x"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, None), (3, 1), (4, 5), (None, 1)], "doc_id long, toxic int")
+    got = labelled(docs, labels, "toxic", 1, 2, "doc_id", "text", 100).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "a"), (2, 1, "")]
 
 
 def accuracy(rows, truth):
@@ -309,6 +488,12 @@ def test_held_out_accuracy(spark):
     assert n > 80 and share > 0.93
     share, n = accuracy(toxicity.toxicity(docs, labels).collect(), {r.doc_id: r.toxic for r in known})
     assert n > 80 and share > 0.9
+    scored = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    # all held-out toxic documents that hold a word which the learnt terms know; the others hold nothing that could be learnt from so few labels
+    model = toxicity.Scorer(toxicity.train(docs, labels))
+    held = [(r.doc_id, text[r.doc_id]) for r in known if r.toxic == 1 and scored[r.doc_id].held_out for text in [{d.doc_id: d.text for d in docs.where(F.col("doc_id") == r.doc_id).collect()}]]
+    with_terms = [i for i, t in held if any(model.model.own(w)[1] for w in re.findall(r"\w+", t or ""))]
+    assert len(with_terms) >= 10 and sum(scored[i].predicted for i in with_terms) > 0.9 * len(with_terms)
 
 
 def test_pairs_rank_and_quantile():
@@ -324,3 +509,88 @@ def test_pairs_rank_and_quantile():
 def test_backoff():
     model = language_id.Backoff(["a", "b"], np.array([[0, -5], [-5, 0], [0, -1]], np.float32), {"known": 0}, {"ow": 2, "wor": 1}, 4)
     assert model.rows("known") == [0] and model.rows("word") == [1] and model.rows("bow") == [2] and model.rows("zz") == []
+
+
+def test_languages_against_plain_counts(spark, small):
+    """The whole query by plain Python: counts of words and n-grams, backoff, share of the likelihood."""
+    rows = small.select("doc_id", "text", "lang").collect()
+    split = lambda t: regex.findall(r"\w+", t.lower())
+    counts, langs = defaultdict(Counter), sorted({r.lang for r in rows if r.lang})
+    for r in rows:
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for w in split(r.text or ""):
+                counts[0, w][r.lang] += 1
+                for n in range(1, 5):
+                    for i in range(len(w) + 3 - n):
+                        counts[n, f"<{w}>"[i : i + n]][r.lang] += 1
+    counts = {k: c for k, c in counts.items() if sum(c.values()) >= 3}
+    totals = {(n, x): sum(c[x] + 0.5 for (m, _), c in counts.items() if m == n) for n in range(5) for x in langs}
+    log = lambda key: np.array([math.log((counts[key][x] + 0.5) / totals[key[0], x]) for x in langs])
+
+    def rate(w):
+        if (0, w) in counts:
+            found = [(0, w)]
+        else:
+            found = next((f for n in range(4, 0, -1) if (f := [(n, g) for i in range(len(w) + 3 - n) if (n, g := f"<{w}>"[i : i + n]) in counts])), [])
+        return np.mean([log(k) - log(k).max() for k in found], axis=0) if found else np.zeros(len(langs))
+
+    kept = {}
+    for r in queries.op1_language_id(spark, SMALL).collect():
+        text = next(x.text for x in rows if x.doc_id == r.doc_id) or ""
+        total = sum((kept.setdefault(w, rate(w)) for w in split(text)), np.zeros(len(langs)))
+        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        if any(map(str.isalpha, text)):
+            assert r.lang_pred == langs[int(share.argmax())] and abs(r.score - share.max()) < 1e-3, r.doc_id
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_marks_belong_to_words(spark):
+    """Learning and predicting cut words alike where vowel signs and accents are characters of their own."""
+    docs = spark.createDataFrame([(i, t, x) for i in range(40) for t, x in (("हिन्दी में लिखना", "hi"), ("मराठी मध्ये लिहिणे", "mr"), ("de\u0301ja\u0300 vu", "fr"))], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert {"हिन्दी", "में", "मराठी", "de\u0301ja\u0300"} <= set(model.words)
+    got = language_id.identify(spark.createDataFrame([(1, "हिन्दी", "x"), (2, "मध्ये", "x"), (3, "de\u0301ja\u0300", "x")], "doc_id long, text string, score string"), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["hi", "mr", "fr"] and got[0].asDict().keys() == {"doc_id", "text", "lang_pred", "score"}
+
+
+@pytest.mark.parametrize("few", [100_000, 0], ids=["broadcast", "shuffled"])
+def test_thousands_of_url_rules(spark, few):
+    """The same verdicts as from trying every rule on every URL, and few rules are tried."""
+    rng = random.Random(9)
+    word = lambda k: f"{rng.choice('abcdefghij')}{rng.randrange(k)}"
+    named = {(f"{word(40)}.{rng.choice(['com', 'net', 'org'])}", rng.choice(["/", f"/{word(5)}/", f"/{word(5)}/{word(9)}"])): rng.choice(["block", "allow"]) for _ in range(2000)}
+    rules = [url_filter.host_rule(h, p, v) for (h, p), v in named.items()]
+    words = sorted({word(60) for _ in range(600)})
+    rules += [url_filter.pattern_rule(rf"^(?:[^/]*[.-])?{w}[.-]", (w,)) for w in words] + [url_filter.UrlRule(r"^\d+(?:\.\d+){3}(?:/|$)", (), "block")]
+    urls = [None, "", "x", "http://1.2.3.4/", *(f"https://{'.'.join([word(60) for _ in range(rng.randrange(1, 3))] + [word(40)])}.{rng.choice(['com', 'net', 'org'])}/{word(5)}/{word(9)}?q" for _ in range(600))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules, broadcast_rules=few).collect()}
+    hits = 0
+    for i, url in enumerate(urls):
+        host, _, path = (url.split("://", 1)[1].split("?")[0] if url and "://" in url else "").partition("/")
+        path = f"/{path}" if url and "://" in url else ""
+        fits = [(len(h) + len(p), h + p, v) for (h, p), v in named.items() if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
+        if fits:
+            want = max(fits)[1:]
+        else:
+            whole = host + path
+            want = (None, "block" if re.match(r"\d+(\.\d+){3}(/|$)", whole) or any(re.match(rf"(?:[^/]*[.-])?{w}[.-]", whole) for w in words) else "allow")
+        hits += bool(fits)
+        assert got[i] == want, url
+    assert hits > 50
+
+
+def test_hot_texts_are_salted(spark):
+    """A text of most rows, with repeated and null ids: one group, one row kept, with and without a column that tells rows apart."""
+    rows = [(i if i % 3 else None, "hot  text") for i in range(1500)] + [(7, "hot text")] * 200 + [(i, f"t{i % 50}") for i in range(1000)] + [(None, "t3"), (None, "zz"), (None, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    for row in (None, "row"):
+        got = exact_dedup.exact_dedup(docs, row_col=row).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r.text_sha256].append(r)
+        assert len(got) == len(rows) and max(map(len, by.values())) == 1700 and len(by) == 52
+        for rs in by.values():
+            least = min((r.doc_id for r in rs if r.doc_id is not None), default=None)
+            assert {(r.keep_id, r.group_size) for r in rs} == {(least, len(rs))} and [r.doc_id for r in rs if r.kept] == [least]
