@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that `removing` blocks are in, innermost last.
+INNER: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names. Where none is named a local session gets a new one under /tmp; a cluster, whose executors share no such folder, an error."""
+    if INNER:
+        return INNER[-1]
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -63,6 +71,18 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def removing(spark: SparkSession) -> Iterator[None]:
+    """What `saved` and Tables write within this block is removed at its end."""
+    tables = Tables(spark)
+    INNER.append(tables.folder)
+    try:
+        yield
+    finally:
+        INNER.pop()
+        tables.remove(tables.folder)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
     """Texts can be very long: bound an Arrow batch by rows and by bytes, unless the session already asks for fewer.
 
@@ -108,7 +128,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, buckets: int, h
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs less the rows whose key is in `dropped`. The keys are broadcast only when their counted number is small."""
-    gone = dropped.select(F.col(key).alias("gone_id"))
-    if dropped.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[key] == F.col("gone_id"), "left_anti")
+    gone = dropped.select(key)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")

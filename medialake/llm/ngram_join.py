@@ -371,7 +371,7 @@ def joined(rows: DataFrame, n: int, similarity: float, recall: float, block: int
     reach = some.select("rid", "leaves").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi").select(F.explode("leaves").alias("leaf"), "rid").distinct()
     shared = tables.save(shared_leaves(reach), "ngram-leaves")
     agree = math.floor(COORDINATES * similarity - 3.5 * math.sqrt(COORDINATES * similarity * (1 - similarity)))
-    groups = components(close_links(shared, some, agree, 4 * block, split_above, deepest, tables), tables)
+    groups = components(close_links(shared, some, agree, max(1, block // 2), split_above, deepest, tables), tables)
     groups = tables.save(groups.select("root", F.col("node").alias("rid")), "ngram-groups")
     linked = exact_links(groups, some, similarity, block, tables)
 
