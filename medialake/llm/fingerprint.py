@@ -88,7 +88,7 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
     few = docs.agg(F.min("key"), F.max("key"), F.sum(F.octet_length("text"))).first()
     low, high, size = few[0] or 0, few[1] or 0, few[2] or 0
     buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_bucket))
-    parts = level if buckets <= level else level**2
+    parts = level if buckets <= 16 * level else level**2
     named = Counter(docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [])
     hot = {k for k, times in named.items() if times > 1}
     cuts = sorted({low, *named, *(k + 1 for k in hot if k < high)})
