@@ -25,7 +25,7 @@ IMAGE_BRANDS = ("heic", "heix", "heim", "heis", "hevc", "hevm", "hevs", "mif1",
 
 #: First bytes in hexadecimal (a dot for any digit) and the kind they tell.
 SIGNATURES = (
-    ("49443", "audio"), ("FFF[1239AB]", "audio"), ("664C6143", "audio"), ("4F676753", "audio"), ("52494646........57415645", "audio"), ("464F524D........41494646", "audio"),
+    ("494433", "audio"), ("FFF[1239AB]", "audio"), ("664C6143", "audio"), ("4F676753", "audio"), ("52494646........57415645", "audio"), ("464F524D........41494646", "audio"),
     ("52494646........41564920", "video"), ("FFD8", "image"), ("89504E470D0A1A0A", "image"), ("474946383[79]61", "image"), ("52494646........57454250", "image"), ("49492A00", "image"), ("4D4D002A", "image"), ("424D........00000000", "image"),
     ("25504446", "document"),
 )

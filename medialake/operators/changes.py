@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import changed_fields
 
 
-def item_events(diffed: DataFrame, moves: DataFrame) -> DataFrame:
-    """type, path, file_id: item-added, item-updated (changed and moved), item-missing, scan-work-queued."""
-    rows = diffed.join(moves.select("path", F.col("file_id").alias("moved_id")), "path", "left").join(moves.select(F.col("old_path").alias("path"), F.lit(True).alias("left")), "path", "left")
+def item_events(diffed: DataFrame, moves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by (a library), type, path, file_id: item-added, item-updated (changed and moved), item-missing, scan-work-queued."""
+    at = [*by, "path"]
+    rows = diffed.join(moves.select(*at, F.col("file_id").alias("moved_id")), at, "left").join(moves.select(*by, F.col("old_path").alias("path"), F.lit(True).alias("left")), at, "left")
     kind = F.when(F.col("moved_id").isNotNull() | (F.col("status") == "changed"), "item-updated").when(F.col("status") == "new", "item-added").when((F.col("status") == "missing") & F.col("left").isNull(), "item-missing")
-    told = rows.select(kind.alias("type"), "path", F.coalesce("moved_id", "file_id").alias("file_id")).where("type IS NOT NULL")
-    queued = diffed.where("status IN ('new', 'changed')").select(F.lit("scan-work-queued").alias("type"), "path", "file_id")
-    return told.unionByName(queued)
+    queued = F.when(F.col("status").isin("new", "changed"), "scan-work-queued")
+    both = F.explode(F.array(F.struct(kind.alias("type"), F.coalesce("moved_id", "file_id").alias("file_id")), F.struct(queued.alias("type"), F.col("file_id"))))
+    return rows.select(*by, "path", both.alias("told")).where("told.type IS NOT NULL").select(*by, "told.type", "path", "told.file_id")
 
 
 def field_events(old: DataFrame, new: DataFrame, key: str = "file_id") -> DataFrame:
@@ -23,9 +24,27 @@ def field_events(old: DataFrame, new: DataFrame, key: str = "file_id") -> DataFr
     return both.select(key, F.explode(changed_fields(F.col("was"), F.col("now"))).alias("field", "value"))
 
 
-def with_revision(events: DataFrame, epoch: str, batch: int) -> DataFrame:
-    """events with epoch and a revision that rises from batch to batch and is unique within one, though not dense."""
-    return events.withColumns({"epoch": F.lit(epoch), "revision": (F.lit(batch).cast("long") * F.lit(1 << 53)) + F.monotonically_increasing_id()})
+def scan_events(tallied: DataFrame, enriched: DataFrame, artwork: DataFrame) -> DataFrame:
+    """type, path, file_id, phase: enriched files and those with new artwork(path, file_id), and the phases that each scan of a tally went through."""
+    none = F.lit(None).cast("string")
+    files = [rows.select(F.lit(kind).alias("type"), "path", "file_id", none.alias("phase")) for kind, rows in (("enriched", enriched), ("artwork-updated", artwork))]
+    phases = F.explode(F.array(*[F.lit(x) for x in ("listing", "discovering", "enriching", "done")]))
+    ends = tallied.select(F.lit("scan-phase-changed").alias("type"), none.alias("path"), F.lit(None).cast(enriched.schema["file_id"].dataType).alias("file_id"), phases.alias("phase"))
+    return files[0].unionByName(files[1]).unionByName(ends)
+
+
+def with_revision(events: DataFrame, epoch: str, batch: int, parts: int = 256) -> DataFrame:
+    """events with epoch and a revision that rises from batch to batch and is dense within one, up to 2^40 events; the same events get the same revisions when the plan runs again.
+
+    Events are numbered in hashed parts, then shifted by the parts before, so no task gets all of them.
+    """
+    keys = [F.to_json(F.struct(*events.columns))]
+    rows = events.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    sums = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row a part
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    rows = rows.withColumn("nth", nth).join(F.broadcast(sums), "part")
+    return rows.withColumns({"epoch": F.lit(epoch), "revision": F.lit(batch).cast("long") * F.lit(1 << 40) + F.col("base") + F.col("nth") - 1}).drop("part", "nth", "base")
 
 
 def snapshot(libraries: DataFrame, roots: DataFrame, jobs: DataFrame, work: DataFrame) -> DataFrame:

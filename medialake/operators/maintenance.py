@@ -30,6 +30,17 @@ def add_roots(roots: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFra
     return roots.unionByName(fresh.join(roots.select(*key), key, "left_anti")), fresh.join(roots.select(*key), key, "left_semi")
 
 
+def remove_roots(roots: DataFrame, gone: DataFrame) -> DataFrame:
+    """The roots without gone(library_id, path); files and items below them stay as they are."""
+    return roots.join(gone.select("library_id", "path"), ["library_id", "path"], "left_anti")
+
+
+def bad_json(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows whose text is no JSON object of this shape; nulls are fine."""
+    shape = F.from_json(F.col(column), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return rows.where(F.col(column).isNotNull() & (shape.isNull() | shape["_bad"].isNotNull()))
+
+
 def migrate_types(kind: Column) -> Column:
     """Library types of old catalogs under their present names."""
     return F.when(kind == "audio", "music").when(kind == "videos", "movies").otherwise(kind)

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def record_plays(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with new plays at its end; one that doesn't say so is not completed. Nothing is merged: each play is a row."""
+    done = F.coalesce(F.col("completed"), F.lit(False)) if "completed" in new.columns else F.lit(False)
+    return log.unionByName(new.withColumn("completed", done))
+
+
 def play_counts(plays: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, plays for every item: each row counts, completed or not."""
     counts = plays.groupBy("item_id").agg(F.count(F.lit(1)).alias("plays"))

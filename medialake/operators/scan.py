@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import format_tag, sidecar_kind
 from ..functions.paths import ancestors, dirname, hidden_below
 
 #: Hashes that show a file has been read.
@@ -42,59 +43,71 @@ def scan_targets(directories: DataFrame, roots: DataFrame) -> DataFrame:
     return held.where(~hidden_below(F.col("root"), F.col("path"))).select(F.col("path").alias("dir")).distinct()
 
 
-def diff(known: DataFrame, inventory: DataFrame, hashes: DataFrame, pending: DataFrame) -> DataFrame:
-    """path, file_id, status (new, changed, unchanged, missing), pending_stage.
+def diff(known: DataFrame, inventory: DataFrame, hashes: DataFrame, pending: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """keys, file_id, status (new, changed, unchanged, missing), pending_stage. With a library among the keys, one path may be in many libraries, each with a file of its own.
 
     A file is unchanged if it has been scanned, has an identity hash, is of the same size and second, and any pending work was for just this state.
     """
     read = hashes.where(F.col("kind").isin(*IDENTITIES)).select(F.col("file_id").alias("read_id")).distinct()
-    old = known.select("path", "file_id", F.col("size_bytes").alias("old_size"), F.col("modified_s").alias("old_s"), "scanned_s", F.lit(True).alias("was"))
+    old = known.select(*keys, "file_id", F.col("size_bytes").alias("old_size"), F.col("modified_s").alias("old_s"), "scanned_s", F.lit(True).alias("was"))
     old = old.join(read, F.col("file_id") == F.col("read_id"), "left")
-    new = inventory.select("path", "size_bytes", "modified_s", F.lit(True).alias("there"))
-    work = pending.select("path", F.col("size_bytes").alias("work_size"), "modified_ms", F.col("stage").alias("pending_stage"))
-    both = new.join(old, "path", "full").join(work, "path", "left")
+    new = inventory.select(*keys, "size_bytes", "modified_s", F.lit(True).alias("there"))
+    work = pending.select(*keys, F.col("size_bytes").alias("work_size"), "modified_ms", F.col("stage").alias("pending_stage"))
+    both = new.join(old, list(keys), "full").join(work, list(keys), "left")
     same = F.col("scanned_s").isNotNull() & F.col("read_id").isNotNull() & (F.col("size_bytes") == F.col("old_size")) & (F.col("modified_s") == F.col("old_s"))
     done = F.col("pending_stage").isNull() | ((F.col("work_size") == F.col("size_bytes")) & (F.col("modified_ms") == F.col("modified_s") * 1000))
     status = F.when(F.col("there").isNull(), "missing").when(F.col("was").isNull(), "new").when(same & done, "unchanged").otherwise("changed")
-    return both.select("path", "file_id", status.alias("status"), "pending_stage")
+    return both.select(*keys, "file_id", status.alias("status"), "pending_stage")
 
 
-def work_of(diffed: DataFrame) -> DataFrame:
-    """path, stage: new and changed files, and unchanged ones with discovery pending, are to be discovered; unchanged ones with metadata pending enriched."""
+def work_of(diffed: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """keys, stage: new and changed files, and unchanged ones with discovery pending, are to be discovered; unchanged ones with metadata pending enriched."""
     stage = F.when(F.col("status").isin("new", "changed"), "discover").when(F.col("status") == "unchanged", F.col("pending_stage"))
-    return diffed.select("path", stage.alias("stage")).where("stage IS NOT NULL")
+    return diffed.select(*keys, stage.alias("stage")).where("stage IS NOT NULL")
 
 
-def mark_missing(known: DataFrame, diffed: DataFrame, scan_s: Column) -> DataFrame:
-    """known with missing_s: stamped at the first scan that misses a file, cleared when the file is there unchanged; nothing is deleted."""
-    seen = diffed.select("path", "status")
-    stamp = F.when(F.col("status") == "missing", F.coalesce("missing_s", scan_s)).when(F.col("status") != "unchanged", F.col("missing_s")).when(F.col("status").isNull(), F.col("missing_s"))
-    return known.join(seen, "path", "left").withColumn("missing_s", stamp).drop("status")
+def mark_missing(known: DataFrame, diffed: DataFrame, scan_s: Column, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """known with missing_s: stamped at the first scan that misses a file, cleared when the file is there again, changed or not; nothing is deleted."""
+    stamp = F.when(F.col("status") == "missing", F.coalesce("missing_s", scan_s)).when(F.col("status").isNull(), F.col("missing_s"))
+    return known.join(diffed.select(*keys, "status"), list(keys), "left").withColumn("missing_s", stamp).drop("status")
 
 
-def recognise_moves(new: DataFrame, missing: DataFrame, listing: DataFrame) -> DataFrame:
-    """path, file_id, old_path of new(path, value) files whose hash is that of missing(file_id, path, value).
+def recognise_moves(new: DataFrame, missing: DataFrame, listing: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by (a library), path, file_id, old_path of new(path, value) files whose hash is that of missing(file_id, path, value).
 
     A candidate whose own path is still in the raw listing(path) was copied, not moved. Of a hash's candidates the one of the highest id stands, of the
     new files the lowest path; each moves once. Hashes that no file is missing never leave the semi join, so no hot hash is ranked for nothing.
     """
-    gone = missing.join(listing.select("path").distinct(), "path", "left_anti")
-    last = gone.groupBy("value").agg(F.max_by(F.struct("file_id", "path"), F.col("file_id")).alias("old"))
-    first = new.join(gone.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.min("path").alias("path"))
-    return first.join(last, "value").select("path", F.col("old.file_id").alias("file_id"), F.col("old.path").alias("old_path"))
+    gone, same = missing.join(listing.select(*by, "path").distinct(), [*by, "path"], "left_anti"), [*by, "value"]
+    last = gone.groupBy(*same).agg(F.max_by(F.struct("file_id", "path"), F.col("file_id")).alias("old"))
+    first = new.join(gone.select(*same).distinct(), same, "left_semi").groupBy(*same).agg(F.min("path").alias("path"))
+    return first.join(last, same).select(*by, "path", F.col("old.file_id").alias("file_id"), F.col("old.path").alias("old_path"))
 
 
 def tally(diffed: DataFrame, moves: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row a key (a library): seen, added, updated, moved, missing, unchanged. A moved file is neither added nor, at its old path, missing."""
+    """One row a key (a library): seen, discovered, enriched, added, updated, moved, missing, unchanged. A moved file is neither added nor, at its old path, missing."""
     keys = keys or []
-    rows = diffed.join(moves.select("path", F.lit(True).alias("moved_in")), "path", "left").join(moves.select(F.col("old_path").alias("path"), F.lit(True).alias("moved_out")), "path", "left")
+    at = [*keys, "path"]
+    rows = diffed.join(moves.select(*at, F.lit(True).alias("moved_in")), at, "left").join(moves.select(*keys, F.col("old_path").alias("path"), F.lit(True).alias("moved_out")), at, "left")
     n = lambda c: F.count_if(c).alias
+    fresh = F.col("status").isin("new", "changed")
     return rows.groupBy(*keys).agg(
-        n(F.col("status") != "missing")("seen"), n((F.col("status") == "new") & F.col("moved_in").isNull())("added"), n(F.col("status") == "changed")("updated"), n(F.col("moved_in").isNotNull())("moved"),
+        n(F.col("status") != "missing")("seen"), n(fresh | ((F.col("status") == "unchanged") & (F.col("pending_stage") == "discover")))("discovered"), n((F.col("status") == "unchanged") & (F.col("pending_stage") == "metadata"))("enriched"),
+        n((F.col("status") == "new") & F.col("moved_in").isNull())("added"), n(F.col("status") == "changed")("updated"), n(F.col("moved_in").isNotNull())("moved"),
         n((F.col("status") == "missing") & F.col("moved_out").isNull())("missing"), n(F.col("status") == "unchanged")("unchanged"),
     )
 
 
+def side_tally(inventory: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: sidecars, artwork, skipped of inventory(keys, path, kind), and errors of errors(keys): files beside the items, and what went wrong, all counted."""
+    side = sidecar_kind(F.col("path"))
+    picture = F.col("kind").eqNullSafe("image")
+    none = F.lit(0).cast("long")
+    rows = inventory.select(*keys, (side.isNotNull() & ~picture).cast("long").alias("sidecars"), picture.cast("long").alias("artwork"), (F.col("kind").isNull() & side.isNull()).cast("long").alias("skipped"), none.alias("errors"))
+    rows = rows.unionByName(errors.select(*keys, none.alias("sidecars"), none.alias("artwork"), none.alias("skipped"), F.lit(1).cast("long").alias("errors")))
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("sidecars", "artwork", "skipped", "errors")])
+
+
 def revalidate(known: DataFrame, roots: DataFrame) -> DataFrame:
     """known with scanned_s nulled below each of roots(root, source_id, last_source_id) whose source is unknown or another."""
     odd = roots.where("last_source_id IS NULL OR NOT source_id <=> last_source_id").select("root").distinct()
@@ -113,6 +126,20 @@ def lacking_items(diffed: DataFrame, items: DataFrame) -> DataFrame:
     return diffed.where("status = 'unchanged'").select("file_id").join(items.select("file_id"), "file_id", "left_anti")
 
 
+def membership(diffed: DataFrame, files: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items(file_id) that unchanged files lack, and their tags(item_id, namespace, name): the format that the ending of files(file_id, path, kind) says, and the kind."""
+    new = lacking_items(diffed, items)
+    rows = new.join(files.select("file_id", "path", "kind"), "file_id")
+    tags = F.array(F.struct(F.lit("format").alias("namespace"), format_tag(F.col("path")).alias("name")), F.struct(F.lit("kind").alias("namespace"), F.col("kind").alias("name")))
+    return new, rows.select(F.col("file_id").alias("item_id"), F.inline(tags)).where("name IS NOT NULL AND name <> ''")
+
+
+def stale_work(pending: DataFrame, inventory: DataFrame, unsafe: DataFrame | None = None, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Pending work whose file is not listed any more, but for what lies below unsafe(path): that may be there."""
+    gone = pending.join(inventory.select(*keys), list(keys), "left_anti")
+    return gone if unsafe is None else safe_only(gone, unsafe)
+
+
 def first_errors(errors: DataFrame, by: str, order: list[str], most: int = 50) -> DataFrame:
     """The first errors of each library, in the order they came up."""
     return errors.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= most)
@@ -126,15 +153,24 @@ def changed_fields(old: Column, new: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.try_element_at(b, k))))
 
 
+def slices(rows: DataFrame, order: str, n: int, sample: int = 20_000) -> Column:
+    """Which of about n ranges of a text column, cut at sampled values, a row is in. The cuts change no result, only how rows are dealt."""
+    share = min(1.0, sample / max(1, rows.count()))
+    seen = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).sample(share, 7).limit(2 * sample).collect())
+    cuts = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<string>"), lambda c: c <= F.col(order)))
+
+
 def waves(files: DataFrame, stage: str, bytes_per_wave: int, order: str = "path") -> DataFrame:
-    """files(size_bytes, ...) with cost and wave: discovery reads at most 2 MiB of a file, enrichment 1 MiB, and a wave about bytes_per_wave.
+    """files(size_bytes, ...) with cost and wave: discovery reads at most 2 MiB of a file, enrichment 1 MiB, and a wave about bytes_per_wave, in this order.
 
-    Running sums are kept within 64 ranges of the order, then shifted by the ranges before, so no task sorts all files.
+    Running sums are kept within ranges of the order, then shifted by the ranges before, so no task sorts all files.
     """
     most = {"discover": 2 << 20, "enrich": 1 << 20}[stage]
-    rows = files.withColumns({"cost": F.least("size_bytes", F.lit(most)).cast("long"), "slice": F.pmod(F.xxhash64(order), F.lit(64))})
+    n = max(64, min(512, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = files.withColumn("cost", F.least("size_bytes", F.lit(most)).cast("long")).withColumn("slice", slices(files, order, n))
     sums = rows.groupBy("slice").agg(F.sum("cost").alias("total"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
     sums = sums.select("slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(F.broadcast(sums), "slice").withColumn("upto", F.col("base") + F.sum("cost").over(inside))

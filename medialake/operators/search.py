@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from unicodedata import category, normalize
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters with marks, and without.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters below U+2000 that are one letter and marks, and those letters: by their canonical decomposition.
+MARKED, PLAIN = map("".join, zip(*((c, base) for c in map(chr, range(0xA0, 0x2000)) if len(base := "".join(x for x in normalize("NFD", c) if category(x) != "Mn")) == 1 and base != c)))
 K1, B = 1.2, 0.75
 #: Longest beginning of a term by which prefixes are joined.
 KEY = 3
@@ -17,10 +17,16 @@ KEY = 3
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case and without diacritics."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN)
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), r"\p{Mn}+", "")
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def document(fields: list[str], extra: str | None = None) -> Column:
+    """The text by which an item is found: its fields that are there, lists joined, and the texts of a map."""
+    parts = [F.col(f) for f in fields] + ([F.array_join(F.map_values(extra), " ")] if extra else [])
+    return F.concat_ws(" ", *parts)
+
+
 @dataclass
 class Index:
     """postings(term, item_id, col, pos) and docs(item_id, length)."""

@@ -135,3 +135,20 @@ def camera() -> Column:
 
 def book_kind() -> Column:
     return F.when(F.col("kind") == "audio", "audiobook").otherwise(F.coalesce(F.upper("format"), F.lit("PDF")))
+
+
+def items(rows: DataFrame, order: tuple[str, ...], kinds: list[str] | None = None, missing: bool = True) -> DataFrame:
+    """The items of a library in the order they were added, of these kinds or of all; missing=False leaves out those whose `missing` is set."""
+    found = rows if kinds is None else rows.where(F.col("kind").isin(*kinds))
+    return (found if missing else found.where("NOT missing")).orderBy(*order)
+
+
+def track_summaries(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """items of a music shelf: audio that is there, with what a list of tracks shows."""
+    shown = ["title", "artist", "album", "album_artist", "track_number", "disc_number", "duration_ms", "year", "genre"]
+    return rows.where("NOT missing").select(*order, *shown)
+
+
+def artist_shown(lead: Column, band: Column, original: Column) -> Column:
+    """The lead performer, else the band, else the original artist."""
+    return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (lead, band, original)])

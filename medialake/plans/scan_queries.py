@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, paths
-from ..operators import identity, scan
+from ..operators import full_scan, identity, scan
 from . import views as v
 from .registry import query
 
@@ -129,12 +129,13 @@ def journal(spark, sf):
     return upsert(v.pending(spark, sf).select("path", "stage"), incoming, ["path"])
 
 
-@query("sc10_stale_work", "SELECT path FROM pending WHERE path NOT IN (SELECT path FROM inv_new)", "pending", "inv_new")
+@query("sc10_stale_work", "SELECT path FROM pending WHERE path NOT IN (SELECT path FROM inv_new) AND NOT starts_with(path, '/lib/src1/')", "pending", "inv_new")
 def stale_work(spark, sf):
-    return v.pending(spark, sf).join(v.inv_new(spark, sf), "path", "left_anti").select("path")
+    unsafe = v.table(spark, sf, "documents").where("source = 'src1'").select(F.lit("/lib/src1").alias("path")).distinct()
+    return scan.stale_work(v.pending(spark, sf), v.inv_new(spark, sf), unsafe).select("path")
 
 
-@query("sc11_missing", """SELECT k.file_id, CASE d.status WHEN 'missing' THEN coalesce(k.missing_s, 1800000000) WHEN 'unchanged' THEN NULL ELSE k.missing_s END AS missing_s FROM known k LEFT JOIN diffed d ON k.path = d.path""", "known", "diffed")
+@query("sc11_missing", """SELECT k.file_id, CASE WHEN d.status = 'missing' THEN coalesce(k.missing_s, 1800000000) WHEN d.status IS NULL THEN k.missing_s END AS missing_s FROM known k LEFT JOIN diffed d ON k.path = d.path""", "known", "diffed")
 def missing(spark, sf):
     return scan.mark_missing(v.known(spark, sf), diffed(spark, sf), F.lit(1800000000)).select("file_id", "missing_s")
 
@@ -187,13 +188,82 @@ def copies(spark, sf):
     return identity.duplicates(rows, "value", "path").select(F.col("first_file").alias("first_path"), F.col("copies").alias("files"), "value")
 
 
-@query("sc17_tally", MOVES + """ SELECT count(*) FILTER (status <> 'missing') AS seen, count(*) FILTER (status = 'new' AND d.path NOT IN (SELECT path FROM moves)) AS added, count(*) FILTER (status = 'changed') AS updated,
+@query("sc17_tally", MOVES + """ SELECT count(*) FILTER (status <> 'missing') AS seen, count(*) FILTER (status IN ('new', 'changed') OR status = 'unchanged' AND pending_stage = 'discover') AS discovered,
+  count(*) FILTER (status = 'unchanged' AND pending_stage = 'metadata') AS enriched, count(*) FILTER (status = 'new' AND d.path NOT IN (SELECT path FROM moves)) AS added, count(*) FILTER (status = 'changed') AS updated,
   (SELECT count(*) FROM moves) AS moved, count(*) FILTER (status = 'missing' AND d.path NOT IN (SELECT old_path FROM moves)) AS missing, count(*) FILTER (status = 'unchanged') AS unchanged FROM diffed d""", "diffed", "known", "hashes", "inv_new")
 def tallied(spark, sf):
     rows = diffed(spark, sf)
     return scan.tally(rows, moved(spark, sf, rows))
 
 
+@query("sc17_beside", "SELECT source, count(*) FILTER (path LIKE '%.srt') AS sidecars, count(*) FILTER (kind = 'image') AS artwork, count(*) FILTER (kind IS NULL AND path NOT LIKE '%.srt') AS skipped, count(*) FILTER (size_bytes < 100) AS errors FROM inv_base GROUP BY source", "inv_base")
+def beside(spark, sf):
+    rows = v.inv_base(spark, sf)
+    return scan.side_tally(rows, rows.where("size_bytes < 100"), ["source"])
+
+
+@query("sc16_tags", """SELECT d.file_id AS item_id, t.namespace, CASE t.namespace WHEN 'kind' THEN k.kind ELSE lower(regexp_extract(k.path, '\\.([^./]*)$', 1)) END AS name FROM diffed d JOIN known k ON k.path = d.path, (VALUES ('kind'), ('format')) AS t(namespace) WHERE d.status = 'unchanged' AND d.file_id % 3 <> 0""", "diffed", "known")
+def membership_tags(spark, sf):
+    known = v.known(spark, sf)
+    return scan.membership(diffed(spark, sf), known, known.where("file_id % 3 = 0"))[1]
+
+
+#: Library 2 has the files below src0 too, each with an id of its own, and knew a half of them.
+LIBRARIES = """, inv2 AS (SELECT 1 AS library_id, * FROM inv_new UNION ALL SELECT 2, * FROM inv_new WHERE starts_with(path, '/lib/src0/')),
+known2 AS (SELECT 1 AS library_id, * FROM known UNION ALL SELECT 2, * REPLACE (file_id + 10000000 AS file_id) FROM known WHERE starts_with(path, '/lib/src0/') AND file_id % 2 = 0),
+hash2 AS (SELECT file_id, kind, value FROM hashes UNION ALL SELECT file_id + 10000000, kind, value FROM hashes),
+diff2 AS (SELECT coalesce(i.library_id, k.library_id) AS library_id, coalesce(i.path, k.path) AS path, k.file_id, k.missing_s, i.doc_id,
+  CASE WHEN i.path IS NULL THEN 'missing' WHEN k.path IS NULL THEN 'new' WHEN k.scanned_s IS NOT NULL AND h.file_id IS NOT NULL AND i.size_bytes = k.size_bytes AND i.modified_s = k.modified_s
+    AND (p.path IS NULL OR (p.size_bytes = i.size_bytes AND p.modified_ms = i.modified_s * 1000)) THEN 'unchanged' ELSE 'changed' END AS status
+FROM (SELECT * FROM inv2 WHERE kind IS NOT NULL AND kind <> 'image') i FULL OUTER JOIN (SELECT * FROM known2 WHERE kind IS NOT NULL AND kind <> 'image') k ON i.path = k.path AND i.library_id = k.library_id
+LEFT JOIN (SELECT DISTINCT file_id FROM hash2) h ON h.file_id = k.file_id LEFT JOIN pending p ON p.path = coalesce(i.path, k.path) AND coalesce(i.library_id, k.library_id) = 1)"""
+
+
+def libraries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files that are known, hashes, pending work and roots of two libraries."""
+    known, hashes = v.known(spark, sf).where(MEDIA), v.hashes(spark, sf)
+    second = known.where("startswith(path, '/lib/src0/') AND file_id % 2 = 0").withColumn("file_id", F.col("file_id") + 10_000_000)
+    files = known.withColumn("library_id", F.lit(1)).unionByName(second.withColumn("library_id", F.lit(2)))
+    roots = v.table(spark, sf, "documents").select(F.lit(1).alias("library_id"), F.lit("/lib").alias("root")).union(v.table(spark, sf, "documents").select(F.lit(2), F.lit("/lib/src0"))).distinct()
+    return files, hashes.unionByName(hashes.withColumn("file_id", F.col("file_id") + 10_000_000)), v.pending(spark, sf).withColumn("library_id", F.lit(1)), roots
+
+
+def full(spark: SparkSession, sf: str, directories: DataFrame | None = None) -> full_scan.Scanned:
+    """The whole scan of the new inventory: of both libraries, or, given directories, of library 1."""
+    files, hashes, pending, roots = libraries(spark, sf)
+    if directories is not None:
+        files, roots = files.where("library_id = 1"), roots.where("library_id = 1")
+    hooks = full_scan.Hooks(hash_of=lambda read: read.select("library_id", "path", F.sha2("text", 256).alias("value")))
+    return full_scan.scan(v.inv_new(spark, sf), roots, files, hashes, files.where("file_id % 3 = 0").select("file_id"), pending, F.lit(1800000000), hooks, directories=directories, file_id=F.col("doc_id") + F.col("library_id") * 20_000_000)
+
+
+@query("sc20_all_libraries", LIBRARIES + " SELECT library_id, path, file_id, status FROM diff2", "known", "hashes", "pending", "inv_new")
+def all_libraries(spark, sf):
+    """Every library's diff in one job: the library is a key, not a loop, and one path may be in two."""
+    return full(spark, sf).diffed.drop("pending_stage")
+
+
+MOVES2 = """, gone2 AS (SELECT d.library_id, h.value, d.file_id, d.path FROM diff2 d JOIN hash2 h ON h.file_id = d.file_id AND h.kind = 'sampledSha256' WHERE d.status = 'missing' AND NOT EXISTS (SELECT 1 FROM inv2 i WHERE i.library_id = d.library_id AND i.path = d.path)),
+fresh2 AS (SELECT d.library_id, d.path, sha256(i.text) AS value FROM diff2 d JOIN inv2 i ON d.path = i.path AND d.library_id = i.library_id WHERE d.status = 'new'),
+moves2 AS (SELECT f.library_id, f.path, g.file_id, g.old_path FROM (SELECT library_id, value, min(path) AS path FROM fresh2 GROUP BY 1, 2) f JOIN (SELECT library_id, value, max(file_id) AS file_id, arg_max(path, file_id) AS old_path FROM gone2 GROUP BY 1, 2) g ON f.value = g.value AND f.library_id = g.library_id)"""
+
+
+@query("sc21_full_scan", LIBRARIES + MOVES2 + """ SELECT d.library_id, coalesce(m.path, d.path) AS path, coalesce(d.file_id, d.doc_id + d.library_id * 20000000) AS file_id,
+  CASE WHEN m.path IS NULL AND d.status = 'missing' THEN coalesce(d.missing_s, 1800000000) END AS missing_s FROM diff2 d LEFT JOIN moves2 m ON m.file_id = d.file_id AND m.library_id = d.library_id
+WHERE NOT EXISTS (SELECT 1 FROM moves2 n WHERE n.path = d.path AND n.library_id = d.library_id)""", "known", "hashes", "pending", "inv_new")
+def scanned(spark, sf):
+    """The files of both libraries after the scan: moved, added, marked missing, returned."""
+    return full(spark, sf).files.select("library_id", "path", "file_id", F.col("missing_s").cast("long").alias("missing_s"))
+
+
+@query("sc21_events", LIBRARIES + MOVES2 + """ SELECT library_id, type, count(*) AS events FROM (
+  SELECT d.library_id, CASE WHEN i.path IS NOT NULL OR d.status = 'changed' THEN 'item-updated' WHEN d.status = 'new' THEN 'item-added' WHEN d.status = 'missing' AND o.old_path IS NULL THEN 'item-missing' END AS type
+  FROM diff2 d LEFT JOIN moves2 i ON i.path = d.path AND i.library_id = d.library_id LEFT JOIN moves2 o ON o.old_path = d.path AND o.library_id = d.library_id
+  UNION ALL SELECT library_id, 'scan-work-queued' FROM diff2 WHERE status IN ('new', 'changed')) WHERE type IS NOT NULL GROUP BY 1, 2""", "known", "hashes", "pending", "inv_new")
+def scan_told(spark, sf):
+    return full(spark, sf).events.where("library_id IS NOT NULL").groupBy("library_id", "type").agg(F.count("*").alias("events"))
+
+
 @query("so12_first_errors", "SELECT * FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM inv_base WHERE kind IS NULL) WHERE nth <= 50", "inv_base")
 def errors(spark, sf):
     return scan.first_errors(v.inv_base(spark, sf).where("kind IS NULL").select("source", "doc_id"), "source", ["doc_id"]).withColumn("nth", F.col("nth").cast("long"))
@@ -224,12 +294,12 @@ def field_changes(spark, sf):
     return docs.select("doc_id", F.try_element_at(changes, F.lit("lang")).alias("lang_now"), F.map_contains_key(changes, "lang").alias("lang_changed"), F.map_contains_key(changes, "source").alias("source_changed"))
 
 
-@query("st09_cost_waves")
+@query("st09_cost_waves", "SELECT path, size_bytes, cost, CAST(floor((upto - cost) / 1048576) AS BIGINT) AS wave FROM (SELECT *, sum(cost) OVER (ORDER BY path) AS upto FROM (SELECT path, size_bytes, least(size_bytes, 2097152) AS cost FROM inv_new))", "inv_new")
 def cost_waves(spark, sf):
     return scan.waves(v.inv_new(spark, sf).select("path", "size_bytes"), "discover", 1 << 20)
 
 
-@query("sc12_returned", "SELECT k.file_id FROM known k JOIN diffed d ON k.path = d.path WHERE d.status = 'unchanged' AND k.missing_s IS NOT NULL", "known", "diffed")
+@query("sc12_returned", "SELECT k.file_id FROM known k JOIN diffed d ON k.path = d.path WHERE d.status IN ('unchanged', 'changed') AND k.missing_s IS NOT NULL", "known", "diffed")
 def returned(spark, sf):
     known = v.known(spark, sf)
     marked = scan.mark_missing(known, diffed(spark, sf), F.lit(1800000000)).where("missing_s IS NULL").select("file_id")
@@ -242,16 +312,11 @@ def skipped(spark, sf):
     return others.join(others.where(classify.sidecar_kind(F.col("path")).isNotNull()), "path", "left_anti").agg(F.count("*").alias("skipped"))
 
 
-@query("sc20_all_libraries", "SELECT CAST(split_part(path, '/', 3) AS VARCHAR) AS library, status, count(*) AS files FROM diffed GROUP BY 1, 2", "diffed")
-def all_libraries(spark, sf):
-    """Every library's diff in one job: the library is a key, not a loop."""
-    return diffed(spark, sf).groupBy(F.split_part("path", F.lit("/"), F.lit(3)).alias("library"), "status").agg(F.count("*").alias("files"))
-
-
 @query("tg18_lossless", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS lossless, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS lead FROM part")
 def lossless_codecs(spark, sf):
     from ..functions import values as val
+    from ..operators import shelves
 
     codec = F.when(F.col("p_partkey") % 3 == 0, "FLAC").when(F.col("p_partkey") % 3 == 1, "mp3")
-    lead = F.coalesce(val.clean_value(F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(" ")), F.col("p_type"))
+    lead = shelves.artist_shown(F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(" "), F.lit(None).cast("string"), F.col("p_type"))
     return v.table(spark, sf, "part").select("p_partkey", val.lossless(codec).alias("lossless"), lead.alias("lead"))

@@ -18,17 +18,17 @@ def playable(spark, sf):
 
 @query("pf01_items", f"SELECT {ITEM}, title, missing FROM tracks", "tracks")
 def all_items(spark, sf):
-    return v.tracks(spark, sf).select(*v.SHELF, "title", "missing").orderBy(*v.SHELF)
+    return shelves.items(v.tracks(spark, sf), v.SHELF).select(*v.SHELF, "title", "missing")
 
 
 @query("pf03_track_summaries", f"SELECT {ITEM}, title, artist, album, album_artist, track_number, disc_number, duration_ms, CAST(year AS BIGINT) AS year, genre FROM tracks WHERE NOT missing", "tracks")
 def track_summaries(spark, sf):
-    return playable(spark, sf).drop("missing")
+    return shelves.track_summaries(v.tracks(spark, sf), v.SHELF)
 
 
 @query("pf04_by_kind", "SELECT doc_id, path FROM inv_base WHERE kind = 'video'", "inv_base")
 def by_kind(spark, sf):
-    return v.inv_base(spark, sf).where("kind = 'video'").select("doc_id", "path")
+    return shelves.items(v.inv_base(spark, sf), ("doc_id",), ["video"]).select("doc_id", "path")
 
 
 @query("pf05_shelf_artist", "SELECT coalesce(album_artist, artist) AS shelf_artist, count(*) AS tracks FROM tracks GROUP BY 1", "tracks")
@@ -130,10 +130,10 @@ def kind_counts(spark, sf):
     return v.inv_base(spark, sf).groupBy("source", "kind").agg(F.count("*").alias("items"))
 
 
-@query("so01_songs_by_year_desc", f"SELECT {ITEM}, CAST(year AS BIGINT) AS year FROM tracks ORDER BY year DESC NULLS LAST, {ITEM} LIMIT 200", "tracks")
+@query("so01_songs_by_year_desc", f"SELECT {ITEM}, CAST(year AS BIGINT) AS year FROM tracks ORDER BY year DESC NULLS LAST, {ITEM}", "tracks")
 def songs_by_year(spark, sf):
     keys = {"year": F.col("year")}
-    return shelves.sort_shelf(v.tracks(spark, sf), keys, v.SHELF, "year", ascending=False).select(*v.SHELF, "year").limit(200)
+    return shelves.sort_shelf(v.tracks(spark, sf), keys, v.SHELF, "year", ascending=False).select(*v.SHELF, "year")
 
 
 @query("so03_albums_by_time", "SELECT album, playtime_ms FROM (SELECT coalesce(album, 'Unknown') AS album, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS playtime_ms FROM tracks WHERE NOT missing GROUP BY 1)", "tracks")
@@ -142,10 +142,10 @@ def albums_by_time(spark, sf):
     return shelves.sort_shelf(rows, shelves.sorts("albums"), ("album",), "time", ascending=False).select("album", "playtime_ms")
 
 
-@query("so04_artists_by_songs", "SELECT artist, songs FROM (SELECT coalesce(artist, 'Unknown') AS artist, count(*) AS songs FROM tracks WHERE NOT missing GROUP BY 1) ORDER BY songs DESC, artist LIMIT 20", "tracks")
+@query("so04_artists_by_songs", "SELECT artist, songs FROM (SELECT coalesce(artist, 'Unknown') AS artist, count(*) AS songs FROM tracks WHERE NOT missing GROUP BY 1) ORDER BY songs DESC, artist", "tracks")
 def artists_by_songs(spark, sf):
     rows = shelves.artists(playable(spark, sf))
-    return shelves.sort_shelf(rows, shelves.sorts("artists"), ("artist",), "songs", ascending=False).select("artist", "songs").limit(20)
+    return shelves.sort_shelf(rows, shelves.sorts("artists"), ("artist",), "songs", ascending=False).select("artist", "songs")
 
 
 @query("so05_running_order", f"SELECT {ITEM}, CAST(coalesce(disc_number, 1) * 1000 + coalesce(track_number, 0) AS BIGINT) AS place FROM tracks", "tracks")
@@ -159,10 +159,10 @@ def episodes(spark, sf):
     return rows.select(*v.SHELF, shelves.episode_order().cast("long").alias("place"))
 
 
-@query("so07_movies_by_resolution", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size END AS height FROM part ORDER BY height DESC NULLS LAST, p_partkey LIMIT 100")
+@query("so07_movies_by_resolution", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size END AS height FROM part ORDER BY height DESC NULLS LAST, p_partkey")
 def movies(spark, sf):
     rows = v.table(spark, sf, "part").withColumn("height", F.when(F.col("p_size") % 5 != 0, F.col("p_size")))
-    return shelves.sort_shelf(rows, {"resolution": F.col("height")}, ("p_partkey",), "resolution", ascending=False).select("p_partkey", "height").limit(100)
+    return shelves.sort_shelf(rows, {"resolution": F.col("height")}, ("p_partkey",), "resolution", ascending=False).select("p_partkey", "height")
 
 
 @query("so11_recent_plays", "SELECT play_id, item_id, started_at, completed FROM plays ORDER BY started_at DESC, play_id DESC LIMIT 50", "plays")
@@ -322,37 +322,37 @@ SONG_KEYS = {"track": "track_number", "title": "lower(title)", "artist": "lower(
 def first_songs(column: str, ascending: bool):
     def run(spark, sf):
         rows = v.tracks(spark, sf).withColumns({"format": F.lit("mp3"), "bitrate_kbps": F.lit(320)})
-        return shelves.sort_shelf(rows, shelves.sorts("songs"), v.SHELF, column, ascending).select(*v.SHELF).limit(50)
+        return shelves.sort_shelf(rows, shelves.sorts("songs"), v.SHELF, column, ascending).select(*v.SHELF)
 
     return run
 
 
 for _column, _key in SONG_KEYS.items():
     for _up in (True, False):
-        query(f"so02_songs_{_column}_{'asc' if _up else 'desc'}", f"SELECT {ITEM} FROM tracks ORDER BY {_key} {'ASC' if _up else 'DESC'} NULLS LAST, {ITEM} LIMIT 50", "tracks")(first_songs(_column, _up))
+        query(f"so02_songs_{_column}_{'asc' if _up else 'desc'}", f"SELECT {ITEM} FROM tracks ORDER BY {_key} {'ASC' if _up else 'DESC'} NULLS LAST, {ITEM}", "tracks")(first_songs(_column, _up))
 
 
-@query("so08_gallery_by_dimensions", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size % 4 <> 0 THEN p_size * p_size * 2 END DESC NULLS LAST, p_partkey LIMIT 40")
+@query("so08_gallery_by_dimensions", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size % 4 <> 0 THEN p_size * p_size * 2 END DESC NULLS LAST, p_partkey")
 def gallery(spark, sf):
     rows = v.table(spark, sf, "part").selectExpr("p_partkey", "p_name AS title", "p_brand AS path", "p_size AS width", "CASE WHEN p_size % 4 <> 0 THEN p_size * 2 END AS height", "p_type AS camera", "p_size AS taken_at")
-    return shelves.sort_shelf(rows, shelves.sorts("gallery"), ("p_partkey",), "dimensions", False).select("p_partkey").limit(40)
+    return shelves.sort_shelf(rows, shelves.sorts("gallery"), ("p_partkey",), "dimensions", False).select("p_partkey")
 
 
-@query("so09_books_by_length", "SELECT p_partkey FROM part ORDER BY CASE p_partkey % 3 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size END ASC NULLS LAST, p_partkey LIMIT 40")
+@query("so09_books_by_length", "SELECT p_partkey FROM part ORDER BY CASE p_partkey % 3 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size END ASC NULLS LAST, p_partkey")
 def books_by_length(spark, sf):
     rows = v.table(spark, sf, "part").selectExpr("p_partkey", "p_name AS title", "p_brand AS author", "p_type AS kind", "CASE p_partkey % 3 WHEN 0 THEN p_size * 1000 END AS duration_ms", "CASE p_partkey % 3 WHEN 1 THEN p_size END AS pages")
-    return shelves.sort_shelf(rows, shelves.sorts("books"), ("p_partkey",), "length").select("p_partkey").limit(40)
+    return shelves.sort_shelf(rows, shelves.sorts("books"), ("p_partkey",), "length").select("p_partkey")
 
 
-@query("so10_comics_by_issue", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size % 2 = 0 THEN p_size / 2.0 END DESC NULLS LAST, p_partkey LIMIT 40")
+@query("so10_comics_by_issue", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size % 2 = 0 THEN p_size / 2.0 END DESC NULLS LAST, p_partkey")
 def comics_by_issue(spark, sf):
     rows = v.table(spark, sf, "part").selectExpr("p_partkey", "p_name AS title", "p_brand AS series", "p_type AS author", "CASE WHEN p_size % 2 = 0 THEN p_size / 2 END AS issue_number", "p_size AS pages")
-    return shelves.sort_shelf(rows, shelves.sorts("comics"), ("p_partkey",), "issue", False).select("p_partkey").limit(40)
+    return shelves.sort_shelf(rows, shelves.sorts("comics"), ("p_partkey",), "issue", False).select("p_partkey")
 
 
-@query("so01_unknown_column", f"SELECT {ITEM} FROM tracks ORDER BY {ITEM} LIMIT 30", "tracks")
+@query("so01_unknown_column", f"SELECT {ITEM} FROM tracks ORDER BY {ITEM}", "tracks")
 def unsorted(spark, sf):
-    return shelves.sort_shelf(v.tracks(spark, sf), {}, v.SHELF, "nonsense").select(*v.SHELF).limit(30)
+    return shelves.sort_shelf(v.tracks(spark, sf), {}, v.SHELF, "nonsense").select(*v.SHELF)
 
 
 @query("sh05_album_header", "SELECT arg_min(coalesce(album_artist, artist, 'Unknown'), shelf) AS artist, count(*) AS tracks, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS playtime_ms FROM ranked_tracks WHERE coalesce(album, 'Unknown') = 'Unknown'", "ranked_tracks")
@@ -397,3 +397,25 @@ def resolved_paths(spark, sf):
     wanted = files.select("item_id", F.lit("u-1").alias("uuid"))
     there = wanted.join(libraries, "uuid").join(files, ["library_id", "item_id"]).where("missing_s IS NULL")
     return there.join(availability(there, roots).where("available"), "path").select("item_id", "path")
+
+
+@query("pl01_recorded", "SELECT play_id, item_id, completed FROM plays UNION ALL SELECT 10000000 + event_id, user_id, false FROM events WHERE event_type = 'view'", "plays")
+def recorded(spark, sf):
+    new = v.table(spark, sf, "events").where("event_type = 'view'").select((F.col("event_id") + 10_000_000).alias("play_id"), F.col("user_id").alias("item_id"))
+    return plays.record_plays(v.plays(spark, sf).select("play_id", "item_id", "completed"), new)
+
+
+@query("dml04_removed_roots", "SELECT DISTINCT source, lang FROM documents WHERE source <> 'src1' AND lang IS NOT NULL")
+def removed_roots(spark, sf):
+    from ..operators.maintenance import remove_roots
+
+    roots = v.table(spark, sf, "documents").select(F.col("source").alias("library_id"), F.col("lang").alias("path")).where("path IS NOT NULL").distinct()
+    return remove_roots(roots, roots.where("library_id = 'src1'")).select(F.col("library_id").alias("source"), F.col("path").alias("lang"))
+
+
+@query("qa01_json_shape", "SELECT doc_id FROM documents WHERE doc_id % 4 IN (1, 2)")
+def json_shape(spark, sf):
+    from ..operators.maintenance import bad_json
+
+    text = F.when(F.col("doc_id") % 4 == 0, F.to_json(F.struct(F.col("doc_id").alias("year")))).when(F.col("doc_id") % 4 == 1, '{"year": "no number"}').when(F.col("doc_id") % 4 == 2, "{not json")
+    return bad_json(v.table(spark, sf, "documents").select("doc_id", text.alias("metadata")), "metadata", "year long, title string").select("doc_id")

@@ -33,17 +33,40 @@ class Extractors:
         self.known.append(Extractor(name, kinds, extensions, run, tier))
 
     def tiers(self, files: DataFrame, schema: str) -> DataFrame:
-        """file_id, tier and the schema's columns, of every extractor that handles a file(file_id, path, kind). A row that fails is the function's to leave out."""
-        found = None
+        """file_id, tier and the schema's columns, of every extractor that handles a file(file_id, path, kind); no rows where none is registered.
+
+        A batch on which an extractor raises is given to it again file by file; a file on which it still raises gets nothing from this tier.
+        """
+        key = files.schema["file_id"].dataType.simpleString()
+        found = files.sparkSession.createDataFrame([], f"file_id {key}, {schema}, tier int")
         for e in sorted(self.known, key=lambda e: e.tier):
             mine = files.where(F.col("kind").isin(*e.kinds))
             if e.extensions:
                 mine = mine.where(extension_of(F.col("path")).isin(*e.extensions))
-            rows = mine.select("file_id", "path", "kind").mapInPandas(e.run, f"file_id string, {schema}").withColumn("tier", F.lit(e.tier))
-            found = rows if found is None else found.unionByName(rows)
+            rows = mine.select("file_id", "path", "kind").mapInPandas(forgiving(e.run), f"file_id {key}, {schema}").withColumn("tier", F.lit(e.tier))
+            found = found.unionByName(rows)
         return found
 
 
+def forgiving(run: Extract) -> Extract:
+    """run, whose failure on one file costs no other its rows."""
+
+    def safe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            try:
+                done = list(run(iter([df])))
+            except Exception:  # one bad file must not stop the rest
+                done = []
+                for i in range(len(df)):
+                    try:
+                        done += list(run(iter([df.iloc[i : i + 1]])))
+                    except Exception:  # this is the one
+                        continue
+            yield from done
+
+    return safe
+
+
 def render_thumbnails(pictures: DataFrame, render: Callable[[bytes, int], bytes | None], longest: int = 256) -> DataFrame:
     """pictures(file_id, data) -> file_id, seq, role, mime, data of the thumbnails that `render` makes; what it can't decode, or fails on, gives no row."""
 

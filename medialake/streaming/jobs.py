@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,11 +26,29 @@ def debounced_dirs(events: DataFrame, gap: str = "2 seconds", watermark: str = "
     return named.groupBy("library_id", F.session_window("ts", gap).alias("burst")).agg(F.collect_set("dir").alias("dirs")).select("library_id", "dirs", F.col("burst.start").alias("since"), F.col("burst.end").alias("until"))
 
 
-def start_incremental(bursts: DataFrame, scan: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs scan(dirs(library_id, dir), batch) for each micro-batch; batches follow one another, so a library is never scanned twice at once."""
+def with_debt(dirs: DataFrame, debt: DataFrame, busy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """dirs(library_id, dir) that can be scanned now, and those owed: of a library that is being scanned, busy(library_id), nothing is, and all is kept for the next time."""
+    every = dirs.select("library_id", "dir").unionByName(debt.select("library_id", "dir")).distinct()
+    return every.join(busy, "library_id", "left_anti"), every.join(busy, "library_id", "left_semi")
+
+
+def start_incremental(bursts: DataFrame, scan: Callable[[DataFrame, int], None], checkpoint: str, busy: Callable[[], DataFrame] | None = None, debt_path: str | None = None) -> StreamingQuery:
+    """Runs scan(dirs(library_id, dir), batch) for each micro-batch; batches follow one another, so a library is never scanned twice at once by this stream.
+
+    busy: says which libraries other jobs are scanning now; their folders are written under debt_path and come again with the next batch.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        scan(batch.select("library_id", F.explode("dirs").alias("dir")).distinct(), number)
+        dirs = batch.select("library_id", F.explode("dirs").alias("dir")).distinct()
+        if busy is None or debt_path is None:
+            scan(dirs, number)
+            return
+        spark = dirs.sparkSession
+        none = spark.createDataFrame([], dirs.schema)
+        debt = spark.read.schema(dirs.schema).parquet(f"{debt_path}/batch={number - 1}") if number else none
+        now, later = with_debt(dirs, debt, busy())
+        later.write.mode("overwrite").parquet(f"{debt_path}/batch={number}")
+        scan(now, number)
 
     return bursts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -45,9 +63,10 @@ def latest_progress(log: DataFrame) -> DataFrame:
     return log.groupBy("item_id").agg(F.max(F.struct("updated_at", "event_id", "position_ms")).alias("last"))
 
 
-def counted(scan: DataFrame, name: str = "scan") -> DataFrame:
-    """scan(status) with running numbers of seen and changed files for listeners."""
-    return scan.observe(name, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("status") != "unchanged").alias("changed"))
+def counted(scan: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """scan(status), and the numbers of seen and changed files, which can be read once an action on it is done."""
+    told = Observation(name)
+    return scan.observe(told, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("status") != "unchanged").alias("changed")), told
 
 
 def collected(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
