@@ -35,6 +35,7 @@ CODED = {
     },
     "riff": {"title": ("INAM",), "artist": ("IART",), "album": ("IPRD",), "genres": ("IGNR",), "date": ("ICRD",), "comment": ("ICMT",), "encoder": ("ISFT",), "track": ("ITRK", "IPRT")},
     "aiff": {"title": ("NAME",), "artist": ("AUTH",), "comment": ("ANNO", "COMT")},
+    "matroska video": {"title": ("TITLE",), "date": ("DATE_RELEASED", "DATE"), "genres": ("GENRE",), "comment": ("COMMENT", "DESCRIPTION")},
 }
 
 LISTS = ("artists", "genres", "composers", "lyricists")
@@ -48,6 +49,7 @@ def aliases(spark: SparkSession) -> DataFrame:
     """dialect, alias, field: a few hundred rows, fixed."""
     rows = [(d, k, field) for d in ("vorbis", "ape", "wma", "matroska") for field, keys in SPELLED.items() for k in keys]
     rows += [(d, k, field) for d, fields in CODED.items() for field, keys in fields.items() for k in keys]
+    rows.append(("matroska", "DATERELEASED", "date"))
     # descriptions of user frames and names of freeform atoms are spelled out
     rows += [(d, f"*{k}", field) for d in ("id3v2", "ilst") for field, keys in SPELLED.items() for k in keys]
     return spark.createDataFrame(rows, "dialect string, alias string, field string")
@@ -55,14 +57,18 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 def skeleton(dialect: Column, key: Column) -> Column:
     free = F.when((dialect == "id3v2") & key.startswith("TXXX:"), F.substring(key, 6, 10_000)).when((dialect == "ilst") & key.startswith("----:"), F.substring_index(key, ":", -1))
-    return F.when(free.isNotNull(), F.concat(F.lit("*"), val.key_skeleton(free))).when(dialect.isin("vorbis", "ape", "wma", "matroska"), val.key_skeleton(key)).otherwise(key)
+    return F.when(free.isNotNull(), F.concat(F.lit("*"), val.key_skeleton(free))).when(dialect.isin("vorbis", "ape", "wma", "matroska"), val.key_skeleton(key)).when(dialect == "matroska video", F.upper(key)).otherwise(key)
 
 
 def with_fields(raw_tags: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """raw_tags(file_id, dialect, seq, key, value) with field, null where no alias claims the key, and the clean value; blank values go."""
+    """raw_tags(file_id, dialect, seq, key, value) with field, null where no alias claims the key, and the clean value; blank values go.
+
+    With a column kind, Matroska tags of a video have few fields: an artist or album of one stays among the rest.
+    """
     table = table or aliases(raw_tags.sparkSession)
-    rows = raw_tags.withColumn("alias", skeleton(F.col("dialect"), F.col("key")))
-    rows = rows.join(F.broadcast(table), ["dialect", "alias"], "left").drop("alias")
+    shape = F.when((F.col("dialect") == "matroska") & (F.col("kind") == "video"), "matroska video").otherwise(F.col("dialect")) if "kind" in raw_tags.columns else F.col("dialect")
+    rows = raw_tags.withColumn("shape", shape).withColumn("alias", skeleton(F.col("shape"), F.col("key")))
+    rows = rows.join(F.broadcast(table.withColumnRenamed("dialect", "shape")), ["shape", "alias"], "left").drop("shape", "alias")
     return rows.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where("value <> '' AND value <> '\0'")
 
 

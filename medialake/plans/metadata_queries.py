@@ -109,6 +109,30 @@ def normalised(spark, sf):
     return rows.select("file_id", "title", "artist", "album_artist", F.get("genres", 0).alias("genre"), "track_number", "track_total", "bpm", F.size("extra").cast("long").alias("extras"), F.get(F.map_values("extra"), 0).alias("price"))
 
 
+@query("tg08_text_chunks", """SELECT p_partkey, p_name AS title, p_brand AS artist, 'note' AS comment, CASE WHEN p_partkey % 2 = 1 THEN p_type END AS album, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS BIGINT) END AS track_number, CASE WHEN p_partkey % 2 = 0 THEN '(c) ' ELSE 'ICOP' END AS rest, p_type AS owner FROM part""")
+def text_chunks(spark, sf):
+    part = v.table(spark, sf, "part")
+    chunk = lambda seq, key, value: F.struct(F.lit(seq).alias("seq"), F.lit(key).alias("key"), value.cast("string").alias("value"))
+    aiff = F.array(chunk(0, "NAME", F.col("p_name")), chunk(1, "AUTH", F.col("p_brand")), chunk(2, "ANNO", F.lit("note")), chunk(3, "COMT", F.lit("later")), chunk(4, "(c) ", F.col("p_type")))
+    riff = F.array(chunk(0, "INAM", F.col("p_name")), chunk(1, "IART", F.col("p_brand")), chunk(2, "ICMT", F.lit("note")), chunk(3, "IPRD", F.col("p_type")), chunk(4, "IPRT", F.col("p_size")), chunk(5, "ICOP", F.col("p_type")))
+    even = F.col("p_partkey") % 2 == 0
+    rows = part.select(F.col("p_partkey").alias("file_id"), F.when(even, "aiff").otherwise("riff").alias("dialect"), F.inline(F.when(even, aiff).otherwise(riff)))
+    out = normalise.normalise_tags(rows)
+    return out.select(F.col("file_id").alias("p_partkey"), "title", "artist", "comment", "album", "track_number", F.get(F.map_keys("extra"), 0).alias("rest"), F.regexp_replace(F.get(F.map_values("extra"), 0), '"', "").alias("owner"))
+
+
+@query("tg22_matroska", """SELECT p_partkey, p_name AS title, 1990 + p_size AS year, p_type AS genre, CASE WHEN p_partkey % 3 = 0 THEN concat('by ', p_brand) END AS artist, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS album, CASE WHEN p_partkey % 3 = 0 THEN concat('mood ', p_type) END AS mood,
+  CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Album,Mood,artist' END AS rest FROM part""")
+def matroska_tags(spark, sf):
+    part = v.table(spark, sf, "part")
+    named = {"Title": F.col("p_name"), "artist": F.concat(F.lit("by "), "p_brand"), "Album": F.col("p_brand"), "GENRE": F.col("p_type"), "Mood": F.concat(F.lit("mood "), "p_type")}
+    tags = [F.struct(F.lit(i).alias("seq"), F.lit(k).alias("key"), c.alias("value")) for i, (k, c) in enumerate(named.items())]
+    tags.append(F.struct(F.lit(9).alias("seq"), F.lit("DATE_RELEASED").alias("key"), F.concat((F.col("p_size") + 1990).cast("string"), F.lit("-05-01")).alias("value")))
+    rows = part.select(F.col("p_partkey").alias("file_id"), F.lit("matroska").alias("dialect"), F.when(F.col("p_partkey") % 3 == 0, "audio").otherwise("video").alias("kind"), F.inline(F.array(*tags)))
+    rest = F.array_join(F.array_sort(F.map_keys("extra")), ",")
+    return normalise.normalise_tags(rows).select(F.col("file_id").alias("p_partkey"), "title", "year", F.get("genres", 0).alias("genre"), "artist", "album", "mood", rest.alias("rest"))
+
+
 @query("tg09_pairs", "SELECT file_id, CAST(split_part(value, '/', 1) AS BIGINT) AS number, CAST(50 AS BIGINT) AS total FROM raw_tags WHERE seq = 3", "raw_tags")
 def pairs(spark, sf):
     number, total = val.pair(F.col("value"))
