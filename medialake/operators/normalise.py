@@ -93,7 +93,7 @@ def normalise_tags(raw_tags: DataFrame, table: DataFrame | None = None) -> DataF
     return out.withColumns({
         "extra": F.transform_values(extra, lambda _, t: F.regexp_extract(t, r'^\{"v":(.*)\}$', 1)),
         "track_number": track, "track_total": F.coalesce(track_total, val.leading_int(F.col("track_total"))), "disc_number": disc, "disc_total": F.coalesce(disc_total, val.leading_int(F.col("disc_total"))),
-        "bpm": F.round(val.found(F.col("bpm"), r"^\s*(\d+(?:\.\d+)?)", 1).cast("double")).cast("int"), **{c: val.leading_int(F.col(c)) for c in ("season", "episode")}, **{c: val.decibels(F.col(c)) for c in GAINS}, **{c: val.number(F.col(c)) for c in PEAKS},
+        "bpm": F.round(val.found(F.col("bpm"), r"^\s*(\d+(?:\.\d+)?)", 1).cast("double")).cast("long"), **{c: val.leading_int(F.col(c)) for c in ("season", "episode")}, **{c: val.decibels(F.col(c)) for c in GAINS}, **{c: val.number(F.col(c)) for c in PEAKS},
         "original_year": val.year_like(F.col("original_year")), "compilation": val.flag(F.col("compilation")), "rating": F.when(val.leading_int(F.col("rating")) > 0, val.rating(val.leading_int(F.col("rating")))),
         "artists": F.when(F.size("artists") > 1, F.col("artists")), "year": val.found(F.col("date"), r"^(\d{4})", 1).cast("int"),
     }).drop("kept", "track", "disc")
