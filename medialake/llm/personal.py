@@ -28,15 +28,18 @@ MOST_CODES = len(KINDS) * len(VOTES) ** len(LABELERS) * 20 * 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Looser forms. All repeats are bounded, so no text makes them slow.
-SIGN = re.compile(r" ?[\[({<] ?(?:at|@) ?[\])}>] ?| at | @ |@ | @", re.I)
+SIGN = re.compile(r"(?: ?[\[({<] ?(?:at|@) ?[\])}>] ?| ?@ ?)", re.I)
+SPELLED_SIGN = re.compile(f"{SIGN.pattern}| at ", re.I)
 SPELLED = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,8}", re.I)
 DEFANGED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\{\.\}| ?[\[(]dot[\])] ?)[0-9]{1,3}){3}(?![0-9.])", re.I)
 LOOSE_CARD = re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])")
-LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:00 ?)?\(?[0-9](?:[ ()./-]{0,2}[0-9]){8,14}(?![0-9])")
+LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\+|00 ?)?\(?[0-9](?:[ ()./-]{0,2}[0-9]){8,14}(?![0-9])")
+SIGN_AT = re.compile(r"[@\[({<]")
 #: Longest local part that is read before a spelled-out sign.
 LONGEST_LOCAL = 64
 
@@ -94,6 +97,8 @@ def quads(text: str) -> Iterator[tuple[int, int, bool]]:
 def strict(text: str) -> list[tuple[str, int, int]]:
     """kind, start, end of the base spans; what fails its check is dropped, and nothing else is tried in its place."""
     found = [("email", a, b) for a, b in emails(text)]
+    if not DIGIT.search(text):
+        return found
     found += [("ip", a, b) for a, b, good in quads(text) if good]
     for m in DIGITS.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -107,13 +112,16 @@ def strict(text: str) -> list[tuple[str, int, int]]:
 
 def loose(text: str) -> Iterator[tuple[str, int, int]]:
     """kind, start, end of what may be personal data but isn't of the strict form."""
-    for sign in SIGN.finditer(text):
+    spelled = " dot " in text.lower()
+    for sign in (SPELLED_SIGN if spelled else SIGN).finditer(text) if spelled or SIGN_AT.search(text) else ():
         start = sign.start()
         while start > 0 and sign.start() - start < LONGEST_LOCAL and text[start - 1] in LOCAL:
             start -= 1
         host = SPELLED.match(text, sign.end()) if start < sign.start() else None
         if host:
             yield "email", start, host.end()
+    if not DIGIT.search(text):
+        return
     for a, b, good in quads(text):
         if not good:
             yield "ip", a, b
@@ -131,9 +139,9 @@ def code_of(text: str, kind: str, start: int, end: int, base: bool) -> str:
     marks = set(re.findall(r"[^A-Za-z0-9]", span)) - set("_%")
     spelled = bool(re.search(r"[\[({<]|\b(?:at|dot)\b", span, re.I)) if kind in ("email", "ip") else False
     if kind == "email":
-        shape = 2 <= len(words[-1]) <= 24 and words[-1].isalpha() and (base or spelled and not re.search(r" at [^ ]*\.", span, re.I))
+        shape = 2 <= len(words[-1]) <= 24 and words[-1].isalpha() and (base or spelled)
         known = words[-1].lower() in ENDINGS
-        bad = False
+        bad = not base and bool(re.search(r" at [^ ]*\.", span, re.I))
     elif kind == "ip":
         parts = re.findall(r"[0-9]+", span)
         shape = all(p == "0" or p[0] != "0" for p in parts)
@@ -147,9 +155,11 @@ def code_of(text: str, kind: str, start: int, end: int, base: bool) -> str:
     else:
         bare = digits.removeprefix("00")
         groups = re.findall(r"[0-9]+", span)
-        shape = 10 <= len(bare) <= 13 and len(groups) >= 3 and all(len(g) <= 5 for g in groups)
+        abroad = span[0] == "+" or digits[:2] == "00"
+        local = [len(g) for g in groups] == [3, 3, 4]
+        shape = (abroad and 10 <= len(bare) <= 13 and len(groups) >= 2) or local
         bad = not 10 <= len(digits) <= 15
-        known = (span[0] == "+" or digits[:2] == "00") and any(bare.startswith(c) for c in CALLING)
+        known = any(bare.startswith(c) for c in CALLING) if abroad else local and digits[0] not in "01" and digits[3] not in "01"
     votes = (
         "+" if base else "-" if bad else "0", "+" if shape else "-", "+" if known else "-" if kind in ("ip", "card") else "0",
         "+" if FOR[kind].search(before) else "-" if AGAINST.search(before) else "0",
@@ -240,12 +250,12 @@ def reliabilities(codes: list[str], times: np.ndarray, rounds: int = 100) -> tup
 def learn(codes: list[str], times: np.ndarray, l2: float = 0.05, rounds: int = 40) -> Judges:
     """The classifier: logistic regression of the labelers' joint opinion on a span's traits, by Newton steps. Each code weighs as the logarithm of how often it occurs.
 
-    Two made-up spans of each kind, one that all labelers are for and one that all are against, are learned too, so that corpora without doubtful spans give a model.
+    Three made-up spans of each kind are learned too, so that corpora without doubtful spans give a model: one that all labelers are for, one that all are against, and one that only fails its kind's check.
     """
     prior, table, true = reliabilities(codes, times) if codes else (np.full(len(KINDS), 0.5), np.full((len(KINDS), 2, len(LABELERS), 3), 1 / 3), np.zeros(0))
-    ends = [f"{k}{v * len(LABELERS)}{d}p" for k, d in enumerate(("00", "12", "16", "11")) for v in "+-"]
-    x, y = traits([*codes, *ends]), np.concatenate([true, [1.0, 0.0] * len(KINDS)])
-    w = np.concatenate([np.log1p(times), np.full(len(ends), 3.0)]) if codes else np.full(len(ends), 3.0)
+    ends = [f"{k}{v}{d}p" for k, d in enumerate(("00", "12", "16", "11")) for v in ("+++++", "-----", "-++0+")]
+    x, y = traits([*codes, *ends]), np.concatenate([true, [1.0, 0.0, 0.0] * len(KINDS)])
+    w = np.concatenate([np.log1p(times), np.full(len(ends), 6.0)]) if codes else np.full(len(ends), 6.0)
     b = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
