@@ -24,13 +24,15 @@ def field_events(old: DataFrame, new: DataFrame, key: str = "file_id") -> DataFr
     return both.select(key, F.explode(changed_fields(F.col("was"), F.col("now"))).alias("field", "value"))
 
 
-def scan_events(tallied: DataFrame, enriched: DataFrame, artwork: DataFrame) -> DataFrame:
-    """type, path, file_id, phase: enriched files and those with new artwork(path, file_id), and the phases that each scan of a tally went through."""
-    none = F.lit(None).cast("string")
-    files = [rows.select(F.lit(kind).alias("type"), "path", "file_id", none.alias("phase")) for kind, rows in (("enriched", enriched), ("artwork-updated", artwork))]
-    phases = F.explode(F.array(*[F.lit(x) for x in ("listing", "discovering", "enriching", "done")]))
-    ends = tallied.select(F.lit("scan-phase-changed").alias("type"), none.alias("path"), F.lit(None).cast(enriched.schema["file_id"].dataType).alias("file_id"), phases.alias("phase"))
-    return files[0].unionByName(files[1]).unionByName(ends)
+#: What a scan calls the phases that it goes through.
+PHASES = ("scan", "discover", "metadata", "finish")
+
+
+def phase_events(libraries: DataFrame) -> DataFrame:
+    """type, library_id, path, file_id, phase, fields: the phases that the scan of each of libraries(library_id) went through."""
+    phases = F.explode(F.array(*[F.lit(x) for x in PHASES])).alias("phase")
+    none = lambda t: F.lit(None).cast(t)
+    return libraries.select("library_id", phases).select(F.lit("scan-phase-changed").alias("type"), "library_id", none("string").alias("path"), none("long").alias("file_id"), "phase", none("map<string,string>").alias("fields"))
 
 
 def with_revision(events: DataFrame, epoch: str, batch: int, parts: int = 256) -> DataFrame:

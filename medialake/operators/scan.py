@@ -33,8 +33,9 @@ def safe_only(rows: DataFrame, unsafe: DataFrame) -> DataFrame:
 
 
 def in_directories(rows: DataFrame, directories: DataFrame) -> DataFrame:
-    """rows that lie directly in directories(dir)."""
-    return rows.join(directories.select("dir").distinct(), dirname(F.col("path")) == F.col("dir"), "left_semi")
+    """rows that lie directly in directories(dir), or, where both name a library, directories(library_id, dir) of their library."""
+    by = ["library_id"] if "library_id" in directories.columns and "library_id" in rows.columns else []
+    return rows.withColumn("dir", dirname(F.col("path"))).join(directories.select(*by, "dir").distinct(), [*by, "dir"], "left_semi").select(*rows.columns)
 
 
 def scan_targets(directories: DataFrame, roots: DataFrame) -> DataFrame:

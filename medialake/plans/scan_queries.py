@@ -256,12 +256,17 @@ def scanned(spark, sf):
     return full(spark, sf).files.select("library_id", "path", "file_id", F.col("missing_s").cast("long").alias("missing_s"))
 
 
-@query("sc21_events", LIBRARIES + MOVES2 + """ SELECT library_id, type, count(*) AS events FROM (
-  SELECT d.library_id, CASE WHEN i.path IS NOT NULL OR d.status = 'changed' THEN 'item-updated' WHEN d.status = 'new' THEN 'item-added' WHEN d.status = 'missing' AND o.old_path IS NULL THEN 'item-missing' END AS type
-  FROM diff2 d LEFT JOIN moves2 i ON i.path = d.path AND i.library_id = d.library_id LEFT JOIN moves2 o ON o.old_path = d.path AND o.library_id = d.library_id
-  UNION ALL SELECT library_id, 'scan-work-queued' FROM diff2 WHERE status IN ('new', 'changed')) WHERE type IS NOT NULL GROUP BY 1, 2""", "known", "hashes", "pending", "inv_new")
+@query("sc21_events", LIBRARIES + MOVES2 + """, seen2 AS (SELECT d.library_id, d.status, coalesce(d.file_id, m.file_id, d.doc_id + d.library_id * 20000000) AS file_id, d.path, m.path IS NOT NULL AS moved, o.old_path IS NOT NULL AS left_it
+  FROM diff2 d LEFT JOIN moves2 m ON m.path = d.path AND m.library_id = d.library_id LEFT JOIN moves2 o ON o.old_path = d.path AND o.library_id = d.library_id)
+SELECT library_id, 'scan-phase-changed' AS type, NULL AS path, NULL AS file_id, phase, NULL AS discover FROM (VALUES (1), (2)) l(library_id), (VALUES ('scan'), ('discover'), ('metadata'), ('finish')) p(phase)
+UNION ALL SELECT library_id, 'scan-work-queued', NULL, NULL, 'scan', (SELECT CAST(count(*) AS VARCHAR) FROM diff2 d WHERE d.library_id = l.library_id AND (status IN ('new', 'changed') OR (status = 'unchanged' AND d.path IN (SELECT path FROM pending WHERE stage = 'discover') AND l.library_id = 1))) FROM (VALUES (1), (2)) l(library_id)
+UNION ALL SELECT library_id, CASE WHEN file_id IN (SELECT file_id FROM known2 WHERE file_id % 3 = 0 AND kind IS NOT NULL AND kind <> 'image') THEN 'item-updated' ELSE 'item-added' END, path, file_id,
+  CASE WHEN status = 'unchanged' AND NOT (library_id = 1 AND path IN (SELECT path FROM pending WHERE stage = 'discover')) THEN 'finish' ELSE 'discover' END, NULL FROM seen2
+  WHERE status IN ('new', 'changed') OR (status = 'unchanged' AND ((library_id = 1 AND path IN (SELECT path FROM pending WHERE stage = 'discover')) OR file_id NOT IN (SELECT file_id FROM known2 WHERE file_id % 3 = 0 AND kind IS NOT NULL AND kind <> 'image')))
+UNION ALL SELECT library_id, 'item-missing', path, file_id, 'finish', NULL FROM seen2 WHERE status = 'missing' AND NOT left_it""", "known", "hashes", "pending", "inv_new")
 def scan_told(spark, sf):
-    return full(spark, sf).events.where("library_id IS NOT NULL").groupBy("library_id", "type").agg(F.count("*").alias("events"))
+    """Every event of the scan, with its library, file and phase; how much work was queued to be discovered."""
+    return full(spark, sf).events.select("library_id", "type", "path", "file_id", "phase", F.col("fields")["discover"].alias("discover"))
 
 
 @query("so12_first_errors", "SELECT * FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM inv_base WHERE kind IS NULL) WHERE nth <= 50", "inv_base")
