@@ -229,10 +229,8 @@ def libraries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def full(spark: SparkSession, sf: str, directories: DataFrame | None = None) -> full_scan.Scanned:
-    """The whole scan of the new inventory: of both libraries, or, given directories, of library 1."""
+    """The whole scan of the new inventory, of both libraries, or of the directories(library_id, dir) of them."""
     files, hashes, pending, roots = libraries(spark, sf)
-    if directories is not None:
-        files, roots = files.where("library_id = 1"), roots.where("library_id = 1")
     hooks = full_scan.Hooks(hash_of=lambda read: read.select("library_id", "path", F.sha2("text", 256).alias("value")))
     return full_scan.scan(v.inv_new(spark, sf), roots, files, hashes, files.where("file_id % 3 = 0").select("file_id"), pending, F.lit(1800000000), hooks, directories=directories, file_id=F.col("doc_id") + F.col("library_id") * 20_000_000)
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import metadata
 from ..sources.catalog import Catalog
 from ..sources.scratch import scratch
-from ..streaming import jobs
+from ..streaming import bursts, jobs
 from . import views as v
 from .registry import query
-from .scan_queries import diffed, full
+from .scan_queries import LIBRARIES, diffed, full
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,33 +33,45 @@ def seen(spark, sf):
     return run(jobs.seen_events(rows), "append").groupBy("library_id").agg(F.count("*").alias("events"))
 
 
-@query("st02_debounced", """SELECT library_id, count(*) AS bursts, CAST(sum(dirs) AS BIGINT) AS dirs FROM (SELECT library_id, burst, count(DISTINCT event_type) AS dirs, max(ts) AS until FROM (
+@query("st02_debounced", """SELECT library_id, epoch_us(min(ts)) AS since_us, epoch_us(max(ts)) AS until_us, count(DISTINCT event_type) AS dirs FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY library_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY library_id ORDER BY ts, event_id) <= INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS fresh FROM (SELECT user_id % 5 AS library_id, event_type, event_id, ts FROM events)))
-  GROUP BY 1, 2) WHERE until + INTERVAL 600 SECONDS <= (SELECT max(ts) - INTERVAL 10 SECONDS FROM events) GROUP BY 1""")
+  GROUP BY library_id, burst""")
 def debounced(spark, sf):
+    """Every burst, the last of each library too, for which no later event comes."""
     events = stream_of(spark, sf, "events").select((F.col("user_id") % 5).alias("library_id"), F.col("event_type").alias("dir"), F.col("ts").cast("timestamp").alias("ts"))
-    rows = run(jobs.debounced_dirs(events, "600 seconds"), "append")
-    return rows.groupBy("library_id").agg(F.count("*").alias("bursts"), F.sum(F.size("dirs")).cast("long").alias("dirs"))
+    out = scratch(spark, "bursts")
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-FOLDERS = "SELECT DISTINCT '/lib/' || source || '/' || lang FROM documents"
+    with bursts.keyed_state(spark):
+        running = bursts.bursts(events, "600 seconds", "1 second").writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, "bursts-state")).trigger(processingTime="200 milliseconds").start()
+    bursts.until_quiet(running)
+    rows = spark.read.schema(bursts.BURST).parquet(f"{out}/*")
+    return rows.groupBy("library_id", F.unix_micros("since").alias("since_us"), F.unix_micros("until").alias("until_us")).agg(F.count_distinct("dir").alias("dirs"))
 
 
-@query("st04_incremental_scan", f"""SELECT d.path, d.status FROM diffed d WHERE regexp_replace(d.path, '/[^/]*$', '') IN ({FOLDERS})""", "diffed")
+@query("st04_incremental_scan", LIBRARIES + """ SELECT d.library_id, d.path, d.status FROM diff2 d WHERE regexp_replace(d.path, '/[^/]*$', '') IN (SELECT '/lib/' || source || '/' || lang FROM documents WHERE d.library_id = 1 OR source = 'src0')""", "known", "hashes", "pending", "inv_new")
 def incremental(spark, sf):
-    """Folders in which documents were seen come as a stream; each batch runs the whole scan on its folders. One library is busy in the first batch, so its folders are owed until the next."""
+    """Folders in which documents changed come as a stream; each burst runs the whole scan on the folders of the libraries it names. Library 1 is busy when its first burst comes, so these folders
+    are owed, and come again after another quiet spell, without any further event."""
     out, debt = scratch(spark, "incremental"), scratch(spark, "incremental-debt")
-    dirs = stream_of(spark, sf, "documents").select((F.crc32(F.col("source").cast("binary")) % 3).alias("library_id"), F.array(F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang")).alias("dirs"))
-    state = spark.range(1).select(F.lit(1).cast("long").alias("library_id"))
+    docs = stream_of(spark, sf, "documents")
+    each = F.explode(F.when(F.col("source") == "src0", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("library_id")
+    events = docs.select(each, F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang").alias("dir"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"))
+    refused = []
+
+    def busy() -> DataFrame:
+        refused.append(len(refused))
+        return spark.range(1, 2 if len(refused) == 1 else 1).withColumnRenamed("id", "library_id")
 
     def one(wanted: DataFrame, number: int) -> None:
-        found = full(spark, sf, wanted.select("dir").distinct())
-        found.diffed.select("path", "status").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = full(spark, sf, wanted)
+        found.diffed.select("library_id", "path", "status").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found.tables.remove()
 
-    jobs.start_incremental(dirs, one, scratch(spark, "incremental-state"), lambda: state, debt).awaitTermination()
-    owed = jobs.with_debt(spark.createDataFrame([], "library_id long, dir string"), spark.read.schema("library_id long, dir string").parquet(f"{debt}/*"), state.where("false"))[0]
-    one(owed, 1_000_000)  # the library is free again
-    return spark.read.schema("path string, status string").parquet(f"{out}/*").distinct()
+    bursts.until_quiet(bursts.start_incremental(events, one, scratch(spark, "incremental-state"), debt, busy, "1000000000 seconds", "1 second", "200 milliseconds"))
+    return spark.read.schema("library_id int, path string, status string").parquet(f"{out}/*").distinct()
 
 
 @query("st06_play_counts", "SELECT item_id, count(*) AS plays FROM plays GROUP BY item_id", "plays")

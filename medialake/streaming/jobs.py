@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import hidden_below
 
@@ -19,8 +16,8 @@ def seen_events(events: DataFrame) -> DataFrame:
 def debounced_dirs(events: DataFrame, gap: str = "2 seconds", watermark: str = "10 seconds") -> DataFrame:
     """library_id, dirs, since, until: the folders of a library's events, gathered until it has been quiet for `gap`.
 
-    In append mode a session comes out once the watermark has passed it; the last one waits for a later event. State grows with the distinct
-    folders of an open burst.
+    By the events' times alone: in append mode a session comes out once the watermark has passed it, so the last one waits for a later event. `bursts.bursts` has a clock too. State grows with
+    the distinct folders of an open burst.
     """
     named = events.withWatermark("ts", watermark)
     return named.groupBy("library_id", F.session_window("ts", gap).alias("burst")).agg(F.collect_set("dir").alias("dirs")).select("library_id", "dirs", F.col("burst.start").alias("since"), F.col("burst.end").alias("until"))
@@ -32,27 +29,6 @@ def with_debt(dirs: DataFrame, debt: DataFrame, busy: DataFrame) -> tuple[DataFr
     return every.join(busy, "library_id", "left_anti"), every.join(busy, "library_id", "left_semi")
 
 
-def start_incremental(bursts: DataFrame, scan: Callable[[DataFrame, int], None], checkpoint: str, busy: Callable[[], DataFrame] | None = None, debt_path: str | None = None) -> StreamingQuery:
-    """Runs scan(dirs(library_id, dir), batch) for each micro-batch; batches follow one another, so a library is never scanned twice at once by this stream.
-
-    busy: says which libraries other jobs are scanning now; their folders are written under debt_path and come again with the next batch.
-    """
-
-    def one(batch: DataFrame, number: int) -> None:
-        dirs = batch.select("library_id", F.explode("dirs").alias("dir")).distinct()
-        if busy is None or debt_path is None:
-            scan(dirs, number)
-            return
-        spark = dirs.sparkSession
-        none = spark.createDataFrame([], dirs.schema)
-        debt = spark.read.schema(dirs.schema).parquet(f"{debt_path}/batch={number - 1}") if number else none
-        now, later = with_debt(dirs, debt, busy())
-        later.write.mode("overwrite").parquet(f"{debt_path}/batch={number}")
-        scan(now, number)
-
-    return bursts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def play_counts(plays: DataFrame) -> DataFrame:
     """item_id, plays; update mode."""
     return plays.groupBy("item_id").agg(F.count(F.lit(1)).alias("plays"))
