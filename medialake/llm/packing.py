@@ -18,10 +18,10 @@ from .tokens import ByteBpe
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces_of(docs: DataFrame, bpe_files: tuple[str, str, str], most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, bpe_files: tuple[str, ...], most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32. A document longer than `most` is cut so that its first piece takes the odd length.
 
-    bpe_files: the tokenizers file, the same vocabulary as ranks, and the pattern that cuts texts into words. Null texts count as empty: one piece,
+    bpe_files: what ByteBpe takes: the tokenizers file. Null texts count as empty: one piece,
     the end id. Null and repeated ids are carried along as they are; other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -141,11 +141,12 @@ def pack(pieces: DataFrame, most: int = 2048, grid: int = 8, parts: int = 3, gro
     Full pieces stand alone. The others are counted by length, in steps of `grid`; patterns of up to `parts` of them that fill a sequence
     get repeat counts, and each piece's rank among its length's says which repeat of which pattern it joins. What is left over is packed
     by best fit, in groups of about `group` pieces and at most five times as many open sequences, first into what the patterns left free and then into new sequences.
+    Pieces are dealt by the number of their row in the saved table, so pieces that are equal in all columns, null ids included, are spread like others.
     Only the histogram and the patterns, both bounded by `most`, pass through the driver. Ranks are counted in salted parts of a length,
     so one length may hold any share of the rows. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    rows = saved(pieces.withColumn("bin", F.ceil(F.col("length") / grid).cast("int")), "pack-pieces")
+    rows = saved(pieces.withColumns({"bin": F.ceil(F.col("length") / grid).cast("int"), "row": F.monotonically_increasing_id()}), "pack-pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     by_length = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # `most` rows at most
     bins = most // grid
@@ -167,29 +168,29 @@ def pack(pieces: DataFrame, most: int = 2048, grid: int = 8, parts: int = 3, gro
 
     total = int(counts.sum())
     slots = max(1, math.ceil(total / 4000))
-    odd = rows.where(F.col("length") < most).withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slots)).cast("int"))
+    odd = rows.where(F.col("length") < most).withColumn("slot", F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int"))
     sizes = odd.groupBy("bin", "slot").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bin").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("bin", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("bin", "slot").orderBy("doc_id", "piece", "ids_crc32"))
+    nth = F.row_number().over(Window.partitionBy("bin", "slot").orderBy("row"))
     ranked = odd.withColumn("nth", nth).join(sizes, ["bin", "slot"]).withColumn("rank", F.col("base") + F.col("nth") - 1)
     found = (F.col("bin") == F.col("of_bin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     dealt = ranked.join(plan, found, "left").withColumn("pattern", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each")))
-    dealt = saved(dealt.select(*columns, "pattern"), "pack-dealt")
+    dealt = saved(dealt.select(*columns, "row", "pattern"), "pack-dealt")
 
-    inside = Window.partitionBy("pattern").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("pattern").orderBy(F.desc("length"), "row")
     placed = dealt.where("pattern IS NOT NULL").withColumn("upto", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.select(*columns, (4 * F.col("pattern") + 1).alias("sequence_id"), (F.col("upto") - F.col("length")).alias("offset"))
 
     left = max(0, total - int(taken.sum()))
     groups = max(1, math.ceil(left / group), math.ceil((left + first) / (5 * group)))  # neither pieces nor open sequences pile up in a group
-    rest = dealt.where("pattern IS NULL").select(*columns, F.lit(None).cast("long").alias("open_id"), F.lit(0).cast("long").alias("filled"), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long").alias("part"))
+    rest = dealt.where("pattern IS NULL").select(*columns, "row", F.lit(None).cast("long").alias("open_id"), F.lit(0).cast("long").alias("filled"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long").alias("part"))
     opened = placed.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") < most)
-    opened = opened.select(*[F.lit(None).cast(rest.schema[c].dataType).alias(c) for c in columns], F.col("sequence_id").alias("open_id"), "filled", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("long").alias("part"))
+    opened = opened.select(*[F.lit(None).cast(rest.schema[c].dataType).alias(c) for c in (*columns, "row")], F.col("sequence_id").alias("open_id"), "filled", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("long").alias("part"))
 
     def fit(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         room = df[df.open_id.notna()].sort_values("open_id")
-        todo = df[df.open_id.isna()].sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
+        todo = df[df.open_id.isna()].sort_values(["length", "row"], ascending=[False, True])
         at, free = best_fit(todo.length.to_numpy(np.int64), most - room.filled.to_numpy(np.int64), most)
         known = room.open_id.to_numpy(np.int64)
         fresh = (int(key[0]) << 32) + at

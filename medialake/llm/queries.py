@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import scratch, table
+from .common import Tables, saved, scratch, table
 from .conversation import damaged, joined_sha256, repair
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits
@@ -37,8 +37,8 @@ URL_RULES = [
     *[pattern_rule(rf"^(?:[^/]*[.-])?{word}[.-]", (word,)) for word in JUNK],
 ]
 
-#: The vocabulary of the packed ids: a tokenizers file, the same as ranks, and its word pattern.
-BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+#: The vocabulary of the packed ids: what ByteBpe takes.
+BPE = (public_tokenizers.path("byte_bpe_50k.json"),)
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -92,6 +92,8 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = [(F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law")]
     schema = StructType([*docs.schema.fields]).add(slot, LongType()).add(shard, IntegerType())
     written = spark.read.schema(schema).parquet(path).select("doc_id", *digests, F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    written = saved(written, "reshard-digests")  # the files are no longer needed: no copy of the texts stays
+    Tables(spark).remove(path)
     same = assigned(docs, layout).where(~F.col("shard").isin(layout.touched)).select(*written.columns)
     return written.unionByName(same)
 

@@ -7,7 +7,7 @@ import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Tables, saved
@@ -76,6 +76,8 @@ class Layout:
     before: DataFrame
     cuts: DataFrame
     bases: DataFrame | None
+    #: doc_id and text_crc32 that so many rows have in common that they are cut by the number of the row too; None where there are none.
+    hot: DataFrame | None
     #: Shards that gain or lose rows.
     touched: list[int]
 
@@ -87,7 +89,11 @@ class Layout:
             F.col(self.id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
             self.old_shard.cast("int").alias("old_shard"), F.when(known, self.old_shard).otherwise(self.old_shards).cast("int").alias("old"), *more,
         )
-        return rows.withColumn("fine", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(self.blocks)).cast("int"))
+        salt = F.lit(0).cast("long")
+        if self.hot is not None:
+            rows = rows.withColumn("row", F.monotonically_increasing_id()).join(self.hot, F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("text_crc32") == F.col("hot_crc32")), "left")
+            salt = F.when(F.col("hot_crc32").isNotNull(), F.col("row")).otherwise(salt)
+        return rows.withColumn("fine", F.pmod(F.xxhash64("doc_id", "text_crc32", salt), F.lit(self.blocks)).cast("int")).drop("row", "hot_id", "hot_crc32")
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows, dealt by old and fine, with shard, nth (in the block) and, where the bases are known, slot."""
@@ -104,13 +110,18 @@ def plan_moves(docs: DataFrame, old_shard: Column, old_shards: int, new_shards:
 
     Each old shard's rows are cut into hashed blocks, at most `most_blocks` in all, which are broadcast; running sizes of blocks, then of rows within a block, give
     each row its place in the old shard, and the flow says which stretch of that place goes to which new shard. What stays comes first. The flow's network has
-    a node for each shard only. Rows whose old shard is null or not one of the old_shards come from nowhere: they all move.
+    a node for each shard only. Ids and texts that more rows share than a block should have are cut by the row's number in docs too, so docs must be read the same each time: use `steady`. Rows whose old shard is null or not one of the old_shards come from nowhere: they all move.
     """
     spark = docs.sparkSession
     blocks = max(1, min(most_blocks // (old_shards + 1), math.ceil(docs.count() / rows_per_block)))
-    layout = Layout(old_shard, old_shards, blocks, id_col, text_col, None, None, None, [])
+    layout = Layout(old_shard, old_shards, blocks, id_col, text_col, None, None, None, None, [])
     with Tables(spark) as tables:
         rows = tables.save(layout.keyed(docs), "reshard-rows")
+        many = rows.groupBy(F.col("doc_id").alias("hot_id"), F.col("text_crc32").alias("hot_crc32")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_block).drop("n")
+        many = saved(many, "reshard-hot")
+        if n := many.count():  # a block's rows for each, so few
+            layout.hot = F.broadcast(many) if n <= BROADCAST_ROWS else many
+            rows = tables.save(layout.keyed(docs), "reshard-rows")
         stretch = rows.groupBy("old", "fine").agg(F.sum("size").alias("bytes"))
         along = Window.partitionBy("old").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
         layout.before = saved(stretch.select("old", "fine", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("before")), "reshard-before")
@@ -142,7 +153,8 @@ def assigned(docs: DataFrame, layout: Layout) -> DataFrame:
 
 
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """plan_moves and assigned in one."""
+    """plan_moves and assigned in one, over a steady input."""
+    docs = steady(docs)
     return assigned(docs, plan_moves(docs, old_shard, old_shards, new_shards, id_col, text_col))
 
 
@@ -150,7 +162,7 @@ def rewrite_moved(docs: DataFrame, layout: Layout, path: str) -> tuple[str, str]
     """Writes the shards that gain or lose rows, in folders under path named by shard, in slot order; the others' files stay as they are. Returns the names of the columns of shard and slot.
 
     The names are `shard` and `slot`, with `_` added for as long as the documents have such a column. The rows are dealt by old shard and block, one shuffle of the
-    texts, so that a task has neighbours of few shards. All is written aside first; then each folder takes its place. Rows that repeat and rows with null ids are
+    texts, so that a task has neighbours of few shards. All is written aside first; then each folder takes its place (see `swap`; what an earlier call left is finished before). Rows that repeat and rows with null ids are
     written each for itself; a shard left without rows has no folder.
     """
     spark = docs.sparkSession
@@ -159,16 +171,73 @@ def rewrite_moved(docs: DataFrame, layout: Layout, path: str) -> tuple[str, str]
         shard += "_"
     while slot in docs.columns:
         slot += "_"
+    path = path.rstrip("/")
+    finish_swaps(spark, path, shard)
     rows = layout.keyed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc")).repartitionByRange("old", "fine")
     rows = layout.placed(rows).where(F.col("shard").isin(layout.touched)).sortWithinPartitions("shard", "slot")
-    aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
     rows.select("doc.*", F.col("shard").alias(shard), F.col("slot").cast("long").alias(slot)).write.partitionBy(shard).parquet(aside)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for i in layout.touched:
-        old, new = fs_path(f"{path}/{shard}={i}"), fs_path(f"{aside}/{shard}={i}")
-        fs.delete(old, True)
-        if fs.exists(new):
-            fs.rename(new, old)
-    fs.delete(fs_path(aside), True)
+    fs = files_of(spark, path)
+    ready = fs.create(hadoop_path(spark, f"{aside}/{READY}"))
+    full = {i: fs.exists(hadoop_path(spark, f"{aside}/{shard}={i}")) for i in layout.touched}
+    ready.writeBytes(" ".join(f"{i}:{int(rows)}" for i, rows in full.items()))
+    ready.close()
+    swap(spark, path, shard, aside, full)
     return shard, slot
+
+
+#: A file in an aside folder: all is written there; it names the shards that are to be replaced, and says which have rows.
+READY = "_ready"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def files_of(spark: SparkSession, path: str):
+    return hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def swap(spark: SparkSession, path: str, shard: str, aside: str, full: dict[int, bool]) -> None:
+    """Puts the shards' folders in aside into their places; full: which of the shards have rows now, and so a new folder. Every rename is checked; one that fails puts the old folder back and raises, and nothing that is needed to go on is deleted.
+
+    Each step can be done again: an old folder goes to `<aside>/_old` before the new one comes, and only when all are in place is anything deleted.
+    """
+    fs, at = files_of(spark, path), lambda *parts: hadoop_path(spark, "/".join(parts))
+    fs.mkdirs(at(aside, "_old"))
+    for i, rows in full.items():
+        name = f"{shard}={i}"
+        place, new, old = at(path, name), at(aside, name), at(aside, "_old", name)
+        if rows and not fs.exists(new):
+            continue  # it is in its place already
+        if fs.exists(place) and not fs.exists(old) and not fs.rename(place, old):
+            raise OSError(f"{place} can't be moved aside")
+        if fs.exists(new) and not fs.rename(new, place):
+            back = not fs.exists(old) or fs.rename(old, place)
+            raise OSError(f"{new} can't take its place" + ("" if back else f", and the old files are in {old}"))
+    fs.delete(at(aside), True)
+
+
+def finish_swaps(spark: SparkSession, path: str, shard: str = "shard") -> list[str]:
+    """After a driver that died: goes on with swaps whose files were all written, and deletes what wasn't. The aside folders it found."""
+    fs, found = files_of(spark, path), []
+    if not fs.exists(hadoop_path(spark, path)):
+        return found
+    for status in fs.listStatus(hadoop_path(spark, path)):
+        if status.getPath().getName().startswith("_aside-"):
+            aside = status.getPath().toString()
+            found.append(aside)
+            ready = hadoop_path(spark, f"{aside}/{READY}")
+            if fs.exists(ready):
+                text = fs.open(ready)
+                said = spark._jvm.org.apache.commons.io.IOUtils.toString(text, "UTF-8")
+                text.close()
+                swap(spark, path, shard, aside, {int(i): rows == "1" for i, rows in (x.split(":") for x in said.split())})
+            else:
+                fs.delete(hadoop_path(spark, aside), True)
+    return found
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """docs, or, where it isn't a plain scan, which gives each row the same number each time, docs written and read again."""
+    return docs if "Exchange" not in docs._jdf.queryExecution().executedPlan().toString() else saved(docs, "reshard-docs")

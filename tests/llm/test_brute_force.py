@@ -371,6 +371,73 @@ def test_only_touched_shards_are_rewritten(spark, tmp_path):
     assert max(sizes) - min(sizes) <= 2 * 108
 
 
+def laid_out(spark, path):
+    rows = [(i, "x" * (i % 7), i % 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, was int")
+    docs.withColumn("shard", F.col("was")).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
+    return docs, sorted(i for i, _, _ in rows)
+
+
+@pytest.mark.parametrize("done", [0, 1, 2, 3])
+def test_a_swap_that_a_dead_driver_left_is_finished(spark, tmp_path, monkeypatch, done):
+    """The driver dies before the swap, between the two renames of a shard, or after some shards."""
+    path = str(tmp_path / "out")
+    docs, ids = laid_out(spark, path)
+
+    def dies(spark, path, shard, aside, full):
+        here, names = tmp_path / "out", [f"{shard}={i}" for i in full]
+        aside = here / aside.rsplit("/", 1)[1]
+        (aside / "_old").mkdir()
+        for name in names[: done // 2 + done % 2]:
+            if (here / name).exists():
+                (here / name).rename(aside / "_old" / name)
+            if done != 1:
+                (aside / name).rename(here / name)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(reshard, "swap", dies)
+        with pytest.raises(KeyboardInterrupt):
+            reshard.rewrite_moved(docs, reshard.plan_moves(docs, F.col("was"), 3, 5), path)
+    assert len(reshard.finish_swaps(spark, path)) == 1 and not [x for x in (tmp_path / "out").iterdir() if x.name.startswith("_aside")]
+    got = spark.read.parquet(path)
+    assert sorted(r.doc_id for r in got.collect()) == ids and {r.shard for r in got.select("shard").distinct().collect()} == set(range(5))
+
+
+def test_a_rename_that_fails_loses_no_shard(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    docs, ids = laid_out(spark, path)
+    real = reshard.files_of(spark, path)
+
+    class Refusing:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def rename(self, a, b):
+            return False if "_aside" in a.toString() and "_old" not in a.toString() else real.rename(a, b)
+
+    layout = reshard.plan_moves(docs, F.col("was"), 3, 5)
+    with monkeypatch.context() as m:
+        m.setattr(reshard, "files_of", lambda *_: Refusing())
+        with pytest.raises(OSError, match="can't take its place"):
+            reshard.rewrite_moved(docs, layout, path)
+    assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == ids  # the old files
+    reshard.finish_swaps(spark, path)
+    assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == ids
+
+
+def test_equal_rows_without_ids_are_spread(spark):
+    """100,000 rows that agree in all columns: no block and no group has more than its share."""
+    docs = spark.range(100_000).select(F.when(F.col("id") < 0, F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    layout = reshard.plan_moves(docs, F.lit(0), 2, 4)
+    assert layout.keyed(docs).groupBy("old", "fine").count().agg(F.max("count")).first()[0] < 1300
+    rows = reshard.assigned(docs, layout).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert [(r.n, r.slots, r.last) for r in rows] == [(25_000, 25_000, 24_999)] * 4
+    pieces = docs.select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(700).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    got = packing.pack(pieces).groupBy("sequence_id").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("at"), F.max("offset").alias("last")).collect()
+    assert sum(r.n for r in got) == 100_000 and all(r.n == r.at <= 2 and r.last == 700 * (r.n - 1) for r in got) and len(got) <= 50_050
+
+
 def test_rows_outside_the_old_shards(spark, tmp_path):
     """They come from nowhere, all move, and none is lost."""
     docs = spark.createDataFrame([(i, "abc", [0, 1, 7, -1, None][i % 5]) for i in range(50)], "doc_id long, text string, old int")
