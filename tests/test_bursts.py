@@ -13,7 +13,7 @@ EVENTS = "library_id long, dir string, ts timestamp"
 
 def stream(spark, rows):
     path = scratch(spark, "burst-events")
-    spark.createDataFrame([(lib, d, pd.Timestamp(t)) for lib, d, t in rows], EVENTS).write.parquet(path)
+    spark.createDataFrame([(lib, d, pd.Timestamp(t).to_pydatetime()) for lib, d, t in rows], EVENTS).write.parquet(path)
     return spark.readStream.schema(EVENTS).parquet(path)
 
 
