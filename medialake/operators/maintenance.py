@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,77 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+@dataclass
+class Verified:
+    """rows: what differs, with `side`. read: the ranges of keys that were read row by row, (low, high) with low in and high out, None for open; depth: how often ranges were halved into parts."""
+
+    rows: DataFrame
+    read: list[tuple]
+    depth: int
+
+
+def cut_points(rows: DataFrame, key: str, n: int, sample: int = 20_000) -> list:
+    """At most n - 1 keys, from a sample, that part rows into about n equal ranges. They change no result."""
+    share = min(1.0, sample / max(1, rows.count()))
+    seen = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).sample(share, 7).limit(2 * sample).collect())
+    return sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
+
+
+def within_range(key: str, low, high) -> Column:
+    """Null keys are of the lowest range."""
+    c = F.lit(True) if low is None else F.col(key) >= F.lit(low)
+    c = c & (F.lit(True) if high is None else F.col(key) < F.lit(high))
+    return F.coalesce(c, F.lit(low is None))
+
+
+def range_digests(rows: DataFrame, key: str, cuts: list) -> dict[int, tuple]:
+    """For each range between the cuts that has rows: how many, and two sums that don't mind their order. A row a range comes to the driver."""
+    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))), F.lit(0)) if cuts else F.lit(0)
+    names = sorted(rows.columns)
+    sums = [F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.lit(1), *names)), F.sum(F.xxhash64(F.lit(2), *names).cast("decimal(38,0)"))]
+    return {r[0]: tuple(r[1:]) for r in rows.groupBy(part.alias("part")).agg(*sums).collect()}
+
+
+def verified(a: DataFrame, b: DataFrame, key: str, fan: int = 64, small: int = 100_000, most: int = 64, deepest: int = 4) -> Verified:
+    """What differs between two tables of the same columns, found from the top of a tree of hashes over ranges of the key.
+
+    Both tables are summed up once, by `fan` ranges; only ranges whose sums differ are cut again, and read with a filter on the key that scans can use. A range of up to `small` rows, or at
+    `deepest` or when over `most` ranges differ, is compared row by row, each row as often as it stands. Equal tables are never compared row by row.
+    """
+    names = a.columns
+    b = b.select(*names)
+    leaves, todo, depth = [], [(None, None)], 0
+    while todo and depth < deepest and len(todo) + len(leaves) <= most:
+        depth, new = depth + 1, []
+        for low, high in todo:
+            left, right = a.where(within_range(key, low, high)), b.where(within_range(key, low, high))
+            cuts = [c for c in cut_points(left.select(key).unionByName(right.select(key)), key, fan) if c != low]
+            one, two = range_digests(left, key, cuts), range_digests(right, key, cuts)
+            ends = [low, *cuts, high]
+            for i in sorted(one.keys() | two.keys()):
+                if one.get(i) != two.get(i):
+                    rows = max(one.get(i, (0,))[0], two.get(i, (0,))[0])
+                    (leaves if rows <= small or not cuts else new).append((ends[i], ends[i + 1]))
+        todo = new
+    leaves = joined_ranges(leaves + todo)
+    none = a.where("false").withColumn("side", F.lit("left"))
+    if not leaves:
+        return Verified(none, [], depth)
+    inside = reduce(lambda x, y: x | y, [within_range(key, low, high) for low, high in leaves])
+    return Verified(differences(a.where(inside), b.where(inside)), leaves, depth)
+
+
+def joined_ranges(ranges: list[tuple]) -> list[tuple]:
+    """Ranges in order, those that touch made one."""
+    out: list[tuple] = []
+    for low, high in sorted(ranges, key=lambda r: (r[0] is not None, r[0])):
+        if out and out[-1][1] is not None and out[-1][1] == low:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
 def relocate(roots: DataFrame, old: str, new: str) -> DataFrame:
     return roots.withColumn("path", rebase(F.col("path"), F.lit(old), F.lit(new)))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Kept
+from .asof import as_of
+
 
 def record_plays(log: DataFrame, new: DataFrame) -> DataFrame:
     """The log with new plays at its end; one that doesn't say so is not completed. Nothing is merged: each play is a row."""
@@ -45,13 +48,14 @@ def page_fraction(page: Column, pages: Column) -> Column:
 def locate_chapter(progress: DataFrame, chapters: DataFrame) -> DataFrame:
     """progress(item_id, position_ms) with chapter_ms (the start last passed), next_ms and previous_ms, from chapters(item_id, start_ms).
 
-    The next stop is the first start over a second ahead; the previous one the chapter's own start if it is over three seconds back, else the
-    start before it, else 0. A join on the item, then one aggregation.
+    The next stop is the first start over a second ahead; the previous one the chapter's own start if it is over three seconds back, else the start before it, else 0. Three as-of joins, so an
+    item may have any number of stops and of positions.
     """
-    starts = chapters.groupBy("item_id").agg(F.sort_array(F.collect_set("start_ms")).alias("starts"))
-    rows = progress.join(starts, "item_id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<bigint>")))
-    p = F.col("position_ms")
-    passed = F.filter("starts", lambda s: s <= p)
-    own = F.try_element_at(passed, F.lit(-1))
-    before = F.when(p - own > 3000, own).otherwise(F.coalesce(F.when(F.size(passed) > 1, F.try_element_at(passed, F.lit(-2))), F.lit(0)))
-    return rows.withColumns({"chapter_ms": own, "next_ms": F.get(F.filter("starts", lambda s: s > p + 1000), 0), "previous_ms": before}).drop("starts")
+    kept, own = Kept(progress.sparkSession, "chapters"), list(progress.columns)
+    stop = lambda name: chapters.select("item_id", F.col("start_ms").cast("long").alias("at_ms"), F.col("start_ms").cast("long").alias(name))
+    rows = progress.withColumn("at_ms", F.col("position_ms").cast("long"))
+    rows = as_of(rows, stop("chapter_ms"), ["item_id"], "at_ms", "chapter_ms", kept)
+    rows = as_of(rows.withColumn("at_ms", F.col("position_ms").cast("long") + 1000), stop("next_ms"), ["item_id"], "at_ms", "next_ms", kept, forward=True)
+    rows = as_of(rows.withColumn("at_ms", F.col("chapter_ms") - 1), stop("before_ms"), ["item_id"], "at_ms", "before_ms", kept)
+    previous = F.when(F.col("position_ms") - F.col("chapter_ms") > 3000, F.col("chapter_ms")).otherwise(F.coalesce("before_ms", F.lit(0)))
+    return rows.select(*own, "chapter_ms", "next_ms", previous.alias("previous_ms"))

@@ -8,11 +8,17 @@ from unicodedata import category, normalize
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Kept
+from .asof import as_of
+from .places import placed
+
 #: Letters below U+2000 that are one letter and marks, and those letters: by their canonical decomposition.
 MARKED, PLAIN = map("".join, zip(*((c, base) for c in map(chr, range(0xA0, 0x2000)) if len(base := "".join(x for x in normalize("NFD", c) if category(x) != "Mn")) == 1 and base != c)))
 K1, B = 1.2, 0.75
-#: Longest beginning of a term by which prefixes are joined.
-KEY = 3
+#: Terms of a block of the dictionary.
+BLOCK = 4096
+#: Behind every term that begins as the text before it does.
+LAST = "\U0010ffff" * 2
 
 
 def tokens(text: Column) -> Column:
@@ -61,17 +67,34 @@ def parsed(queries: DataFrame) -> DataFrame:
     return rows.withColumn("last", F.col("at") == F.col("words") - 1)
 
 
+def dictionary(postings: DataFrame, kept: Kept, size: int = BLOCK) -> DataFrame:
+    """block, term: the distinct terms in order, `size` to a block; written, and range-partitioned, so that a block is of one task."""
+    terms = placed(postings.select("term").distinct(), [], ["term"], kept)
+    return kept.save(terms.select(F.floor(F.col("place") / size).cast("long").alias("block"), "term"), "dictionary")
+
+
+def begun_by(prefixes: DataFrame, terms: DataFrame, kept: Kept) -> DataFrame:
+    """word, term of each distinct word of prefixes(word) and the terms of a dictionary(block, term) that begin with it.
+
+    The heads of blocks turn a prefix into a range of blocks, by as-of joins; a prefix then meets the terms of these blocks only, and no task gets more than a block for it.
+    """
+    heads = terms.groupBy("block").agg(F.min("term").alias("at"))
+    rows = prefixes.select("word").distinct().withColumn("at", F.col("word"))
+    rows = as_of(rows, heads.withColumnRenamed("block", "first"), [], "at", "first", kept)  # the block that holds the word, or would
+    rows = as_of(rows.withColumn("at", F.concat("word", F.lit(LAST))), heads.withColumnRenamed("block", "last"), [], "at", "last", kept)
+    blocks = rows.where("last IS NOT NULL").select("word", F.explode(F.sequence(F.coalesce("first", F.lit(0).cast("long")), F.col("last"))).alias("block"))
+    return blocks.join(terms, "block").where(F.startswith("term", "word")).select("word", "term")
+
+
 def search_many(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, item_id, score of queries(query_id, query): items in which every token occurs, in any column; a query without words finds nothing.
 
-    Prefixes are matched against the distinct terms, joined by their first letters, and only the terms found meet the postings. A phrase's words
+    Prefixes are matched against a dictionary of the distinct terms, in blocks, and only the terms found meet the postings. A phrase's words
     are joined one by one and must stand in line. score: BM25 with every column weighing the same; higher is better.
     """
     asked = parsed(queries)
-    vocabulary = index.postings.select("term").distinct()
-    begun = vocabulary.select("term", F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("term")))).alias("n")).select("term", F.substring("term", F.lit(1), F.col("n")).alias("begin"))
-    words = asked.select("word", "last").distinct()
-    prefixes = words.where("last").join(begun, F.substring("word", 1, KEY) == F.col("begin")).where(F.startswith("term", "word")).select("word", "last", "term")
+    words, kept = asked.select("word", "last").distinct(), Kept(queries.sparkSession, "search")
+    prefixes = begun_by(words.where("last"), dictionary(index.postings, kept), kept).select("word", F.lit(True).alias("last"), "term")
     terms = prefixes.unionByName(words.where("NOT last").select("word", "last", F.col("word").alias("term")))
     met = asked.join(terms, ["word", "last"]).join(index.postings, "term")
     lines = met.groupBy("query_id", "tokens", "token", "words", "item_id", "col", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("found")).where("found = words")

@@ -219,9 +219,20 @@ def facet_counts(spark, sf):
     return tags.facets(v.item_tags(spark, sf))
 
 
-@query("co02_in_order", "SELECT collection_id, string_agg(item_id, ' ' ORDER BY position) AS items FROM entries GROUP BY collection_id", "entries")
+@query("co02_in_order", "SELECT collection_id, (position_ - 1) // 3 AS block, string_agg(item_id, ' ' ORDER BY position) AS items FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY position) AS position_ FROM entries) GROUP BY 1, 2", "entries")
 def ordered(spark, sf):
-    return collections.in_order(v.entries(spark, sf)).select("collection_id", F.array_join("items", " ").alias("items"))
+    return collections.in_order(v.entries(spark, sf), 3).select("collection_id", "block", F.array_join("items", " ").alias("items"))
+
+
+@query("co08_labels", """, n AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY position) - 1 AS place, count(*) OVER (PARTITION BY collection_id) AS size FROM entries)
+SELECT collection_id, CASE WHEN place = 0 THEN size - 1 ELSE place - 1 END AS position, item_id FROM n UNION ALL SELECT collection_id, size, 'last' FROM n WHERE place = 0""", "entries")
+def label_moves(spark, sf):
+    """By labels with gaps: the first entry of each collection goes behind all others, then one more is appended. Each writes one row a collection."""
+    labels = collections.labelled(v.entries(spark, sf))
+    sizes = labels.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"))
+    labels = collections.relabel(labels, collections.move_label(labels, sizes.select("collection_id", F.lit(0).alias("source"), (F.col("n") - 1).alias("target"))))
+    new = collections.append_labels(labels, sizes.select("collection_id", F.lit(0).alias("position"), F.lit("last").alias("item_id")))
+    return collections.dense(labels.unionByName(new), "label")
 
 
 @query("co03_rewrite", "SELECT collection_id, CASE WHEN collection_id % 3 = 0 THEN row_number() OVER (PARTITION BY collection_id ORDER BY CASE WHEN collection_id % 3 = 0 THEN -position ELSE position END) - 1 ELSE position END AS position, item_id FROM entries", "entries")
