@@ -21,7 +21,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces_of(docs: DataFrame, bpe_files: tuple[str, ...], most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32. A document longer than `most` is cut so that its first piece takes the odd length.
 
-    bpe_files: what ByteBpe takes: the tokenizers file. Null texts count as empty: one piece,
+    bpe_files: what ByteBpe takes: the tokenizers file and, if wanted, the same vocabulary as ranks and its pattern. Null texts count as empty: one piece,
     the end id. Null and repeated ids are carried along as they are; other columns are ignored.
     """
     small_batches(docs.sparkSession)

@@ -37,8 +37,8 @@ URL_RULES = [
     *[pattern_rule(rf"^(?:[^/]*[.-])?{word}[.-]", (word,)) for word in JUNK],
 ]
 
-#: The vocabulary of the packed ids: what ByteBpe takes.
-BPE = (public_tokenizers.path("byte_bpe_50k.json"),)
+#: The vocabulary of the packed ids: what ByteBpe takes, here with its option of merge ranks.
+BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 

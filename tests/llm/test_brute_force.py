@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import regex
 import sentencepiece
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -98,9 +99,13 @@ def test_paragraphs_come_and_go(spark):
 def test_token_ids_and_packing(spark, texts):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     odd = ["", " ", "a  b", "x \n y", " \n\nz", "tab\t t", "don't  stop", "<|endoftext|> x", "日本 語\u3000x \u00a0y", "a \u00a0b"]
-    bpe = ByteBpe(*queries.BPE)
-    for text, got in zip([*odd, *texts.values()], bpe.batch([*odd, *texts.values()])):
-        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:50]
+    for bpe in (ByteBpe(*queries.BPE), ByteBpe(queries.BPE[0]), ByteBpe(*queries.BPE, keep=3)):
+        for text, got in zip([*odd, *texts.values()], bpe.batch([*odd, *texts.values()])):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:50]
+    wrong = ByteBpe(*queries.BPE)
+    wrong.ranks = tiktoken.Encoding("wrong", pat_str=r".", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    with pytest.raises(ValueError, match="not of one vocabulary"):
+        wrong.batch(["Whole words here."])
     rows = queries.op5_packing(spark, SMALL).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
