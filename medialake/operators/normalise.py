@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as val
+from .shelves import artist_shown
 
 #: Fields and the key skeletons that mean them, in every dialect that spells keys out.
 SPELLED = {
@@ -72,10 +73,14 @@ def with_fields(raw_tags: DataFrame, table: DataFrame | None = None) -> DataFram
     return rows.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where("value <> '' AND value <> '\0'")
 
 
+#: Fixed value: the frame of the original artist.
+ORIGINAL_ARTIST = "TOPE"
+
+
 def normalise_tags(raw_tags: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """One row a file: typed fields, lists and the rest as a map of JSON texts. The first value of a field stands; ID3v1 only fills silence.
 
-    Several values behind NULs are taken apart: the first is the one shown, lists get all.
+    Several values behind NULs are taken apart: the first is the one shown, lists get all. An ID3v2 file without a lead performer shows its band, else its original artist.
     """
     rows = with_fields(raw_tags, table).withColumn("at", F.struct((F.col("dialect") == "id3v1").cast("int").alias("late"), F.col("seq").alias("seq")))
     shown = val.clean_value(F.split_part("value", F.lit("\0"), F.lit(1)))
@@ -84,19 +89,20 @@ def normalise_tags(raw_tags: DataFrame, table: DataFrame | None = None) -> DataF
     every = lambda field: val.distinct_names(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("at", F.split("value", "\0").alias("values"))))), lambda x: x["values"])))
     kept = F.when(F.col("field").isNull() | F.col("field").isin(*TWICE), F.struct("key", "at", "value"))
     fields = sorted({*SPELLED, *CODED["id3v2"], *CODED["ilst"]} - set(LISTS))
-    out = rows.groupBy("file_id").agg(*[of(f).alias(f) for f in fields], *[every("artist" if f == "artists" else f).alias(f) for f in LISTS], F.array_sort(F.collect_list(kept)).alias("kept"))
+    out = rows.groupBy("file_id").agg(*[of(f).alias(f) for f in fields], *[every("artist" if f == "artists" else f).alias(f) for f in LISTS], F.array_sort(F.collect_list(kept)).alias("kept"), F.max((F.col("dialect") == "id3v2").cast("int")).alias("id3"))
     track, track_total = val.pair(F.col("track"))
     disc, disc_total = val.pair(F.col("disc"))
     names = F.array_distinct(F.transform("kept", lambda x: x["key"]))
     texts = lambda k: F.transform(F.filter("kept", lambda x: x["key"] == k), lambda x: x["value"])
     extra = F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), F.when(F.size(texts(k)) == 1, F.to_json(F.struct(F.get(texts(k), 0).alias("v")))).otherwise(F.to_json(F.struct(texts(k).alias("v")))).alias("value"))))
+    original = F.get(F.filter("kept", lambda x: x["key"] == ORIGINAL_ARTIST), 0)["value"]
     return out.withColumns({
-        "extra": F.transform_values(extra, lambda _, t: F.regexp_extract(t, r'^\{"v":(.*)\}$', 1)),
+        "artist": F.when(F.col("id3") == 1, artist_shown(F.col("artist"), F.col("album_artist"), original)).otherwise(F.col("artist")), "extra": F.transform_values(extra, lambda _, t: F.regexp_extract(t, r'^\{"v":(.*)\}$', 1)),
         "track_number": track, "track_total": F.coalesce(track_total, val.leading_int(F.col("track_total"))), "disc_number": disc, "disc_total": F.coalesce(disc_total, val.leading_int(F.col("disc_total"))),
         "bpm": F.round(val.found(F.col("bpm"), r"^\s*(\d+(?:\.\d+)?)", 1).cast("double")).cast("long"), **{c: val.leading_int(F.col(c)) for c in ("season", "episode")}, **{c: val.decibels(F.col(c)) for c in GAINS}, **{c: val.number(F.col(c)) for c in PEAKS},
         "original_year": val.year_like(F.col("original_year")), "compilation": val.flag(F.col("compilation")), "rating": F.when(val.leading_int(F.col("rating")) > 0, val.rating(val.leading_int(F.col("rating")))),
         "artists": F.when(F.size("artists") > 1, F.col("artists")), "year": val.found(F.col("date"), r"^(\d{4})", 1).cast("int"),
-    }).drop("kept", "track", "disc")
+    }).drop("kept", "track", "disc", "id3")
 
 
 def exif_extra(tags: DataFrame, typed: list[str], longest: int = 160, most: int = 128) -> DataFrame:

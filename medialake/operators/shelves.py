@@ -129,8 +129,8 @@ def resolution() -> Column:
     return F.concat(F.col("width").cast("string"), F.lit("×"), F.col("height").cast("string"))
 
 
-def camera() -> Column:
-    return F.nullif(F.concat_ws(" ", "make", "model"), F.lit(""))
+def camera(make: str = "make", model: str = "model") -> Column:
+    return F.nullif(F.concat_ws(" ", make, model), F.lit(""))
 
 
 def book_kind() -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import artwork, changes, jobs, maintenance, search
+from ..operators import artwork, changes, exports, jobs, maintenance, search
 from . import views as v
 from .registry import query
 from .scan_queries import MOVES, diffed, moved
+from .shelf_queries import ITEMS_SQL, items_json
 
 
 def part_index(spark, sf):
@@ -15,10 +16,12 @@ def part_index(spark, sf):
     return search.build_index(items, ["title"])
 
 
-@query("ft01_documents", "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_brand ELSE p_name END AS text FROM part")
+@query("ft01_documents", ITEMS_SQL + """, told AS (SELECT item_id, string_agg(namespace || '/' || name, ' ' ORDER BY namespace || '/' || name) AS tags FROM item_tags WHERE name IS NOT NULL GROUP BY item_id)
+SELECT item_id, CASE kind WHEN 'image' THEN '' WHEN 'document' THEN source || '!' ELSE source END AS title, CASE WHEN kind IN ('audio', 'document') AND item_id % 3 <> 0 THEN lang END AS artist, CASE WHEN kind = 'audio' THEN 'Album ' || lang END AS album, coalesce(tags, '') AS tags FROM shown LEFT JOIN told USING (item_id)""", "inv_base", "item_tags")
 def documents_built(spark, sf):
-    rows = v.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("artist"))
-    return rows.select("item_id", search.document(["title", "artist"]).alias("text"))
+    """The search document of each item, by its kind, with its tags."""
+    rows = exports.search_fields(exports.read(items_json(spark, sf)), v.item_tags(spark, sf).where("name IS NOT NULL"))
+    return rows.withColumn("tags", F.array_join("tags", " "))
 
 
 @query("ft02_terms", "SELECT term, count(*) AS postings, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+')) AS term FROM documents) WHERE term <> '' GROUP BY term")
@@ -262,25 +265,25 @@ def gaps(spark, sf):
     return maintenance.not_dense(v.entries(spark, sf).where("NOT (collection_id % 4 = 0 AND position = 0)"), "collection_id", "position")
 
 
-@query("snk03_track_export", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, json_extract_string(to_json({'t': title}), '$.t') AS title, artist IS NULL AS no_artist FROM tracks WHERE NOT missing", "tracks")
+@query("snk03_track_export", ITEMS_SQL + """ SELECT item_id, '{"id":' || item_id || ',"fileId":' || file_id || ',"path":"' || path || '","title":"' || source || '"' || CASE WHEN item_id % 3 <> 0 THEN ',"artist":"' || lang || '"' ELSE '' END || ',"album":"Album ' || lang || '","track":' || (item_id % 12)
+  || CASE WHEN item_id % 5 <> 0 THEN ',"durationMs":' || (n * 100) ELSE '' END || ',"year":' || (1990 + item_id % 30) || ',"genre":"' || lang || '"}' AS json FROM shown WHERE kind = 'audio' AND item_id % 23 <> 0""", "inv_base")
 def exported(spark, sf):
-    text = F.to_json(F.struct("title", "artist", "album", F.col("album_artist").alias("albumArtist"), F.col("track_number").alias("track"), F.col("disc_number").alias("disc"), F.col("duration_ms").alias("durationMs"), "year", "genre"))
-    rows = v.tracks(spark, sf).where("NOT missing").withColumn("json", text)
-    return rows.select(*v.SHELF, F.get_json_object("json", "$.title").alias("title"), (~F.col("json").contains('"artist":')).alias("no_artist"))
+    return exports.track_export(exports.read(items_json(spark, sf)))
 
 
-@query("snk04_item_export", "SELECT item_id, count(*) AS n_tags FROM item_tags GROUP BY item_id", "item_tags")
+@query("snk04_item_export", ITEMS_SQL + """, told AS (SELECT item_id, '[' || string_agg('"' || namespace || '/' || name || '"', ',' ORDER BY namespace || '/' || name) || ']' AS tags FROM item_tags WHERE name IS NOT NULL GROUP BY item_id)
+SELECT item_id, '{"id":' || item_id || ',"fileId":' || file_id || ',"path":"' || path || '","kind":"image","metadata":{' || CASE WHEN item_id % 3 <> 0 THEN '"cameraMake":"Make",' ELSE '' END || '"cameraModel":"Model","width":640,"height":480,"takenAt":"2024-05-06T07:08:09"},"tags":' || coalesce(tags, '[]') || '}' AS json
+FROM shown LEFT JOIN told USING (item_id) WHERE kind = 'image'""", "inv_base", "item_tags")
 def item_export(spark, sf):
-    from ..operators.tags import tags_of
-
-    tagged = tags_of(v.item_tags(spark, sf), v.table(spark, sf, "labels").select(F.col("doc_id").alias("item_id")))
-    text = tagged.select("item_id", F.to_json(F.struct("item_id", "tags")).alias("json"))
-    return text.select("item_id", F.json_array_length(F.get_json_object("json", "$.tags")).cast("long").alias("n_tags"))
+    """Pictures whole, with their tags or an empty list."""
+    return exports.item_export(items_json(spark, sf).where("kind = 'image'"), v.item_tags(spark, sf).where("name IS NOT NULL"))
 
 
-@query("src05_decode", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("src05_decode", ITEMS_SQL + " SELECT item_id, CASE WHEN kind = 'document' AND item_id % 3 <> 0 THEN lang END AS author, CASE WHEN kind = 'audio' THEN 1990 + item_id % 30 END AS year, CASE WHEN kind = 'audio' THEN lang END AS genre, CASE WHEN kind = 'video' THEN 1 END AS scenes FROM shown", "inv_base")
 def decoded(spark, sf):
-    return v.table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    """Stored metadata read by the schema of its kind."""
+    rows = exports.read(items_json(spark, sf))
+    return rows.select("item_id", "document.author", F.col("audio.year").cast("long").alias("year"), F.get("audio.genres", 0).alias("genre"), F.when(F.col("kind") == "video", F.size("video.chapters").cast("long")).alias("scenes"))
 
 
 @query("jn04_containing_roots", "SELECT path, count(*) AS roots FROM (SELECT path FROM inv_base JOIN (SELECT DISTINCT '/lib/' || source AS root FROM documents UNION SELECT DISTINCT '/lib/' || source || '/' || lang FROM documents) ON starts_with(path, root || '/')) GROUP BY path", "inv_base")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as val
-from ..operators import collections, plays, shelves, tags
+from ..operators import collections, exports, plays, shelves, tags
 from . import views as v
 from .registry import query
 
@@ -46,6 +47,37 @@ def artist_tracks(spark, sf):
     return shelves.of_artist(v.tracks(spark, sf), "Supplier#000000001").select(*v.SHELF)
 
 
+#: The documents as items: metadata by kind, as JSON.
+ITEMS_SQL = ", shown AS (SELECT doc_id AS item_id, doc_id + 7 AS file_id, path, kind, source, lang, size_bytes AS n FROM inv_base WHERE kind IS NOT NULL)"
+
+
+def items_json(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, file_id, path, kind, metadata, missing_s: a third without artist or author, a fifth without length."""
+    d, kind = F.col("doc_id"), F.col("kind")
+    some = lambda c, n: F.when(d % n != 0, c)
+    audio = F.to_json(F.struct(F.col("source").alias("title"), some(F.col("lang"), 3).alias("artist"), F.concat(F.lit("Album "), "lang").alias("album"), (F.lit(1990) + d % 30).alias("year"), (d % 12).alias("trackNumber"), F.lit(320).alias("bitrateKbps"), some(F.col("size_bytes") * 100, 5).alias("durationMs"), F.array("lang", "source").alias("genres")))
+    video = F.to_json(F.struct(F.col("source").alias("title"), some(F.col("lang"), 3).alias("series"), (F.lit(1990) + d % 30).alias("year"), F.lit(1920).alias("width"), some(F.lit(1080), 5).alias("height"), F.lit("h264").alias("videoCodec"), F.array(F.struct(F.lit("one").alias("title"), F.lit(0).alias("startMs"))).alias("chapters")))
+    image = F.to_json(F.struct(some(F.lit("Make"), 3).alias("cameraMake"), F.lit("Model").alias("cameraModel"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit("2024-05-06T07:08:09").alias("takenAt")))
+    paper = F.to_json(F.struct(F.concat("source", F.lit("!")).alias("title"), some(F.col("lang"), 3).alias("author"), some(F.col("size_bytes"), 5).alias("pageCount"), F.col("lang").alias("series"), F.when(d % 2 == 0, 3.5).otherwise(4.0).alias("issueNumber")))
+    told = F.when(kind == "audio", audio).when(kind == "video", video).when(kind == "image", image).when(kind == "document", paper)
+    return v.inv_base(spark, sf).where("kind IS NOT NULL").select(d.alias("item_id"), (d + 7).alias("file_id"), "path", "kind", told.alias("metadata"), F.expr("CASE WHEN doc_id % 23 = 0 THEN 1704070000 END").alias("missing_s"))
+
+
+def items_shown(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.read(items_json(spark, sf))
+
+
+@query("pf11_facts_by_kind", ITEMS_SQL + """ SELECT item_id, CASE kind WHEN 'audio' THEN CASE WHEN item_id % 3 <> 0 THEN lang END WHEN 'video' THEN CASE WHEN item_id % 3 <> 0 THEN lang ELSE CAST(1990 + item_id % 30 AS VARCHAR) END WHEN 'document' THEN CASE WHEN item_id % 3 <> 0 THEN lang END
+    WHEN 'image' THEN CASE WHEN item_id % 3 <> 0 THEN 'Make Model' ELSE 'Model' END END AS byline,
+  CASE kind WHEN 'audio' THEN concat_ws(';', 'Album=Album ' || lang, 'Year=' || (1990 + item_id % 30), CASE WHEN item_id % 5 <> 0 THEN 'Length=' || (n // 10 // 60) || ':' || lpad(CAST((n // 10) % 60 AS VARCHAR), 2, '0') END, 'Track=' || (item_id % 12), 'Bitrate=320 kbps')
+    WHEN 'video' THEN concat_ws(';', 'Year=' || (1990 + item_id % 30), CASE WHEN item_id % 5 <> 0 THEN 'Resolution=1920×1080' END, 'Codec=h264', 'Scenes=1') WHEN 'image' THEN 'Dimensions=640 × 480;Taken=2024-05-06'
+    ELSE concat_ws(';', 'Series=' || lang, 'Issue=#' || CASE WHEN item_id % 2 = 0 THEN '3.5' ELSE '4' END, CASE WHEN item_id % 5 <> 0 THEN 'Pages=' || n END) END || CASE WHEN item_id % 4 <> 0 THEN ';Format=' || upper(kind) ELSE '' END AS facts FROM shown""", "inv_base")
+def facts_of_kinds(spark, sf):
+    rows = items_shown(spark, sf).withColumn("format", F.when(F.col("item_id") % 4 != 0, F.col("kind")))
+    told = F.array_join(F.transform(exports.facts_of(), lambda f: F.concat_ws("=", f["label"], f["value"])), ";")
+    return rows.select("item_id", exports.byline().alias("byline"), told.alias("facts"))
+
+
 @query("pf11_facts", f"SELECT {ITEM}, CAST(CASE WHEN artist IS NULL THEN 0 ELSE 1 END + CASE WHEN album IS NULL THEN 0 ELSE 1 END + CASE WHEN year IS NULL THEN 0 ELSE 1 END AS INTEGER) AS facts, coalesce('artist=' || artist, 'album=' || album, 'year=' || year) AS first_fact FROM tracks", "tracks")
 def item_facts(spark, sf):
     told = shelves.facts(("artist", F.col("artist")), ("album", F.col("album")), ("year", F.col("year")))
@@ -76,15 +108,17 @@ def resolutions(spark, sf):
     return rows.select("p_partkey", shelves.resolution().alias("resolution"), shelves.camera().alias("camera"))
 
 
-@query("pf17_books", "SELECT doc_id, CASE WHEN kind = 'audio' THEN 'audiobook' WHEN doc_id % 8 = 4 THEN 'PDF' ELSE 'TXT' END AS book_kind FROM inv_base WHERE kind IN ('audio', 'document')", "inv_base")
+@query("pf17_books", ITEMS_SQL + """ SELECT item_id, CASE WHEN kind = 'audio' THEN source ELSE source || '!' END AS title, CASE WHEN item_id % 3 = 0 THEN NULL ELSE lang END AS author, CASE WHEN kind = 'audio' THEN 'audiobook' WHEN item_id % 8 = 4 THEN 'PDF' ELSE 'TXT' END AS book_kind,
+  CASE WHEN item_id % 5 = 0 THEN NULL WHEN kind = 'audio' THEN n * 100 ELSE n END AS length, CASE WHEN kind = 'audio' THEN (CASE WHEN item_id % 5 = 0 THEN 0 ELSE n // 10 END // 60) || ':' || lpad(CAST(CASE WHEN item_id % 5 = 0 THEN 0 ELSE n // 10 END % 60 AS VARCHAR), 2, '0')
+  WHEN item_id % 5 = 0 THEN '' ELSE n || ' pp' END AS length_text FROM shown WHERE kind IN ('audio', 'document')""", "inv_base")
 def books(spark, sf):
-    rows = v.inv_base(spark, sf).where("kind IN ('audio', 'document')").withColumn("format", F.when(F.col("doc_id") % 8 == 5, "txt"))
-    return rows.select("doc_id", shelves.book_kind().alias("book_kind"))
+    rows = items_shown(spark, sf).withColumn("format", F.when(F.col("item_id") % 8 == 5, "txt"))
+    return exports.books(rows)
 
 
 @query("pf18_days", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1")
 def days(spark, sf):
-    return v.table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"))
+    return exports.by_day(v.table(spark, sf, "events"), "ts").withColumnRenamed("n", "events")
 
 
 @query("sh01_music_summary", "SELECT songs, albums, playtime_ms, playtime_ms // 3600000 AS hours, (playtime_ms // 60000) % 60 AS minutes FROM (SELECT count(*) AS songs, count(DISTINCT album) + max(CASE WHEN album IS NULL THEN 1 ELSE 0 END) AS albums, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS playtime_ms FROM tracks WHERE NOT missing)", "tracks")
@@ -127,7 +161,7 @@ def shows_shelf(spark, sf):
 
 @query("sh10_counts", "SELECT source, kind, count(*) AS items FROM inv_base GROUP BY source, kind", "inv_base")
 def kind_counts(spark, sf):
-    return v.inv_base(spark, sf).groupBy("source", "kind").agg(F.count("*").alias("items"))
+    return exports.counts(v.inv_base(spark, sf), ["source", "kind"])
 
 
 @query("so01_songs_by_year_desc", f"SELECT {ITEM}, CAST(year AS BIGINT) AS year FROM tracks ORDER BY year DESC NULLS LAST, {ITEM}", "tracks")
@@ -303,12 +337,12 @@ def chapters(spark, sf):
 
 @query("pf02_audio_items", "SELECT doc_id, path FROM inv_base WHERE kind = 'audio'", "inv_base")
 def audio_items(spark, sf):
-    return v.inv_base(spark, sf).where("kind = 'audio'").select("doc_id", "path")
+    return exports.of_kinds(v.inv_base(spark, sf), ["audio"]).select("doc_id", "path")
 
 
 @query("pf06_first_genre", f"SELECT {ITEM}, genre AS first_genre FROM tracks", "tracks")
 def first_genre(spark, sf):
-    return v.tracks(spark, sf).select(*v.SHELF, F.get(F.array("genre", "title"), 0).alias("first_genre"))
+    return exports.first_of(v.tracks(spark, sf).withColumn("genres", F.array("genre", "title")), "genres", "first_genre").select(*v.SHELF, "first_genre")
 
 
 @query("pf07_format_tags", "SELECT doc_id AS item_id, CASE doc_id % 8 WHEN 3 THEN 'jpg' ELSE lower(regexp_extract(path, '[^.]*$')) END AS format FROM inv_base WHERE kind IS NOT NULL", "inv_base")
@@ -321,10 +355,9 @@ def of_series(spark, sf):
     return series_items(spark, sf).where(shelves.series_key() == "Unknown").select(*v.SHELF)
 
 
-@query("pf19_titles", "SELECT doc_id, CASE WHEN kind = 'image' THEN '' WHEN doc_id % 2 = 0 THEN source ELSE path END AS title FROM inv_base", "inv_base")
+@query("pf19_titles", ITEMS_SQL + " SELECT item_id, CASE kind WHEN 'image' THEN '' WHEN 'document' THEN source || '!' ELSE source END AS title FROM shown", "inv_base")
 def titles_by_kind(spark, sf):
-    named = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
-    return v.inv_base(spark, sf).select("doc_id", F.when(F.col("kind") == "image", "").otherwise(F.coalesce(named, "path")).alias("title"))
+    return items_shown(spark, sf).select("item_id", exports.title().alias("title"))
 
 
 SONG_KEYS = {"track": "track_number", "title": "lower(title)", "artist": "lower(artist)", "album": "lower(album)", "genre": "lower(genre)", "time": "duration_ms"}
