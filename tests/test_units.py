@@ -279,3 +279,34 @@ def test_marks_are_no_letters(spark):
 
     row = spark.createDataFrame([("Dvořák e\u0301te Łódź Ñandú",)], "t string").select(search.tokens(F.col("t")).alias("x")).first()
     assert row.x == ["dvorak", "ete", "łodz", "nandu"]
+
+
+def test_extractors_as_table_functions(spark):
+    """The same rows from SQL as from `tiers`; a file that fails is a row with an error and costs no other its row."""
+
+    def picky(batches):
+        for df in batches:
+            if (df.path == "/b.mp3").any():
+                raise ValueError("broken file")
+            yield df[["file_id"]].assign(title="t" + df.path, n=df.file_id * 2)
+
+    known = Extractors()
+    known.register("picky", ("audio",), ("mp3",), picky, 1)
+    known.register("all", ("audio", "video"), (), lambda batches: (df[["file_id"]].assign(title=None, n=7) for df in batches), 2)
+    files = spark.createDataFrame([(i, f"/{x}", k, "more") for i, (x, k) in enumerate([("a.mp3", "audio"), ("b.mp3", "audio"), ("c.MP3", "audio"), ("d.flac", "audio"), ("e.mkv", "video"), ("f.pdf", "document")])], "file_id long, path string, kind string, size string")
+    files.createOrReplaceTempView("files_to_read")
+    names = known.register_sql(spark, "title string, n long")
+    rows = [r for name in names for r in spark.sql(f"SELECT * FROM {name}(TABLE(files_to_read) PARTITION BY kind)").collect()]
+    assert sorted((r.file_id, r.tier, r.title, r.n) for r in rows if r.error is None) == sorted((r.file_id, r.tier, r.title, r.n) for r in known.tiers(files, "title string, n long").collect())
+    assert [(r.file_id, r.tier, r.error) for r in rows if r.error] == [(1, 1, "ValueError: broken file")]
+    lateral = spark.sql("SELECT f.size, x.title FROM files_to_read f, LATERAL extract_picky(f.file_id, f.path, f.kind) x WHERE x.error IS NULL").collect()
+    assert sorted(r.title for r in lateral) == ["t/a.mp3", "t/c.MP3"] and {r.size for r in lateral} == {"more"}
+
+
+def test_artist_chain_of_tags(spark):
+    from medialake.operators import normalise
+
+    rows = [(1, "id3v2", 0, "TPE1", "Lead"), (1, "id3v2", 1, "TPE2", "Band"), (2, "id3v2", 0, "TPE2", "Band"), (3, "id3v2", 0, "TOPE", "First"), (4, "vorbis", 0, "ALBUMARTIST", "Band"), (5, "id3v2", 0, "TIT2", "x")]
+    got = normalise.normalise_tags(spark.createDataFrame(rows, "file_id int, dialect string, seq int, key string, value string")).collect()
+    assert {r.file_id: r.artist for r in got} == {1: "Lead", 2: "Band", 3: "First", 4: None, 5: None}
+    assert {r.file_id: r.extra for r in got}[3] == {"TOPE": '"First"'}
