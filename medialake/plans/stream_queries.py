@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata
 from ..sources.catalog import Catalog
 from ..sources.scratch import scratch
-from ..streaming import bursts, jobs, live
+from ..streaming import bursts, follow, jobs, live
 from . import views as v
 from .registry import query
 from .scan_queries import LIBRARIES, diffed, full
@@ -167,3 +169,23 @@ def live_shelves(spark, sf):
     pairs = shelves["pairs"].groups().groupBy("artist").agg(F.count(F.lit(1)).alias("albums"))
     artists = shelves["artists"].groups().join(pairs, "artist").select(F.lit("artists").alias("shelf"), F.col("artist").alias("name"), F.lit(None).cast("string").alias("first_artist"), F.lit(None).cast("long").alias("first_year"), "n", F.col("duration_ms").alias("playtime_ms"), "albums")
     return albums.unionByName(artists)
+
+
+@query("ev03_consumer", "SELECT path, size_bytes FROM inv_new", "inv_new")
+def consumer(spark, sf):
+    """A consumer that knew the old inventory gets the feed of five batches badly: the second late, the first again, the fourth never. It waits, takes a snapshot, goes on, and has the new inventory."""
+    old, new = v.inv_old(spark, sf).select("path", "size_bytes"), v.inv_new(spark, sf).select("path", "size_bytes")
+    gone = old.join(new, "path", "left_anti").withColumn("deleted", F.lit(True))
+    events = new.join(old, ["path", "size_bytes"], "left_anti").withColumn("deleted", F.lit(False)).unionByName(gone)
+    part = F.pmod(F.xxhash64("path"), F.lit(5))
+    feed = {n: follow.published(events.where(part == n), "e", n + 1) for n in range(5)}
+    state = [("e", 0, old)]
+    follower = follow.Follower(spark, scratch(spark, "follower"), "path", "path string, size_bytes long", lambda: state[-1])
+    rounds = [[feed[0]], [feed[2]], [feed[1], feed[0]], [feed[4]], [feed[4]], [feed[4]], [feed[2]], []]
+    for number, batches in enumerate(rounds):
+        if number == 3:
+            taken = events.where(part <= 3)
+            done = old.join(taken.select("path"), "path", "left_anti").unionByName(taken.where("NOT deleted").drop("deleted"))
+            state.append(("e", 4, done))
+        follower.take(reduce(DataFrame.unionByName, batches) if batches else feed[0].where("false"), number)
+    return follower.table()
