@@ -212,8 +212,17 @@ def chains_of(text: str, toxic: bool, terms: dict[str, int]) -> Iterator[tuple[b
             n += 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000) -> Field:
-    """Learns from about max_docs labelled documents that aren't held out (crc32 of the id, modulo 3, is 1), chosen by a hash of the id; nothing else is bounded.
+def within_bytes(rows: DataFrame, most: int) -> DataFrame:
+    """rows(doc_id, label, text) without very long texts, or about so many of them, by a hash of the id, as have `most` bytes."""
+    size = F.octet_length("text")
+    short = rows.where(size <= most // 16)
+    total = short.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return short if total <= most else short.where(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1_000_000)) < math.floor(1_000_000 * most / total))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000, max_bytes: int = 256 << 20) -> Field:
+    """Learns from about max_docs labelled documents that aren't held out (crc32 of the id, modulo 3, is 1), or fewer, so that their texts are about max_bytes, chosen by a hash of the id. A text
+    of more than a sixteenth of max_bytes isn't learned from. So what reaches the driver, a few bytes for each word that has terms, is bounded; nothing else is.
 
     Spark counts in how many toxic and clean ones each term occurs, and how often each chain occurs, over whole texts: a chain is known by its length and by the terms
     at its places, so those without terms are few. The different chains come to the driver, where the field is fitted to them; then the evidence of all these documents,
@@ -222,7 +231,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     small_batches(spark)
     with Tables(spark) as tables:
-        rows = tables.save(labelled(docs, labels, label_col, 3, 1, id_col, text_col, max_docs), "toxicity-labelled").repartition(spark.sparkContext.defaultParallelism)
+        rows = tables.save(labelled(docs, labels, label_col, 3, 1, id_col, text_col, max_docs), "toxicity-labelled")
+        rows = within_bytes(rows, max_bytes).repartition(spark.sparkContext.defaultParallelism)
         n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         if not n.get(1) or not n.get(0):
             return Field({}, np.zeros(0), 30.0 if n.get(1) else -30.0, np.zeros((2, 2)), np.zeros(2))
