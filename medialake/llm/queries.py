@@ -22,7 +22,7 @@ from .piece_codec import code_round
 from .quality import quality
 from .reshard import assigned, plan_moves, rewrite_moved
 from .toxicity import toxicity
-from .url_filter import host_rule, judge_urls, pattern_rule
+from .url_filter import filter_rules, host_rule, judge_urls, pattern_rule, rule_table
 
 #: Fixed values of the production run: named rules, then words that a host of junk pages has between its dots and dashes.
 JUNK = (
@@ -37,6 +37,25 @@ URL_RULES = [
     *[pattern_rule(rf"^(?:[^/]*[.-])?{word}[.-]", (word,)) for word in JUNK],
 ]
 
+#: Filters beside them: hosts and paths of pages that are made for clicks, and pages about such pages, which stay.
+URL_FILTERS = (
+    "! hosts",
+    "||spam-farm.*^",
+    "||link-farm.*^",
+    "||content-farm.*^",
+    "||free-*-download.*^",
+    "||parked-domain.*^",
+    "! paths",
+    "/out/redirect/*",
+    "/cgi-bin/*/click^",
+    "/ad-server/*/banner^",
+    "^popup-page.html|",
+    "/session-id-[0-9a-f]{16,}/",
+    "! what stays",
+    "@@||spam-research.*/papers/",
+    "@@/help/report-spam^",
+)
+
 #: The vocabulary of the packed ids: what ByteBpe takes, here with its option of merge ranks.
 BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,7 +72,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    filters = filter_rules(spark.createDataFrame([(line,) for line in URL_FILTERS], "filter string"))
+    rules = rule_table(spark, URL_RULES).unionByName(filters)
+    return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +228,10 @@ p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(rhost, rpath, said)),
 m AS (SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(said, length(rhost || rpath)) AS said FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path)
 SELECT p.page_id, p.host, p.path, m.rule,
-  coalesce(m.said, CASE WHEN regexp_matches(p.host || p.path, '^([^/]*[.-])?({"|".join(JUNK)})[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(m.said, CASE WHEN regexp_matches(p.host || p.path, '(?is)^([^/]*\.)?spam-research\..*/papers/|/help/report-spam([^A-Za-z0-9_.%-]|\z)') THEN 'allow'
+    WHEN regexp_matches(p.host || p.path, '^([^/]*[.-])?({"|".join(JUNK)})[.-]') THEN 'block'
+    WHEN regexp_matches(p.host || p.path, '(?is)^([^/]*\.)?((spam|link|content)-farm|free-.*-download|parked-domain)\..*([^A-Za-z0-9_.%-]|\z)') THEN 'block'
+    WHEN regexp_matches(p.host || p.path, '(?is)/out/redirect/|(/cgi-bin/.*/click|/ad-server/.*/banner)([^A-Za-z0-9_.%-]|\z)|[^A-Za-z0-9_.%-]popup-page\.html\z|session-id-[0-9a-f]{{16,}}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.host = m.host AND p.path = m.path""",
     "op7_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
