@@ -162,8 +162,8 @@ def slices(rows: DataFrame, order: str, n: int, sample: int = 20_000) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<string>"), lambda c: c <= F.col(order)))
 
 
-def waves(files: DataFrame, stage: str, bytes_per_wave: int, order: str = "path") -> DataFrame:
-    """files(size_bytes, ...) with cost and wave: discovery reads at most 2 MiB of a file, enrichment 1 MiB, and a wave about bytes_per_wave, in this order.
+def reads_upto(files: DataFrame, stage: str, order: str = "path") -> DataFrame:
+    """files(size_bytes, ...) with cost and upto, the costs' running sum in this order: discovery reads at most 2 MiB of a file, enrichment 1 MiB.
 
     Running sums are kept within ranges of the order, then shifted by the ranges before, so no task sorts all files.
     """
@@ -174,5 +174,9 @@ def waves(files: DataFrame, stage: str, bytes_per_wave: int, order: str = "path"
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
     sums = sums.select("slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(F.broadcast(sums), "slice").withColumn("upto", F.col("base") + F.sum("cost").over(inside))
-    return rows.withColumn("wave", F.floor((F.col("upto") - F.col("cost")) / bytes_per_wave)).drop("slice", "base", "upto")
+    return rows.join(F.broadcast(sums), "slice").withColumn("upto", F.col("base") + F.sum("cost").over(inside)).drop("slice", "base")
+
+
+def waves(files: DataFrame, stage: str, bytes_per_wave: int, order: str = "path") -> DataFrame:
+    """files(size_bytes, ...) with cost and wave: a wave reads about bytes_per_wave, in this order."""
+    return reads_upto(files, stage, order).withColumn("wave", F.floor((F.col("upto") - F.col("cost")) / bytes_per_wave)).drop("upto")

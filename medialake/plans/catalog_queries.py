@@ -92,6 +92,13 @@ def swept(spark, sf):
     return artwork.sweep(v.known(spark, sf), pictures(spark, sf))
 
 
+@query("jn08_library_sweep", f", {PICTURES} SELECT file_id FROM known WHERE missing_s IS NULL AND kind <> 'document' AND file_id NOT IN (SELECT file_id FROM pictures WHERE role = 'thumbnail') AND file_id IN (SELECT doc_id FROM inv_base WHERE lang = 'en')", "known")
+def swept_library(spark, sf):
+    """The sweep of one library: of its members only, each once however often it is one."""
+    members = v.inv_base(spark, sf).where("lang = 'en'").select(F.col("doc_id").alias("file_id"))
+    return artwork.sweep(v.known(spark, sf), pictures(spark, sf), members.unionAll(members))
+
+
 @query("ar05_sources", f", {PICTURES} SELECT k.file_id, CASE WHEN kind = 'image' THEN 'image' WHEN e THEN 'embedded' WHEN f THEN 'folder' ELSE 'bare' END AS source FROM known k LEFT JOIN (SELECT file_id, bool_or(role = 'embedded') AS e, bool_or(role = 'folder') AS f FROM pictures GROUP BY 1) p ON k.file_id = p.file_id", "known")
 def sources(spark, sf):
     return artwork.thumbnail_source(v.known(spark, sf), pictures(spark, sf))

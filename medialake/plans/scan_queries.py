@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, paths
-from ..operators import full_scan, identity, scan
+from ..operators import full_scan, identity, pacing, scan
 from . import views as v
 from .registry import query
 
@@ -302,6 +302,22 @@ def cost_waves(spark, sf):
     return scan.waves(v.inv_new(spark, sf).select("path", "size_bytes"), "discover", 1 << 20)
 
 
+@query("st09_token_bucket", """SELECT event_id, library_id, CAST(CASE WHEN rate > 0 AND bytes > 0 THEN greatest(debt - rate * 1000000, 0) * 2 + rate ELSE 0 END // CASE WHEN rate > 0 THEN 2 * rate ELSE 1 END AS BIGINT) AS wait_us FROM (
+  SELECT *, upto - paid - min(upto - bytes * 1000000 - paid) OVER (PARTITION BY library_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS debt FROM (
+    SELECT *, sum(bytes * 1000000) OVER (PARTITION BY library_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS upto, CAST(epoch_us(ts) AS HUGEINT) * rate AS paid FROM (
+      SELECT event_id, ts, CASE WHEN event_type = 'view' THEN 0 ELSE user_id % 3 + 1 END AS library_id, CAST(CASE WHEN event_type = 'view' THEN 0 ELSE (user_id % 3 + 1) * 50 END AS HUGEINT) AS rate, CAST(floor(value * 10000) AS HUGEINT) AS bytes FROM events)))""")
+def token_bucket(spark, sf):
+    """Events as reads that are charged to four libraries: three of different rates and one, with a large share of all, without any."""
+    events = v.table(spark, sf, "events").selectExpr("event_id", "ts AS at", "CASE WHEN event_type = 'view' THEN 0 ELSE user_id % 3 + 1 END AS library_id", "CAST(FLOOR(value * 10000) AS BIGINT) AS bytes")
+    rates = events.select("library_id").distinct().select("library_id", (F.col("library_id") * 50).alias("bytes_per_second"))
+    return pacing.waits(events, rates, ("event_id",)).select("event_id", "library_id", "wait_us")
+
+
+@query("st09_due", "SELECT path, cost, CAST(greatest(upto - 100000, 0) * 1000000 // 100000 AS BIGINT) AS due_us FROM (SELECT path, cost, sum(cost) OVER (ORDER BY path) AS upto FROM (SELECT path, least(size_bytes, 1048576) AS cost FROM inv_new))", "inv_new")
+def due_reads(spark, sf):
+    return pacing.due(v.inv_new(spark, sf).select("path", "size_bytes"), "enrich", 100_000).select("path", "cost", "due_us")
+
+
 @query("sc12_returned", "SELECT k.file_id FROM known k JOIN diffed d ON k.path = d.path WHERE d.status IN ('unchanged', 'changed') AND k.missing_s IS NOT NULL", "known", "diffed")
 def returned(spark, sf):
     known = v.known(spark, sf)
