@@ -29,6 +29,13 @@ def in_order(entries: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.groupBy("collection_id", F.floor(F.col("place") / size).alias("block")).agg(F.transform(items, lambda e: e["item_id"]).alias("items"))
 
 
+def create(collections: DataFrame, names: DataFrame) -> DataFrame:
+    """collections(collection_id, name) with a new one for each row of names(name), also where a name is there already. Ids are dense above the greatest known, in the order of the names, 1 at first."""
+    top = collections.agg(F.coalesce(F.max("collection_id"), F.lit(0)).alias("top"))  # one row
+    new = placed(names.select("name"), [], ["name"], Kept(names.sparkSession, "created")).crossJoin(F.broadcast(top))
+    return collections.select("collection_id", "name").unionByName(new.select((F.col("top") + F.col("place") + 1).cast("long").alias("collection_id"), "name"))
+
+
 def labelled(entries: DataFrame) -> DataFrame:
     """collection_id, label, item_id: entries in order under labels with gaps, so that a move or an append writes one row."""
     return dense(entries, "position").select("collection_id", ((F.col("position") + 1) * GAP).alias("label"), "item_id")

@@ -412,6 +412,15 @@ def comic_series(spark, sf):
     return shelves.series(rows, ("item_id",)).select("series_key", F.col("episodes").alias("issues"))
 
 
+@query("co01_created", """WITH known AS (SELECT DISTINCT conv_id AS collection_id, 'collection' AS name FROM conversations), made AS (SELECT DISTINCT role || ' ' || turn AS name FROM conversations WHERE role IS NOT NULL AND turn IS NOT NULL)
+SELECT * FROM known UNION ALL SELECT (SELECT max(collection_id) FROM known) + row_number() OVER (ORDER BY name) AS collection_id, name FROM made""")
+def created(spark, sf):
+    """A collection for each role and turn, beside those that are there."""
+    talk = v.table(spark, sf, "conversations")
+    known = talk.select(F.col("conv_id").alias("collection_id"), F.lit("collection").alias("name")).distinct()
+    return collections.create(known, talk.where("role IS NOT NULL AND turn IS NOT NULL").select(F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("name")).distinct())
+
+
 @query("co01_collections", "SELECT conv_id AS collection_id, CASE WHEN conv_id % 2 = 0 THEN 'renamed' ELSE 'collection' END AS name FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 <> 0")
 def listed(spark, sf):
     from ..operators import maintenance

@@ -74,3 +74,14 @@ def test_songs_by_what_files_say(spark, column, up):
     # Python's reversed sort keeps ties in order too
     assert got == want + sorted((r for r in got if r[0] is None), key=lambda r: r[1:])
     assert len({r[0] for r in told}) > 2 and len(told) < len(got)
+
+
+def test_collections_are_created_above_all_ids(spark):
+    from medialake.operators import collections
+
+    known = spark.createDataFrame([(4, "b"), (9, "a")], "collection_id long, name string")
+    names = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "name string")
+    got = sorted((tuple(r) for r in collections.create(known, names).collect()))
+    assert got == [(4, "b"), (9, "a"), (10, None), (11, "a"), (12, "b"), (13, "b")]
+    assert [tuple(r) for r in collections.create(known.limit(0), names.limit(1)).collect()][0][0] == 1
+    assert collections.create(known, names.limit(0)).count() == 2
