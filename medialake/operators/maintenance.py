@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import reduce
 
@@ -80,18 +81,22 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 @dataclass
 class Verified:
-    """rows: what differs, with `side`. read: the ranges of keys that were read row by row, (low, high) with low in and high out, None for open; depth: how often ranges were halved into parts."""
+    """rows: what differs, with `side`. read: the ranges of keys that were read row by row, (low, high) with low in and high out, None for open; depth: how often ranges were cut into parts."""
 
     rows: DataFrame
     read: list[tuple]
     depth: int
 
 
-def cut_points(rows: DataFrame, key: str, n: int, sample: int = 20_000) -> list:
-    """At most n - 1 keys, from a sample, that part rows into about n equal ranges. They change no result."""
+def cut_points(rows: DataFrame, key: str, ranges: list[tuple], n: int, sample: int = 20_000) -> list[list]:
+    """For each of the ranges, in order, at most n - 1 keys within it, from one sample of them all, that part its rows into about n equal ranges. They change no result."""
+    rows, sample = rows.where(within_any(key, ranges) & F.col(key).isNotNull()).select(key), max(sample, 16 * n * len(ranges))
     share = min(1.0, sample / max(1, rows.count()))
-    seen = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).sample(share, 7).limit(2 * sample).collect())
-    return sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
+    seen, out = sorted(r[0] for r in rows.sample(share, 7).limit(2 * sample).collect() if r[0] == r[0]), []
+    for low, high in ranges:
+        mine = seen[0 if low is None else bisect_left(seen, low) : len(seen) if high is None else bisect_left(seen, high)]
+        out.append(sorted({c for i in range(1, n) if (c := mine[len(mine) * i // n]) != low}) if mine else [])
+    return out
 
 
 def within_range(key: str, low, high) -> Column:
@@ -101,41 +106,58 @@ def within_range(key: str, low, high) -> Column:
     return F.coalesce(c, F.lit(low is None))
 
 
-def range_digests(rows: DataFrame, key: str, cuts: list) -> dict[int, tuple]:
-    """For each range between the cuts that has rows: how many, and two sums that don't mind their order. A row a range comes to the driver."""
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))), F.lit(0)) if cuts else F.lit(0)
-    names = sorted(rows.columns)
+def within_any(key: str, ranges: list[tuple]) -> Column:
+    return reduce(lambda x, y: x | y, [within_range(key, low, high) for low, high in ranges])
+
+
+def nth_range(key: str, ends: list) -> Column:
+    """How many of the sorted ends are not above the key, found by halving; 0 for a null key."""
+
+    def among(start: int, stop: int) -> Column:
+        if start == stop:
+            return F.lit(start)
+        middle = (start + stop) // 2
+        return F.when(F.col(key) < F.lit(ends[middle]), among(start, middle)).otherwise(among(middle + 1, stop))
+
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(among(0, len(ends)))
+
+
+def range_digests(tables: list[DataFrame], key: str, parts: list[tuple]) -> list[dict[tuple, tuple]]:
+    """Of each table, for each of the ordered parts (low, high) that has rows: how many, and two sums that don't mind their order. One job a table; a row a part comes to the driver."""
+    ends = sorted({c for part in parts for c in part if c is not None})
+    inside, nth, names = within_any(key, joined_ranges(parts)), nth_range(key, ends).alias("nth_range"), sorted(tables[0].columns)
     sums = [F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.lit(1), *names)), F.sum(F.xxhash64(F.lit(2), *names).cast("decimal(38,0)"))]
-    return {r[0]: tuple(r[1:]) for r in rows.groupBy(part.alias("part")).agg(*sums).collect()}
+    bounds = [None, *ends, None]
+    return [{(bounds[r[0]], bounds[r[0] + 1]): tuple(r[1:]) for r in rows.where(inside).groupBy(nth).agg(*sums).collect()} for rows in tables]
 
 
 def verified(a: DataFrame, b: DataFrame, key: str, fan: int = 64, small: int = 100_000, most: int = 64, deepest: int = 4) -> Verified:
     """What differs between two tables of the same columns, found from the top of a tree of hashes over ranges of the key.
 
-    Both tables are summed up once, by `fan` ranges; only ranges whose sums differ are cut again, and read with a filter on the key that scans can use. A range of up to `small` rows, or at
-    `deepest` or when over `most` ranges differ, is compared row by row, each row as often as it stands. Equal tables are never compared row by row.
+    Both tables are summed up once, by `fan` ranges; only ranges whose sums differ are cut again, all of them by one job a table, and read with a filter on the key that scans can use. A range
+    of up to `small` rows, or at `deepest`, is compared row by row, each row as often as it stands. Where cutting again would leave over `most` ranges, those before it are compared: changes
+    that lie all over a table cost one comparison of it, whatever its size. Equal tables are never compared row by row.
     """
     names = a.columns
     b = b.select(*names)
     leaves, todo, depth = [], [(None, None)], 0
-    while todo and depth < deepest and len(todo) + len(leaves) <= most:
-        depth, new = depth + 1, []
-        for low, high in todo:
-            left, right = a.where(within_range(key, low, high)), b.where(within_range(key, low, high))
-            cuts = [c for c in cut_points(left.select(key).unionByName(right.select(key)), key, fan) if c != low]
-            one, two = range_digests(left, key, cuts), range_digests(right, key, cuts)
-            ends = [low, *cuts, high]
-            for i in sorted(one.keys() | two.keys()):
-                if one.get(i) != two.get(i):
-                    rows = max(one.get(i, (0,))[0], two.get(i, (0,))[0])
-                    (leaves if rows <= small or not cuts else new).append((ends[i], ends[i + 1]))
-        todo = new
+    while todo and depth < deepest:
+        cuts = cut_points(a.select(key).unionByName(b.select(key)), key, todo, max(4, min(fan, 4 * fan // len(todo))))
+        parts = [part for (low, high), inner in zip(todo, cuts) for part in zip([low, *inner], [*inner, high])]
+        one, two = range_digests([a, b], key, parts)
+        whole, depth, new, done = {r for r, inner in zip(todo, cuts) if not inner}, depth + 1, [], []
+        for part in parts:
+            if one.get(part) != two.get(part):
+                rows = max(one.get(part, (0,))[0], two.get(part, (0,))[0])
+                (done if rows <= small or part in whole else new).append(part)
+        if len(leaves) + len(done) + len(new) > most:
+            break
+        leaves, todo = leaves + done, new
     leaves = joined_ranges(leaves + todo)
     none = a.where("false").withColumn("side", F.lit("left"))
     if not leaves:
         return Verified(none, [], depth)
-    inside = reduce(lambda x, y: x | y, [within_range(key, low, high) for low, high in leaves])
-    return Verified(differences(a.where(inside), b.where(inside)), leaves, depth)
+    return Verified(differences(a.where(within_any(key, leaves)), b.where(within_any(key, leaves))), leaves, depth)
 
 
 def joined_ranges(ranges: list[tuple]) -> list[tuple]:

@@ -76,6 +76,22 @@ def test_equal_tables_are_not_read_row_by_row(spark):
     assert [tuple(r) for r in maintenance.verified(a, a.where("k IS NOT NULL"), "k", small=100).rows.collect()] == [(None, "none", "left")]
 
 
+def test_changes_all_over_a_table_cost_a_few_jobs(spark):
+    """Each range differs at every level: ranges are cut by one job for all, and no filter names more than `most` of them."""
+    a = spark.range(40_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("x"))
+    b = a.where("k % 50 <> 3")
+    spark.sparkContext.setJobGroup("all over", "verified")
+    got = maintenance.verified(a, b, "k", small=20)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("all over"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 40 and len(got.read) <= 64
+    assert sorted(tuple(r) for r in got.rows.collect()) == [(k, str(k), "left") for k in range(3, 40_000, 50)]
+    some = a.withColumn("x", F.when(F.col("k") % 5000 == 3, "other").otherwise(F.col("x")))
+    got = maintenance.verified(a, some, "k", small=20)
+    assert len(got.read) == 8 and sum(a.where(maintenance.within_range("k", low, high)).count() for low, high in got.read) < 400
+    assert sorted(tuple(r) for r in got.rows.collect()) == sorted((k, x, side) for k in range(3, 40_000, 5000) for x, side in ((str(k), "left"), ("other", "right")))
+
+
 def test_live_shelves_after_any_mix_of_changes(spark):
     """Inserts, deletes, updates, emptied and returning groups; a batch that is run again changes nothing."""
     rng, schema = random.Random(3), "g string, id long, says string, ms long"
