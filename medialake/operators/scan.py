@@ -10,6 +10,13 @@ from ..functions.paths import ancestors, dirname, hidden_below
 
 #: Hashes that show a file has been read.
 IDENTITIES = ("sampledSha256", "sha256")
+#: Most rows of roots, libraries and folders that are sent to every executor.
+SMALL = 100_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, sent to every executor where their counted number is small: all files lie below a few roots and in a few libraries, and a shuffle by these would give one task a whole library."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
 def under(paths: DataFrame, roots: DataFrame, root: str = "root", itself: bool = False) -> DataFrame:
@@ -18,7 +25,7 @@ def under(paths: DataFrame, roots: DataFrame, root: str = "root", itself: bool =
     Columns: those of paths and of roots. itself: a path equal to a root counts too.
     """
     above = paths.withColumn("above", F.explode(ancestors(F.col("path"), itself)))
-    return above.join(roots, F.col("above") == F.col(root)).drop("above")
+    return above.join(few(roots), F.col("above") == F.col(root)).drop("above")
 
 
 def scope(inventory: DataFrame, roots: DataFrame) -> DataFrame:
@@ -35,7 +42,7 @@ def safe_only(rows: DataFrame, unsafe: DataFrame) -> DataFrame:
 def in_directories(rows: DataFrame, directories: DataFrame) -> DataFrame:
     """rows that lie directly in directories(dir), or, where both name a library, directories(library_id, dir) of their library."""
     by = ["library_id"] if "library_id" in directories.columns and "library_id" in rows.columns else []
-    return rows.withColumn("dir", dirname(F.col("path"))).join(directories.select(*by, "dir").distinct(), [*by, "dir"], "left_semi").select(*rows.columns)
+    return rows.withColumn("dir", dirname(F.col("path"))).join(few(directories.select(*by, "dir").distinct()), [*by, "dir"], "left_semi").select(*rows.columns)
 
 
 def scan_targets(directories: DataFrame, roots: DataFrame) -> DataFrame:

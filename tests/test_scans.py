@@ -109,3 +109,19 @@ def test_ties_in_places(spark):
     for g in (None, 1, 2):
         mine = sorted(r.place for r in got if r.g == g)
         assert mine == list(range(len(mine))) and len(mine) in (333, 334)
+
+
+def test_no_task_gets_all_files_below_a_root(spark):
+    """Few roots, libraries and folders are broadcast, whatever the planner thinks of their size: a shuffle by them would give one task all files below one."""
+    from medialake.operators import scan
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paths = spark.range(1000).select(F.concat(F.lit("/lib/a/"), F.col("id").cast("string")).alias("path"), F.lit(1).alias("library_id"))
+        roots = spark.range(2000).select(F.lit(1).alias("library_id"), F.lit("/lib").alias("root")).distinct()
+        folders = roots.select("library_id", F.lit("/lib/a").alias("dir"))
+        for rows in (scan.under(paths.select("path"), roots), scan.in_directories(paths, folders)):
+            assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
