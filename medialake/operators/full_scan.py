@@ -19,7 +19,7 @@ from ..sources.scratch import Kept
 from .changes import field_events, phase_events
 from .merge import distinct_artwork, merge_tiers
 from .places import placed
-from .scan import diff, in_directories, membership, recognise_moves, safe_only, scan_targets, scope, stale_work, under
+from .scan import diff, few, in_directories, membership, recognise_moves, safe_only, scan_targets, scope, stale_work, under
 from .sidecars import associate, dirty_directories
 
 #: A file is one of a library: the same path may be in several.
@@ -90,7 +90,7 @@ def scan(
         targets = directories.join(scan_targets(directories.select("dir"), roots), "dir", "left_semi")
         listed, known = in_directories(listed, targets), in_directories(known, directories)
     if libraries is not None:
-        listed = listed.join(libraries.select("library_id", (F.col("type") == "images").alias("pictures")), "library_id", "left")
+        listed = listed.join(few(libraries.select("library_id", (F.col("type") == "images").alias("pictures"))), "library_id", "left")
     item = F.col("kind").isNotNull() & ((F.col("kind") != "image") | (F.coalesce("pictures", F.lit(False)) if libraries is not None else F.lit(False)))
     listed = kept.save(listed.withColumn("is_item", item), "listed")
     media, others = listed.where("is_item"), listed.where("NOT is_item")
@@ -225,7 +225,7 @@ def sides(media: DataFrame, others: DataFrame, jobs: DataFrame, present: DataFra
     every = media.select(*KEYS).unionByName(others.select(*KEYS)).select("library_id", dirname(F.col("path")).alias("dir"))
     only = every.where("false") if directories is None else every.distinct()  # all that is listed lies in these
     dirty = dirty_directories(jobs.select(*KEYS), only, before, claimed, by)
-    anew = kept.save(ids.withColumn("dir", dirname(F.col("media_path"))).join(dirty, ["library_id", "dir"], "left_semi").drop("dir"), "anew")
+    anew = kept.save(ids.withColumn("dir", dirname(F.col("media_path"))).join(few(dirty), ["library_id", "dir"], "left_semi").drop("dir"), "anew")
     asserted = kept.save(matches.join(anew, ["library_id", "media_path"]).select(*columns), "asserted")
     return known.select(*columns).join(anew.select("library_id", "file_id"), ["library_id", "file_id"], "left_anti").unionByName(asserted), asserted, claimed
 
