@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructType
 
-from .common import crc_bucket, labelled, small_batches, spread
+from .common import all_labelled, crc_bucket, saved, small_batches, spread
+
+#: Width of a bin of scores by which rows meet.
+WIDTH = 0.125
 
 FEATURES = ("log_chars", "upper", "exclaim", "marks", "bars", "digits", "blanks", "lines", "word_length", "distinct", "top_word", "runs", "repeated_lines", "stops")
 
@@ -97,12 +100,86 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, l2: float
     return ranking
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 12_000) -> Ranking:
-    """Learns from about max_docs labelled rows that aren't held out (crc32 of the id, modulo 4, is 2), chosen by a hash of the id; their features come to the driver."""
-    rows = labelled(docs, labels, label_col, 4, 2, id_col, text_col, max_docs)
-    got = with_features(rows).orderBy("doc_id").toPandas()
-    x = np.stack(got.features.to_list()).astype(np.float64) if len(got) else np.zeros((0, len(FEATURES)))
-    return bradley_terry(x, got.label.to_numpy())
+def sums_by_bin(rows: DataFrame, ranking: Ranking) -> dict[tuple[int, int], np.ndarray]:
+    """Of rows(label, features): (label, bin of the score) -> count, sum and sum of outer products of the scaled features. Summed up within tasks, then by bin."""
+    size = len(FEATURES)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy().reshape(-1, size).astype(np.float64)
+            z = np.clip((x - ranking.mean) / ranking.scale, -8, 8)
+            keys = np.stack([batch.column(0).to_numpy(), np.floor(z @ ranking.weights / WIDTH).astype(np.int64)], 1)
+            found, of = np.unique(keys, axis=0, return_inverse=True)
+            for i, key in enumerate(map(tuple, found.tolist())):
+                m = z[of.ravel() == i]
+                sums[key] = sums.get(key, 0) + np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()])
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["label", "bin", "sums"])
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        each = np.stack(table.column("sums").to_pylist()).sum(axis=0)
+        return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "bin": pa.array([key[1].as_py()], pa.int64()), "sums": pa.array([each], pa.list_(pa.float64()))})
+
+    shape = "label int, bin long, sums array<double>"
+    got = rows.select("label", "features").mapInArrow(add, shape).groupBy("label", "bin").applyInArrow(total, shape).collect()
+    return {(r.label, r.bin): np.array(r.sums) for r in got}
+
+
+def all_pairs(rows: DataFrame, ranking: Ranking, l2: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """The Bradley-Terry weights over every pair of a row labelled 1 and one labelled 0, by Newton steps. Rows meet by bins of their scores, WIDTH wide, each of the mean score of its rows, so a round reads every row once."""
+    w, size = ranking.weights, len(FEATURES)
+    for _ in range(rounds):
+        ranking.weights = w
+        sums = sums_by_bin(rows, ranking)
+        good, bad = (np.stack([s for (label, _), s in sorted(sums.items()) if label == y]) for y in (1, 0))
+        (n, x, xx), (m, v, vv) = ((s[:, 0], s[:, 1 : size + 1], s[:, size + 1 :].reshape(-1, size, size)) for s in (good, bad))
+        p = 1 / (1 + np.exp(-np.clip((x @ w / n)[:, None] - (v @ w / m)[None], -40, 40)))
+        pairs, miss, k = n.sum() * m.sum(), 1 - p, p * (1 - p)
+        slope = (miss @ m) @ x - (n @ miss) @ v
+        cross = x.T @ k @ v
+        bend = np.tensordot(k @ m, xx, 1) + np.tensordot(n @ k, vv, 1) - cross - cross.T
+        step = np.linalg.solve(bend / pairs + l2 * np.eye(size), slope / pairs - l2 * w)
+        w = w + step
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+def rank_of_all(rows: DataFrame, ranking: Ranking, k: int) -> float:
+    """Halfway between the k-th lowest score of all rows and the next, both exact: bins are counted, and only those that hold the two are looked into."""
+    raw = F.udf(lambda x: float(ranking.raw(np.array([x], np.float64))[0]), "double")
+    scores = rows.select(raw("features").alias("s")).withColumn("bin", F.floor(F.col("s") * 1024))
+    counts, before, wanted = sorted((r["bin"], r["count"]) for r in scores.groupBy("bin").count().collect()), 0, []
+    for b, n in counts:
+        wanted += [(b, at - before) for at in (k - 1, k) if before <= at < before + n]
+        before += n
+    found = []
+    for b, at in wanted:
+        for r in scores.where(F.col("bin") == b).groupBy("s").count().orderBy("s").collect():
+            if at < r["count"]:
+                found.append(r["s"])
+                break
+            at -= r["count"]
+    return sum(found) / len(found)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
+    """Learns from all labelled rows that aren't held out (crc32 of the id, modulo 4, is 2) and all their pairs; the features are written, and only sums of them come to the driver."""
+    rows = saved(with_features(all_labelled(spread(docs), labels, label_col, 4, 2, id_col, text_col)).select("label", "features"), "quality-features")
+    each = [f(F.get("features", F.lit(i)).cast("double")) for f in (F.avg, F.stddev_pop) for i in range(len(FEATURES))]
+    good, bad, *rest = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0), *each).first()
+    if not good + bad:
+        return Ranking(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), 1.0)
+    ranking = Ranking(np.array(rest[: len(FEATURES)]), np.array(rest[len(FEATURES) :]) + 1e-6, np.zeros(len(FEATURES)), 0.0)
+    if not good or not bad:
+        ranking.threshold = -1.0 if good else 1.0
+        return ranking
+    ranking.weights = all_pairs(rows, ranking)
+    ranking.threshold = rank_of_all(rows, ranking, min(good + bad - 1, bad))
+    return ranking
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", predict_at: float = 0.7) -> DataFrame:

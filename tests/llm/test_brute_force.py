@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from medialake.llm import components, exact_dedup, fingerprint, language_id, ngram_join, packing, piece_codec, quality, queries, reshard, toxicity, url_filter
-from medialake.llm.common import Tables, labelled
+from medialake.llm.common import Tables, all_labelled, labelled
 from medialake.llm.tokens import ByteBpe
 
 SMALL = "/root/testdata/sf0.001"
@@ -610,6 +610,26 @@ def test_quality_by_plain_python(spark):
     assert all(loss(model.weights + step * np.eye(14)[i]) > best for i in range(14) for step in (1e-3, -1e-3))
 
 
+def test_quality_learns_from_all_rows_and_pairs(spark):
+    """Weights where the gradient over every pair of all rows vanishes, and a threshold of an exact rank."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(600) < 0.7).astype(int)
+    x = (rng.normal(size=(600, 14)) + 0.4 * y[:, None]).astype(np.float32)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(y, x)], "label int, features array<float>")
+    model = quality.Ranking(x.mean(axis=0), x.std(axis=0) + 1e-6, np.zeros(14), 0.0)
+    model.weights = quality.all_pairs(rows, model)
+    z = np.clip((x - model.mean) / model.scale, -8, 8).astype(float)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 14)
+    slope = d.T @ (1 / (1 + np.exp(d @ model.weights))) / len(d) - 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-3
+    order = np.sort(model.raw(x.astype(float)))
+    assert abs(quality.rank_of_all(rows, model, int((y == 0).sum())) - (order[(y == 0).sum() - 1] + order[(y == 0).sum()]) / 2) < 1e-9
+    docs = spark.range(13_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    used = all_labelled(docs.unionByName(docs.where("doc_id = 0").withColumn("text", F.lit("!"))), labels, "quality", 4, 2, "doc_id", "text")
+    assert used.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(13_000)) and [r.text for r in used.where("doc_id = 0").collect()] in (["!"], [])
+
+
 def test_pairs_rank_and_quantile():
     rng = np.random.default_rng(5)
     y = (rng.random(2000) > 0.3).astype(int)
