@@ -119,6 +119,53 @@ def test_live_shelves_after_any_mix_of_changes(spark):
         assert told == {r[0] for i in before.keys() | now.keys() if before.get(i) != now.get(i) for r in (before.get(i), now.get(i)) if r}
 
 
+def test_live_shelves_shuffle_groups_and_not_rows(spark):
+    """A first load of many rows shuffles what it says of the groups; a shelf without first rows keeps no log. (It shuffled every row twice.)"""
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    rows = spark.range(0, 60_000, 1, 4).selectExpr("concat('g', id % 3) AS g", "id", "sha2(CAST(id AS STRING), 256) AS says", "id % 100 AS ms", "1 AS sign")
+    for first in (("says",), ()):
+        shelf, start = live.LiveShelf(spark, scratch(spark, "live-test"), live.Shelf(("g",), ("id",), first, ("ms",)), rows.drop("sign").schema, 4), shuffled()
+        assert sorted(r[:3] for r in shelf.apply(rows, 0).collect()) == [(f"g{i}", 20_000, sum(x % 100 for x in range(i, 60_000, 3))) for i in range(3)]
+        assert shuffled() - start < 50_000 and shelf.exists("log") == bool(first)
+
+
+def test_rows_that_come_and_go_in_one_batch_lead_nothing(spark):
+    schema = "g string, id long, says string"
+    shelf = live.LiveShelf(spark, scratch(spark, "live-test"), live.Shelf(("g",), ("id",), ("says",)), spark.createDataFrame([], schema).schema, 2)
+    batches = [
+        ("+2a +5b +9c", (3, "a")), ("+1x -1x", (3, "a")), ("-2a +2z", (3, "z")), ("-2z +3q -3q", (2, "b")), ("+5b -5b", (2, "b")), ("-5b -9c", None), ("+7k -7k +8m", (1, "m")), ("-8m", None),
+    ]
+    for number, (said, want) in enumerate(batches):
+        changes = spark.createDataFrame([("g", int(c[1]), c[2], 1 if c[0] == "+" else -1) for c in said.split()], schema + ", sign int")
+        shelf.apply(changes, number)
+        if number in (1, 3):
+            shelf.apply(changes, number)
+        assert [(r.n, r.says) for r in shelf.groups().collect()] == ([want] if want else []), said
+
+
+def test_changes_of_two_states_are_those_of_their_images(spark):
+    """Images need no shuffle, two states one of each table."""
+    rows = spark.range(100).selectExpr("id", "CAST(id % 7 AS STRING) AS x", "IF(id % 4 = 0, NULL, id) AS y")
+    edited = F.struct("id", F.when(F.col("id") % 3 == 0, "new").otherwise(F.col("x")).alias("x"), "y")
+    was, now = F.when(F.col("id") % 5 != 1, F.struct("id", "x", "y")), F.when(F.col("id") % 8 != 2, edited)
+    images = live.imaged(rows, was, now)
+    two = live.signed(*[rows.select(s.alias("s")).where("s IS NOT NULL").select("s.*") for s in (was, now)], ["id"])
+    want = []
+    for i in range(100):
+        before, after = (i, str(i % 7), i if i % 4 else None) if i % 5 != 1 else None, (i, "new" if i % 3 == 0 else str(i % 7), i if i % 4 else None) if i % 8 != 2 else None
+        want += [(*r, sign) for r, sign in ((before, -1), (after, 1)) if r and before != after]
+    for got in (images, two):
+        assert got.columns == ["id", "x", "y", "sign"] and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    exchanges = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("Exchange")
+    assert exchanges(images) == 0 and exchanges(two) == 1
+
+
 def test_terms_of_repeated_and_null_ids_are_counted_once(spark):
     from medialake.operators import search
 
